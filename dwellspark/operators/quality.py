@@ -1,0 +1,28 @@
+"""Coordinate checks and quality scoring over a sales DataFrame."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from dwellspark.functions import geo, text
+
+
+def region_check(df: DataFrame, regions: DataFrame, county: str = "county") -> DataFrame:
+    """Add `region_ok`: inside any ring of the stated region; unknown regions pass.
+
+    `regions` is (region, rings ARRAY<ARRAY<STRUCT<lat, lon>>>), one row per
+    administrative area, so its size is fixed by geography and not by the data."""
+    hit = F.exists("rings", lambda ring: geo.point_in_polygon(F.col("latitude"), F.col("longitude"), ring))
+    return (df.join(F.broadcast(regions), F.initcap(F.trim(county)) == F.col("region"), "left")
+            .withColumn("region_ok", F.when(F.col("region").isNull(), True).otherwise(hit))
+            .drop("region", "rings"))
+
+
+def county_check(df: DataFrame, margin: float = 0.2) -> DataFrame:
+    """Add `county_ok`, `padded_ok` and, when outside, the `candidates` boxes."""
+    name = text.normalize_county("county")
+    ok = F.coalesce(geo.in_county_box("latitude", "longitude", name), F.lit(True))
+    padded = F.coalesce(geo.in_county_box("latitude", "longitude", name, margin), F.lit(True))
+    return (df.withColumn("county_ok", ok).withColumn("padded_ok", padded)
+            .withColumn("candidates", F.when(F.col("county_ok"), F.array().cast("array<string>"))
+                        .otherwise(geo.candidate_counties("latitude", "longitude"))))

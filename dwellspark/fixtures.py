@@ -8,7 +8,7 @@ between orders and customer by size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dwellspark.functions import text
 from dwellspark.schema import COUNTY_BOXES
@@ -93,3 +93,63 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (dwelling_sales(spark, sf_dir)
             .withColumn("address_normalized", text.normalize_address("address"))
             .withColumn("routing_key", text.routing_key("eircode")))
+
+
+# ------------------------------------------------------------ further derived tables
+# Each has a DataFrame form and the SQL text its oracle uses.
+
+API_USAGE_SQL = """SELECT date_trunc('hour', ts) AS ts, event_type AS source, count(*) AS request_count,
+  count(*) FILTER (value >= 5) AS success_count, count(*) FILTER (NOT value >= 5) AS error_count FROM events GROUP BY 1, 2"""
+
+
+def api_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly request, success and error counts per source."""
+    e = table(spark, sf_dir, "events")
+    return (e.groupBy(F.date_trunc("hour", "ts").alias("ts"), F.col("event_type").alias("source"))
+            .agg(F.count("*").alias("request_count"), F.count_if(F.col("value") >= 5).alias("success_count"),
+                 F.count_if(~(F.col("value") >= 5)).alias("error_count")))
+
+
+CANDIDATES_CTE = """candidates AS (
+  SELECT id, source, CASE WHEN id%19=0 THEN NULL WHEN source='mapbox' THEN coalesce(latitude, 53.1) + (id%5)*0.0005 ELSE coalesce(latitude, 53.1) + (id%7)*0.1 END AS cand_lat,
+    CASE WHEN id%19=0 THEN NULL WHEN source='mapbox' THEN coalesce(longitude, -7.1) + (id%3)*0.0005 ELSE coalesce(longitude, -7.1) - (id%4)*0.1 END AS cand_lon,
+    CASE id%6 WHEN 0 THEN 'address' WHEN 1 THEN 'street' WHEN 2 THEN 'poi' WHEN 3 THEN 'postcode' WHEN 4 THEN 'place' ELSE 'locality' END AS feature_type
+  FROM dwelling, (VALUES ('mapbox'), ('nominatim')) AS v(source) WHERE (source = 'mapbox') OR id%2=0)"""
+
+
+def geocode_candidates(sales_df: DataFrame) -> DataFrame:
+    """Two candidate coordinates per sale (one for odd ids) with a feature type."""
+    i = F.col("id")
+    la, lo = F.coalesce("latitude", F.lit(53.1)), F.coalesce("longitude", F.lit(-7.1))
+    kinds = F.array(*[F.lit(k) for k in ("address", "street", "poi", "postcode", "place", "locality")])
+    near = F.struct(F.lit("mapbox").alias("source"), (la + (i % 5) * F.lit(0.0005)).alias("cand_lat"),
+                    (lo + (i % 3) * F.lit(0.0005)).alias("cand_lon"))
+    far = F.struct(F.lit("nominatim").alias("source"), (la + (i % 7) * F.lit(0.1)).alias("cand_lat"),
+                   (lo - (i % 4) * F.lit(0.1)).alias("cand_lon"))
+    both = F.when(i % 2 == 0, F.array(near, far)).otherwise(F.array(near))
+    miss = i % 19 == 0
+    return (sales_df.select("id", F.explode(both).alias("c"), F.element_at(kinds, (i % 6 + 1).cast("int")).alias("feature_type"))
+            .select("id", "c.source", F.when(~miss, F.col("c.cand_lat")).alias("cand_lat"),
+                    F.when(~miss, F.col("c.cand_lon")).alias("cand_lon"), "feature_type"))
+
+
+ALT_CTE = """alt AS (SELECT address, county, round(min_by(latitude, id) + CASE WHEN min(k)%3=0 THEN 0 WHEN min(k)%3=1 THEN 0.001::DOUBLE ELSE 0.5::DOUBLE END, 6) AS latitude,
+  min_by(longitude, id) AS longitude FROM dwelling WHERE latitude IS NOT NULL GROUP BY address, county)"""
+
+
+def alt_coordinates(sales_df: DataFrame) -> DataFrame:
+    """A second geocoder: one row per address, shifted by 0, 0.001 or 0.5 degrees."""
+    shift = F.when(F.min("k") % 3 == 0, F.lit(0.0)).when(F.min("k") % 3 == 1, F.lit(0.001)).otherwise(F.lit(0.5))
+    return (sales_df.where("latitude is not null").groupBy("address", "county")
+            .agg(F.round(F.min_by("latitude", "id") + shift, 6).alias("latitude"),
+                 F.min_by("longitude", "id").alias("longitude")))
+
+
+SOURCES_CTE = ALT_CTE + """, sources AS (SELECT 'base' AS source, address, county, latitude, longitude FROM dwelling
+  UNION ALL SELECT 'second', address, county, latitude, longitude FROM alt)"""
+
+
+def coordinate_sources(sales_df: DataFrame) -> DataFrame:
+    cols = ["source", "address", "county", "latitude", "longitude"]
+    return (sales_df.withColumn("source", F.lit("base")).select(*cols)
+            .unionByName(alt_coordinates(sales_df).withColumn("source", F.lit("second")).select(*cols)))

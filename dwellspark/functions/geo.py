@@ -31,7 +31,7 @@ def _half_chord(lat1, lon1, lat2, lon2) -> Column:
 
 def haversine_m(lat1, lon1, lat2, lon2) -> Column:
     h = _half_chord(lat1, lon1, lat2, lon2)
-    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(F.when(h > 1.0, F.lit(1.0)).otherwise(h)))
 
 
 def spheroid_distance_m(lat1, lon1, lat2, lon2) -> Column:
@@ -41,7 +41,8 @@ def spheroid_distance_m(lat1, lon1, lat2, lon2) -> Column:
     b2 = F.atan(flat * F.tan(F.radians(_c(lat2))))
     half_lon = F.sin(F.radians(_c(lon2) - _c(lon1)) / 2)
     half_lat = F.sin((b2 - b1) / 2)
-    h = F.least(F.lit(1.0), half_lat * half_lat + F.cos(b1) * F.cos(b2) * half_lon * half_lon)
+    h = half_lat * half_lat + F.cos(b1) * F.cos(b2) * half_lon * half_lon
+    h = F.when(h > 1.0, F.lit(1.0)).otherwise(h)
     sigma = F.lit(2.0) * F.asin(F.sqrt(h))
     p, q = (b1 + b2) / 2, (b2 - b1) / 2
     sp, cp, sq_, cq = F.sin(p), F.cos(p), F.sin(q), F.cos(q)

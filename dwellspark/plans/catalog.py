@@ -6,7 +6,7 @@ import importlib
 
 from dwellspark.plans.registry import ORACLES, QUERIES
 
-_MODULES = ["scalars"]
+_MODULES = ["scalars", "aggregates"]
 
 
 def _load() -> None:

@@ -91,8 +91,8 @@ TOKEN_NUMBER = ("CASE WHEN t LIKE '%s' AND length(t) > 3 THEN t[1:-2] "
 
 
 def haversine(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    return (f"(12742000.0 * asin(sqrt(least(1.0, pow(sin(radians({lat2} - {lat1})/2), 2) + "
-            f"cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1})/2), 2)))))")
+    return (f"(12742000.0 * asin(sqrt(pow(sin(radians({lat2} - {lat1})/2), 2) + "
+            f"cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1})/2), 2))))")
 
 
 def bedrooms(expr: str) -> str:

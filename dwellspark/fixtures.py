@@ -153,3 +153,33 @@ def coordinate_sources(sales_df: DataFrame) -> DataFrame:
     cols = ["source", "address", "county", "latitude", "longitude"]
     return (sales_df.withColumn("source", F.lit("base")).select(*cols)
             .unionByName(alt_coordinates(sales_df).withColumn("source", F.lit("second")).select(*cols)))
+
+
+# One search request per customer, placed near that customer's dwelling.
+_REQUESTS_SQL = """
+SELECT c_custkey AS query_id, b.county AS home_county,
+  round(b.minlat+(c_custkey*37%1000)/CAST(1000 AS DOUBLE)*(b.maxlat-b.minlat),6) + (c_custkey%3)*CAST(0.004 AS DOUBLE) AS q_lat,
+  round(b.minlon+(c_custkey*91%1000)/CAST(1000 AS DOUBLE)*(b.maxlon-b.minlon),6) AS q_lon,
+  CAST(CASE c_custkey%4 WHEN 0 THEN 0.5 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 5 END AS DOUBLE) AS radius_km,
+  CASE c_custkey%3 WHEN 0 THEN lower(b.county) WHEN 1 THEN 'Nowhere' ELSE NULL END AS county
+FROM {customer} JOIN bounds b ON b.n = c_nationkey"""
+REQUESTS_CTE = f"requests AS ({_REQUESTS_SQL.format(customer='customer')})"
+
+
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(f"WITH {BOUNDS_CTE} {_REQUESTS_SQL}",
+                     customer=table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"))
+
+
+# Address requests: a spelled prefix, a re-ordered address, a bare street, a miss.
+_ASKED_SQL = """
+SELECT k AS query_id, CASE k%4 WHEN 0 THEN replace(min(address), ', TOWN', ',  Town')
+    WHEN 1 THEN concat('Town', CAST(k%40 AS {string}), ' ', CASE k%5 WHEN 0 THEN 'Main Street' WHEN 1 THEN 'Merrion Road' WHEN 2 THEN 'Park Avenue' WHEN 3 THEN 'Elm Court' ELSE 'Church Drive' END)
+    WHEN 2 THEN substr(min(address), 1, 14) ELSE concat('No such place ', CAST(k AS {string})) END AS query,
+  CASE WHEN k%3=0 THEN min(county) ELSE NULL END AS county
+FROM {dwelling} GROUP BY k"""
+ASKED_CTE = f"asked AS ({_ASKED_SQL.format(string='VARCHAR', dwelling='dwelling')})"
+
+
+def address_requests(spark: SparkSession, sales_df: DataFrame) -> DataFrame:
+    return spark.sql(_ASKED_SQL.replace("{string}", "STRING"), dwelling=sales_df.select("k", "address", "county"))

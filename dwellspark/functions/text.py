@@ -209,25 +209,36 @@ def street_pattern(c) -> Column:
     return F.when(F.length(s) >= 15, s)
 
 
+def bind(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def street_key(address, county) -> Column:
     """STRUCT of lower-case (street, area, county), their display forms and an
     apartment flag; NULL when no street can be read off the address."""
     county = _c(county)
     parts = F.filter(F.transform(F.split(_c(address), ","), lambda p: strip(p)), lambda p: p != "")
-    first = F.get(parts, F.lit(0))
-    stripped = strip(F.regexp_replace(first, LEAD_NUMBER, ""))
-    use_second = (stripped == "") | stripped.rlike(GENERIC_PART) | (F.length(stripped) < 3)
-    street = F.when(~use_second, stripped).when(F.size(parts) >= 3, F.get(parts, F.lit(1)))
-    at = F.when(use_second, 2).otherwise(1)
-    area = F.coalesce(F.get(parts, at), county)
     norm = lambda x: squeeze(F.lower(strip(x)))
-    out = F.struct(
-        norm(street).alias("street"), norm(area).alias("area"),
-        F.lower(strip(county)).alias("county"),
-        strip(street).alias("street_display"), strip(area).alias("area_display"),
-        strip(county).alias("county_display"),
-        first.rlike(APARTMENT_PREFIX).alias("is_apartment"))
-    return F.when((F.size(parts) >= 2) & street.rlike("[a-zA-Z]{3,}"), out)
+
+    def read(p):
+        first = F.get(p, F.lit(0))
+        return bind(strip(F.regexp_replace(first, LEAD_NUMBER, "")), lambda lead: bind(
+            (lead == "") | lead.rlike(GENERIC_PART) | (F.length(lead) < 3),
+            lambda second: build(p, first, lead, second)))
+
+    def build(p, first, lead, second):
+        street = F.when(~second, lead).when(F.size(p) >= 3, F.get(p, F.lit(1)))
+        area = F.coalesce(F.get(p, F.when(second, 2).otherwise(1)), county)
+        out = F.struct(
+            norm(street).alias("street"), norm(area).alias("area"),
+            F.lower(strip(county)).alias("county"),
+            strip(street).alias("street_display"), strip(area).alias("area_display"),
+            strip(county).alias("county_display"),
+            first.rlike(APARTMENT_PREFIX).alias("is_apartment"))
+        return F.when((F.size(p) >= 2) & street.rlike("[a-zA-Z]{3,}"), out)
+
+    return bind(parts, read)
 
 
 def slugify(c) -> Column:

@@ -381,7 +381,9 @@ def county_price_index(df: DataFrame, start: str, lo: float = 50_000, hi: float
 
 
 def with_street_key(df: DataFrame, address: str = "address_normalized") -> DataFrame:
-    return (df.withColumn("_k", text.street_key(address, "county")).where("_k is not null")
+    # explode keeps the key expression from being copied into every consumer
+    key = F.filter(F.array(text.street_key(address, "county")), lambda k: k.isNotNull())
+    return (df.select("*", F.explode(key).alias("_k"))
             .select("*", F.col("_k.street").alias("street"), F.col("_k.area").alias("area"),
                     F.col("_k.county").alias("county_key"), "_k.street_display", "_k.area_display",
                     "_k.is_apartment").drop("_k"))

@@ -6,7 +6,7 @@ import importlib
 
 from dwellspark.plans.registry import ORACLES, QUERIES
 
-_MODULES = ["scalars", "aggregates"]
+_MODULES = ["scalars", "aggregates", "searches"]
 
 
 def _load() -> None:

@@ -25,9 +25,9 @@ _RADIUS_CTES = (REQUESTS_CTE,
     f"""pairs AS (SELECT query_id, r.county AS asked, radius_km, s.county, id, sale_date, {_PAIR_D} AS dist FROM requests r, dwelling s
         WHERE latitude IS NOT NULL AND NOT geocode_suspect AND abs(latitude - q_lat) < 0.19 AND {_PAIR_D} <= 20000)""",
     """rings AS (SELECT query_id, i, least(radius_km * f, 20.0::DOUBLE) AS ring FROM requests, (VALUES (0,1.0::DOUBLE),(1,2.0),(2,3.0),(3,5.0),(4,10.0),(5,1000.0)) v(i, f))""",
-    """county_hits AS (SELECT r.query_id, count(p.id) AS c0 FROM requests r LEFT JOIN pairs p ON p.query_id = r.query_id AND dist <= p.radius_km*1000 AND lower(p.county) = lower(asked) GROUP BY 1)""",
-    """ring_counts AS (SELECT g.query_id, i, ring, (SELECT any_value(county) FROM requests x WHERE x.query_id = g.query_id) IS NOT NULL AND any_value(c0) = 0 AS county_dropped,
-        count(p.id) AS n FROM rings g JOIN county_hits USING (query_id) LEFT JOIN pairs p ON p.query_id = g.query_id AND dist <= ring*1000 AND (asked IS NULL OR c0 = 0 OR lower(asked) = lower(p.county)) GROUP BY ALL)""",
+    """county_hits AS (SELECT r.query_id, r.county AS req_county, count(p.id) AS c0 FROM requests r LEFT JOIN pairs p ON p.query_id = r.query_id AND dist <= p.radius_km*1000 AND lower(p.county) = lower(asked) GROUP BY 1, 2)""",
+    """ring_counts AS (SELECT g.query_id, i, ring, req_county IS NOT NULL AND c0 = 0 AS county_dropped, count(p.id) AS n
+        FROM rings g JOIN county_hits h ON g.query_id = h.query_id LEFT JOIN pairs p ON p.query_id = g.query_id AND dist <= ring*1000 AND (req_county IS NULL OR c0 = 0 OR lower(req_county) = lower(p.county)) GROUP BY ALL)""",
     """chosen AS (SELECT query_id, arg_min(ring, i) AS ring_km, any_value(county_dropped) AS county_dropped FROM ring_counts WHERE least(n, 25) >= 5 OR ring >= 20 GROUP BY query_id)""",
     """found AS (SELECT p.*, ring_km, county_dropped, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sale_date DESC, dist, id) AS INT) AS position FROM pairs p JOIN chosen USING (query_id)
         WHERE dist <= ring_km*1000 AND (asked IS NULL OR county_dropped OR lower(asked) = lower(county)) QUALIFY position <= 25)""")

@@ -183,3 +183,18 @@ ASKED_CTE = f"asked AS ({_ASKED_SQL.format(string='VARCHAR', dwelling='dwelling'
 
 def address_requests(spark: SparkSession, sales_df: DataFrame) -> DataFrame:
     return spark.sql(_ASKED_SQL.replace("{string}", "STRING"), dwelling=sales_df.select("k", "address", "county"))
+
+
+# Points of interest inside the city box: rail, tram or school by supplier key.
+_AMENITY_SQL = """
+SELECT s_suppkey AS amenity_id, CASE s_suppkey%3 WHEN 0 THEN 'rail' WHEN 1 THEN 'tram' ELSE 'school' END AS amenity_type, s_name AS name,
+  CASE WHEN s_suppkey%3 = 1 THEN CASE WHEN s_suppkey%2=0 THEN 'Luas Green Line' ELSE 'Luas Red Line' END WHEN s_suppkey%3 = 0 THEN 'DART' ELSE 'School' END AS category,
+  CASE WHEN s_suppkey%3 = 2 THEN CASE s_suppkey%7 WHEN 0 THEN 'Tertiary' WHEN 1 THEN 'Secondary' WHEN 2 THEN 'Primary and Secondary' ELSE 'Primary' END END AS level,
+  round(CAST(53.20 AS DOUBLE) + (s_suppkey*17%100)/CAST(100 AS DOUBLE)*CAST(0.30 AS DOUBLE), 6) AS latitude,
+  round(CAST(-6.45 AS DOUBLE) + (s_suppkey*29%100)/CAST(100 AS DOUBLE)*CAST(0.40 AS DOUBLE), 6) AS longitude
+FROM {supplier}"""
+AMENITY_CTE = f"amenities AS ({_AMENITY_SQL.format(supplier='supplier')})"
+
+
+def amenity_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_AMENITY_SQL, supplier=table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"))

@@ -6,7 +6,7 @@ import importlib
 
 from dwellspark.plans.registry import ORACLES, QUERIES
 
-_MODULES = ["scalars", "aggregates", "searches"]
+_MODULES = ["scalars", "aggregates", "searches", "joinshapes", "repairs"]
 
 
 def _load() -> None:

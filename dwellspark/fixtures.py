@@ -187,9 +187,9 @@ def address_requests(spark: SparkSession, sales_df: DataFrame) -> DataFrame:
 
 # Points of interest inside the city box: rail, tram or school by supplier key.
 _AMENITY_SQL = """
-SELECT s_suppkey AS amenity_id, CASE s_suppkey%3 WHEN 0 THEN 'rail' WHEN 1 THEN 'tram' ELSE 'school' END AS amenity_type, s_name AS name,
+SELECT s_suppkey AS amenity_id, CASE s_suppkey%3 WHEN 2 THEN 'school' ELSE 'transport' END AS amenity_type, s_name AS name,
   CASE WHEN s_suppkey%3 = 1 THEN CASE WHEN s_suppkey%2=0 THEN 'Luas Green Line' ELSE 'Luas Red Line' END WHEN s_suppkey%3 = 0 THEN 'DART' ELSE 'School' END AS category,
-  CASE WHEN s_suppkey%3 = 2 THEN CASE s_suppkey%7 WHEN 0 THEN 'Tertiary' WHEN 1 THEN 'Secondary' WHEN 2 THEN 'Primary and Secondary' ELSE 'Primary' END END AS level,
+  CASE WHEN s_suppkey%3 = 2 THEN CASE s_suppkey%7 WHEN 0 THEN 'Tertiary' WHEN 1 THEN 'Secondary' WHEN 2 THEN 'Secondary & Primary' ELSE 'Primary' END END AS level,
   round(CAST(53.20 AS DOUBLE) + (s_suppkey*17%100)/CAST(100 AS DOUBLE)*CAST(0.30 AS DOUBLE), 6) AS latitude,
   round(CAST(-6.45 AS DOUBLE) + (s_suppkey*29%100)/CAST(100 AS DOUBLE)*CAST(0.40 AS DOUBLE), 6) AS longitude
 FROM {supplier}"""
@@ -198,3 +198,32 @@ AMENITY_CTE = f"amenities AS ({_AMENITY_SQL.format(supplier='supplier')})"
 
 def amenity_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_AMENITY_SQL, supplier=table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"))
+
+
+# Location look-ups: coordinates, routing keys, postcodes, streets, towns, misses.
+_LOOKUPS_SQL = """
+SELECT k AS query_id, CASE k%6 WHEN 0 THEN concat(CAST(51+k%4 AS {string}), '.25 , -', CAST(6+k%3 AS {string}), '.5')
+    WHEN 1 THEN coalesce(lower(substr(min(eircode), 1, 3)), 'Q9') WHEN 2 THEN coalesce(max(eircode), 'Z99 Z999')
+    WHEN 3 THEN concat(CASE k%5 WHEN 0 THEN 'Main Street' WHEN 1 THEN 'Merrion Road' WHEN 2 THEN 'Parks Avenue' WHEN 3 THEN 'Elm Court' ELSE 'Church Drive' END, ', Town', CAST(k%40 AS {string}), ', Co. ', min(county))
+    WHEN 4 THEN concat('Town', CAST(k%40 AS {string}), ', ', min(county), CASE WHEN k%8=0 THEN 's' ELSE '' END) ELSE concat('Nowhere ', CAST(k AS {string})) END AS query,
+  CASE WHEN k%2=0 THEN min(county) ELSE NULL END AS county
+FROM {dwelling} GROUP BY k"""
+LOOKUPS_CTE = f"lookups AS ({_LOOKUPS_SQL.format(string='VARCHAR', dwelling='dwelling')})"
+
+
+def location_lookups(spark: SparkSession, sales_df: DataFrame) -> DataFrame:
+    return spark.sql(_LOOKUPS_SQL.replace("{string}", "STRING"), dwelling=sales_df.select("k", "address", "county", "eircode"))
+
+
+# Valuation requests: known addresses, partial addresses, postcodes only, misses.
+_SUBJECTS_SQL = """
+SELECT k AS request_id, CASE k%4 WHEN 0 THEN min(address) WHEN 1 THEN concat(CAST(k%200+1 AS {string}), ' ', CASE k%5 WHEN 0 THEN 'Main' WHEN 1 THEN 'Merrion' WHEN 2 THEN 'Park' WHEN 3 THEN 'Elm' ELSE 'Church' END, ' TOWN', CAST(k%40 AS {string}))
+    WHEN 2 THEN concat('House ', CAST(k AS {string})) ELSE substr(min(address), 1, 20) END AS address,
+  CASE WHEN k%3=0 THEN NULL ELSE max(eircode) END AS eircode, CASE WHEN k%7=0 THEN NULL ELSE upper(min(county)) END AS county,
+  CAST(CASE WHEN k%5=0 THEN 3 ELSE NULL END AS INT) AS bedrooms
+FROM {dwelling} GROUP BY k"""
+SUBJECTS_CTE = f"subjects AS ({_SUBJECTS_SQL.format(string='VARCHAR', dwelling='dwelling')})"
+
+
+def valuation_requests(spark: SparkSession, sales_df: DataFrame) -> DataFrame:
+    return spark.sql(_SUBJECTS_SQL.replace("{string}", "STRING"), dwelling=sales_df.select("k", "address", "county", "eircode"))

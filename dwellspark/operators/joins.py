@@ -94,23 +94,22 @@ def nearest_join(df: DataFrame, points: DataFrame, at=("latitude", "longitude"),
     return df.join(best, (F.col(y) == F.col("_y")) & (F.col(x) == F.col("_x"))).drop("_y", "_x")
 
 
-def asof_nearest(df: DataFrame, index: DataFrame, by: str, month: str, value: str = "price_index",
+def asof_nearest(df: DataFrame, index: DataFrame, by: str, at: str, value: str = "price_index",
                  index_month: str = "month", policy: str = "nearest", out: str = "index_value") -> DataFrame:
-    """Add the index of the row's group and month, else of the nearest month (earlier
-    on ties) or, with policy 'latest', of the newest month; adds `<out>_exact`.
+    """Add the index of the row's group and month, else of the month nearest to the
+    date (earlier on ties) or, with policy 'latest', of the newest; adds `<out>_exact`.
 
-    Works on the distinct (group, month) keys, which the calendar bounds."""
-    keys = df.select(F.col(by).alias("_g"), F.col(month).alias("_m")).where("_g is not null and _m is not null").distinct()
+    Works on the distinct (group, date) keys, which the calendar bounds."""
+    keys = df.select(F.col(by).alias("_g"), F.col(at).alias("_m")).where("_g is not null and _m is not null").distinct()
     idx = index.select(F.col(by).alias("_ig"), F.col(index_month).alias("_im"), F.col(value).alias("_iv"))
-    exact = keys.join(idx, (F.col("_g") == F.col("_ig")) & (F.col("_m") == F.col("_im")))
-    exact = exact.select("_g", "_m", F.col("_iv").alias(out), F.lit(True).alias(f"{out}_exact"))
-    misses = keys.join(idx, (F.col("_g") == F.col("_ig")) & (F.col("_m") == F.col("_im")), "left_anti")
+    same = (F.col("_g") == F.col("_ig")) & (F.trunc("_m", "month") == F.col("_im"))
+    exact = keys.join(idx, same).select("_g", "_m", F.col("_iv").alias(out), F.lit(True).alias(f"{out}_exact"))
     gap = F.abs(F.datediff("_m", "_im"))
     pick = (F.min_by("_iv", F.struct(gap, F.col("_im"))) if policy == "nearest" else F.max_by("_iv", "_im"))
-    filled = (misses.join(idx, F.col("_g") == F.col("_ig")).groupBy("_g", "_m").agg(pick.alias(out))
-              .withColumn(f"{out}_exact", F.lit(False)))
+    filled = (keys.join(idx, same, "left_anti").join(idx, F.col("_g") == F.col("_ig")).groupBy("_g", "_m")
+              .agg(pick.alias(out)).withColumn(f"{out}_exact", F.lit(False)))
     lookup = exact.unionByName(filled)
-    return (df.join(lookup, (F.col(by) == F.col("_g")) & (F.col(month) == F.col("_m")), "left")
+    return (df.join(lookup, (F.col(by) == F.col("_g")) & (F.col(at) == F.col("_m")), "left")
             .drop("_g", "_m"))
 
 
@@ -193,6 +192,26 @@ def contains_join(terms: DataFrame, term: str, dictionary: DataFrame, text: str,
             .drop("_term").withColumnRenamed("_text", text))
 
 
+def contains_all_join(requests: DataFrame, dictionary: DataFrame, text: str, text_id: list[str]) -> DataFrame:
+    """(request, text) pairs where every word group of the request has a variant in
+    the text. `requests` is (query_id, variants ARRAY<ARRAY<STRING>>).
+
+    Candidates come from the word group that is rarest by gram frequency; the other
+    groups are checked on the candidate text, so common words drive no join."""
+    words = (requests.select("query_id", F.posexplode("variants").alias("_pos", "_vs"))
+             .select("query_id", "_pos", F.explode("_vs").alias("_v")))
+    picks, index = rarest_grams(words, "_v", dictionary, text, text_id)
+    priced = words.join(picks, F.col("_v") == F.col("_term"), "left")
+    best = (priced.groupBy("query_id", "_pos").agg(F.sum(F.coalesce("_f", F.lit(0))).alias("_cost"))
+            .groupBy("query_id").agg(F.min(F.struct("_cost", "_pos")).alias("_b"))
+            .select("query_id", F.col("_b._pos").alias("_pos")))
+    found = (priced.where("_gram is not null").join(best, ["query_id", "_pos"])
+             .select("query_id", "_v", "_gram").join(index, "_gram")
+             .where(F.contains(F.col("_text"), F.col("_v"))).select("query_id", "_text", *text_id).distinct())
+    every = F.forall("variants", lambda vs: F.exists(vs, lambda v: F.contains(F.col("_text"), v)))
+    return requests.join(found, "query_id").where(every).drop("variants").withColumnRenamed("_text", text)
+
+
 PREFIX_TIERS = (1, 2, 4, 8, 16, 32)
 
 

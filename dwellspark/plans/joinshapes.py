@@ -166,16 +166,16 @@ def _(spark, d):
 
 
 def _asof(policy: str, name: str) -> None:
-    pick = ("arg_min(i.price_index, (abs(date_diff('day', m, i.month)), i.month))" if policy == "nearest" else "arg_max(i.price_index, i.month)")
+    pick = ("arg_min(i.price_index, (abs(date_diff('day', sale_date, i.month)), i.month))" if policy == "nearest" else "arg_max(i.price_index, i.month)")
 
     @query(name, over_sales(
-        f"""SELECT id, coalesce(e.price_index, near.v) AS index_value, e.price_index IS NOT NULL AS exact FROM (SELECT id, county, CAST(date_trunc('month', sale_date) AS DATE) AS m FROM dwelling) s
-           LEFT JOIN price_index e ON e.county = s.county AND e.month = s.m
-           LEFT JOIN (SELECT k.county, m, {pick} AS v FROM (SELECT DISTINCT county, CAST(date_trunc('month', sale_date) AS DATE) AS m FROM dwelling) k JOIN price_index i USING (county) GROUP BY ALL) near ON near.county = s.county AND near.m = s.m""", INDEX_CTE))
+        f"""SELECT id, coalesce(e.price_index, near.v) AS index_value, e.price_index IS NOT NULL AS exact FROM dwelling s
+           LEFT JOIN price_index e ON e.county = s.county AND e.month = date_trunc('month', s.sale_date)
+           LEFT JOIN (SELECT k.county, sale_date, {pick} AS v FROM (SELECT DISTINCT county, sale_date FROM dwelling) k JOIN price_index i USING (county) GROUP BY ALL) near ON near.county = s.county AND near.sale_date = s.sale_date""", INDEX_CTE))
     def _(spark, d):
-        s = dwelling_sales(spark, d).withColumn("m", F.trunc("sale_date", "month"))
-        index = stats.county_price_index(dwelling_sales(spark, d), "1995-01-01", min_n=3)
-        return (joins.asof_nearest(s, index, "county", "m", policy=policy)
+        s = dwelling_sales(spark, d)
+        index = stats.county_price_index(s, "1995-01-01", min_n=3)
+        return (joins.asof_nearest(s, index, "county", "sale_date", policy=policy)
                 .select("id", "index_value", F.coalesce("index_value_exact", F.lit(False)).alias("exact")))
 
 

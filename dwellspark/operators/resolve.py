@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dwellspark.functions import geo, text
+from dwellspark.lineage import cut_lineage
 from dwellspark.operators.joins import contains_all_join, contains_join, prefix_join
 
 # Sums are shifted to keep the variance well conditioned in double arithmetic.
@@ -41,13 +42,16 @@ def _located(source: str) -> list[Column]:
     return ["query_id", _mean("_y", _LAT0).alias("lat"), _mean("_x", _LON0).alias("lon"), F.lit(source).alias("source")]
 
 
-def resolve_by_tokens(requests: DataFrame, df: DataFrame) -> DataFrame:
+def resolve_by_tokens(requests: DataFrame, df: DataFrame, book: DataFrame | None = None) -> DataFrame:
     """Mean point of the addresses holding every token (in any variant) of the
-    request (query_id, query, county), if they form a tight cluster."""
+    request (query_id, query, county), if they form a tight cluster.
+
+    `book` is a prepared `address_dictionary`; it is read several times."""
     asked = (requests.withColumn("_tokens", text.address_tokens("query")).where(F.size("_tokens") > 0)
              .withColumn("variants", F.transform("_tokens", text.token_variants)))
-    book = address_dictionary(df)
-    pairs = contains_all_join(asked.select("query_id", F.lower("county").alias("_asked"), F.size("_tokens").alias("_k"), "variants"),
+    book = book if book is not None else cut_lineage(address_dictionary(df))
+    asked = cut_lineage(asked.select("query_id", F.lower("county").alias("_asked"), F.size("_tokens").alias("_k"), "variants"))
+    pairs = contains_all_join(asked,
                               book.select("_a", "_c"), "_a", ["_c"])
     pairs = pairs.where(F.col("_asked").isNull() | (F.col("_asked") == F.col("_c")))
     found = pairs.join(book, ["_a", "_c"]).groupBy("query_id", "_k").agg(*_sums())
@@ -55,10 +59,9 @@ def resolve_by_tokens(requests: DataFrame, df: DataFrame) -> DataFrame:
     return found.where((_std("_y", "_yy") < limit) & (_std("_x", "_xx") < limit)).select(*_located("db_tokens"))
 
 
-def _substring_totals(terms: DataFrame, df: DataFrame) -> DataFrame:
+def _substring_totals(terms: DataFrame, book: DataFrame) -> DataFrame:
     """Sums per (query_id) of sales whose address or county contains `term`."""
-    book = address_dictionary(df)
-    terms = terms.where(F.length("term") > 0)
+    terms = cut_lineage(terms.where(F.length("term") > 0))
     by_address = contains_join(terms, "term", book.select("_a", "_c"), "_a", ["_c"]).select("query_id", "_a", "_c")
     by_county = contains_join(terms, "term", book.select("_c").distinct(), "_c", []).select("query_id", "_c")
     counties = book.groupBy("_c").agg(*_sums())
@@ -68,15 +71,17 @@ def _substring_totals(terms: DataFrame, df: DataFrame) -> DataFrame:
     return whole.select(*cols).unionByName(rest.select(*cols)).groupBy("query_id").agg(*_sums())
 
 
-def resolve_fuzzy(requests: DataFrame, df: DataFrame, min_rows: int = 3) -> DataFrame:
+def resolve_fuzzy(requests: DataFrame, df: DataFrame, min_rows: int = 3,
+                  book: DataFrame | None = None) -> DataFrame:
     """Mean point of sales whose address or county contains the request; a plural
     request without any hit is retried in the singular."""
     query = F.lower(F.trim("query"))
-    first = _substring_totals(requests.select("query_id", query.alias("term")), df)
+    book = book if book is not None else cut_lineage(address_dictionary(df))
+    first = cut_lineage(_substring_totals(requests.select("query_id", query.alias("term")), book))
     low = F.lower("query")
     again = (requests.where(low.endswith("s") & ~low.endswith("ss")).join(first, "query_id", "left_anti")
              .select("query_id", F.trim(F.lower(F.expr("left(query, length(query) - 1)"))).alias("term")))
-    both = first.unionByName(_substring_totals(again, df))
+    both = first.unionByName(_substring_totals(again, book))
     return both.where(F.col("_n") >= min_rows).select(*_located("db_fuzzy"))
 
 
@@ -90,7 +95,8 @@ def area_hint(requests: DataFrame, df: DataFrame, min_rows: int = 5, spread: flo
         F.when(F.size("_p") >= 3, F.struct(F.lit(2).alias("no"), F.lower(pair).alias("term")))))
     asked = (requests.withColumn("_p", parts).where(F.size("_p") >= 2)
              .select("query_id", F.explode(tries).alias("t")).select("query_id", "t.no", "t.term").where(F.length("term") >= 4))
-    book = address_dictionary(df)
+    book = cut_lineage(address_dictionary(df))
+    asked = cut_lineage(asked)
     terms = asked.select("term").distinct()
     sums = (contains_join(terms, "term", book.select("_a", "_c"), "_a", ["_c"]).join(book, ["_a", "_c"])
             .groupBy("term").agg(*_sums()).where(F.col("_n") >= min_rows)
@@ -143,10 +149,12 @@ def resolve_locations(requests: DataFrame, df: DataFrame, reference: DataFrame)
            .when(c("_full") & c("_kn").isNotNull(), point(c("_klat"), c("_klon"), "db_routing_key")))
     rows = (rows.withColumn("_own", own)
             .withColumn("flag_postcode", F.when(c("_full") & c("_en").isNotNull() & checked & ~near, norm)))
+    rows = cut_lineage(rows.select(*requests.columns, "_own", "flag_postcode"))
     open_rows = rows.where("_own is null").select("query_id", "query", "county")
+    book = cut_lineage(address_dictionary(df))
     packed = lambda d, name: d.select("query_id", F.struct("lat", "lon", "source").alias(name))
-    rows = (rows.join(packed(resolve_by_tokens(open_rows, df), "_tok"), "query_id", "left")
-            .join(packed(resolve_fuzzy(open_rows, df), "_fuz"), "query_id", "left"))
+    rows = (rows.join(packed(resolve_by_tokens(open_rows, df, book), "_tok"), "query_id", "left")
+            .join(packed(resolve_fuzzy(open_rows, df, book=book), "_fuz"), "query_id", "left"))
     found = F.coalesce("_own", "_tok", "_fuz")
     return rows.select(*requests.columns, found["lat"].alias("lat"), found["lon"].alias("lon"),
                        found["source"].alias("source"), "flag_postcode")
@@ -193,14 +201,17 @@ def resolve_subjects(requests: DataFrame, df: DataFrame, stats: DataFrame) -> Da
     book = (df.where("latitude is not null and longitude is not null")
             .groupBy(spelled.alias("_a"), F.lower("county").alias("_c"))
             .agg(F.min(F.struct("id", "latitude", "longitude", "bedrooms")).alias("_first")))
+    asked, book = cut_lineage(asked), cut_lineage(book)
     prefix = (prefix_join(asked.select("query_id", "_norm", "_county"), "_norm", book, "_a").where("_c = _county")
               .groupBy("query_id").agg(F.min("_first").alias("_hit")))
+    prefix = cut_lineage(prefix)
     words = F.regexp_extract_all("_norm", F.lit(r"(\w+)"), F.lit(1))
     tokens = F.filter(words, lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(SKIP_WORDS))
     rest = (asked.join(prefix.select("query_id"), "query_id", "left_anti").withColumn("_t", tokens).where(F.size("_t") >= 3)
             .select("query_id", "_county", F.transform(F.slice("_t", 1, 6), lambda w: F.array(F.lower(w))).alias("variants")))
     low = book.select(F.lower("_a").alias("_l"), "_c", F.struct(F.length("_a").alias("_len"), "_first").alias("_r")) \
         .groupBy("_l", "_c").agg(F.min("_r").alias("_r"))
+    rest = cut_lineage(rest)
     flexible = (contains_all_join(rest, low.select("_l", "_c"), "_l", ["_c"]).where("_c = _county")
                 .join(low, ["_l", "_c"]).groupBy("query_id").agg(F.min("_r").alias("_r"))
                 .select("query_id", F.col("_r._first").alias("_hit")))

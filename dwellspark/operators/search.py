@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dwellspark.functions import geo, text
+from dwellspark.lineage import cut_lineage
 from dwellspark.operators.joins import near_equal_join, prefix_join, radius_pairs
 from dwellspark.operators.quantiles import grouped_quantiles
 from dwellspark.operators.stats import market_sales, top_n
@@ -77,7 +78,8 @@ def radius_search(requests: DataFrame, df: DataFrame, limit: int = 200, sort: st
     shown = not_suspect(df).where("latitude is not null and longitude is not null")
     keyed = shown.withColumn("p_county", F.lower("county"))
     place = ["latitude", "longitude", "p_county"]
-    points = keyed.groupBy(*place).agg(F.count("*").alias("n"))
+    requests = cut_lineage(requests)
+    points = cut_lineage(keyed.groupBy(*place).agg(F.count("*").alias("n")))
     newest = top_n(keyed, place, newest_first(), limit, "_rn").drop("_rn")
 
     def tier(asked: DataFrame, reach_km: float):
@@ -85,6 +87,7 @@ def radius_search(requests: DataFrame, df: DataFrame, limit: int = 200, sort: st
         return _choose_ring(asked, pairs, limit, max_km, min_results), pairs
 
     first, near_pairs = tier(requests.where(F.col("radius_km") <= near_km), near_km)
+    first = cut_lineage(first)
     settled = first.where(F.col("ring_km") <= near_km)
     rest = requests.join(settled.select("query_id"), "query_id", "left_anti")
     second, wide_pairs = tier(rest, max_km)

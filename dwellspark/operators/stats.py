@@ -73,12 +73,18 @@ def routing_key_stats(df: DataFrame) -> DataFrame:
         F.min("sale_date").alias("earliest_sale"), F.max("sale_date").alias("latest_sale"),
         F.count("latitude").alias("geocoded_count"),
         (F.count("latitude") / F.count("*")).alias("geocoded_pct"))
-    key = ["routing_key"]
-    median = grouped_quantiles(valid.where(~F.col("not_full_market_price")), key, "price",
-                               {"median_price": 0.5}, stats=False)
-    lat = grouped_quantiles(valid, key, "latitude", {"centroid_lat": 0.5}, 0.001, False)
-    lon = grouped_quantiles(valid, key, "longitude", {"centroid_lon": 0.5}, 0.001, False)
-    return base.join(median, key, "left").join(lat, key, "left").join(lon, key, "left")
+    # the three medians share one pass: each row becomes up to three (kind, value) pairs
+    market = F.when(~F.col("not_full_market_price"), F.col("price").cast("double"))
+    pairs = F.array(F.struct(F.lit("price").alias("kind"), market.alias("value")),
+                    F.struct(F.lit("lat").alias("kind"), F.col("latitude").alias("value")),
+                    F.struct(F.lit("lon").alias("kind"), F.col("longitude").alias("value")))
+    long = valid.select("routing_key", F.explode(pairs).alias("p")).select("routing_key", "p.kind", "p.value")
+    width = F.when(F.col("kind") == "price", 1000.0).otherwise(0.001)
+    medians = grouped_quantiles(long, ["routing_key", "kind"], "value", {"m": 0.5}, width, False)
+    pick = lambda kind, name: F.max(F.when(F.col("kind") == kind, F.col("m"))).alias(name)
+    wide = medians.groupBy("routing_key").agg(
+        pick("price", "median_price"), pick("lat", "centroid_lat"), pick("lon", "centroid_lon"))
+    return base.join(wide, "routing_key", "left")
 
 
 def postcode_reference(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from dwellspark.plans.registry import ORACLES, QUERIES
 
-_MODULES = ["scalars", "aggregates", "searches", "joinshapes", "repairs", "resolution", "valuations"]
+_MODULES = ["scalars", "aggregates", "searches", "joinshapes", "repairs", "resolution", "valuations", "incrementals"]
 
 
 def _load() -> None:

@@ -66,7 +66,8 @@ def _(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("seg"), F.col("c_acctbal").alias("bal"))
     target = c.where("k % 4 <> 0").withColumn("updated_at", F.lit("2024-01-01").cast("timestamp"))
     updates = c.where("k % 3 = 0").withColumn("seg", F.lit("NEW")).withColumn("bal", F.col("bal") + 1)
-    return joins.upsert_by_key(target, updates, ["k"], stamp="2024-02-01")
+    out = joins.upsert_by_key(target, updates, ["k"], stamp="2024-02-01")
+    return out.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
 
 
 @query("accounts_export", over_sales(

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from dwellspark.functions import text
 from dwellspark.operators.joins import contains_join, prefix_join, radius_pairs, with_scalars
@@ -130,7 +131,7 @@ def rate_breaches(log: DataFrame, limit: int, window_s: float = 60.0) -> DataFra
     run_key = [*key, "_run"]
     ordered = (rows.join(runs, [*key, "_bucket"]).select("request_id", *key, "ts", "_sec", "_run")
                .repartition(*run_key).sortWithinPartitions(*run_key, "_sec", "request_id"))
-    schema = ordered.schema.add("refused", "boolean")
+    schema = StructType([*ordered.schema.fields, StructField("refused", BooleanType())])
     return ordered.mapInPandas(_scan_requests(limit, window_s, run_key), schema).select(
         "request_id", *key, "ts", "refused")
 

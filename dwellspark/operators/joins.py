@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dwellspark.functions import geo
+from dwellspark.lineage import cut_lineage
 
 # Grid longitude cells are widened for the northernmost latitude served.
 MAX_LATITUDE = 56.0
@@ -57,37 +58,66 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, left_at=("q
             .where(F.col("distance_m") <= (F.lit(radius_m) if limit_m is None else limit_m)))
 
 
+def _boxed_cells(df: DataFrame, y: str, x: str, by: list[str], prefix: str) -> DataFrame:
+    """Non-empty leaf cells with the tight box of the points in them."""
+    return df.groupBy(*by, "_cy", "_cx").agg(
+        F.min(y).alias(prefix + "y0"), F.max(y).alias(prefix + "y1"), F.min(x).alias(prefix + "x0"), F.max(x).alias(prefix + "x1"))
+
+
+def _box_bounds() -> tuple[Column, Column]:
+    """Lower and upper bound of the squared half-chord between two boxes (a, b)."""
+    c = F.col
+    gap = lambda lo1, hi1, lo2, hi2: F.greatest(F.lit(0.0), c(lo2) - c(hi1), c(lo1) - c(hi2))
+    span = lambda lo1, hi1, lo2, hi2: F.greatest(c(hi2) - c(lo1), c(hi1) - c(lo2))
+    sin2 = lambda deg: F.pow(F.sin(F.radians(deg) / 2), 2)
+    far = F.greatest(F.abs("ay0"), F.abs("ay1"), F.abs("by0"), F.abs("by1"))
+    near = lambda p: F.when(F.signum(p + "y0") * F.signum(p + "y1") <= 0, F.lit(0.0)).otherwise(F.least(F.abs(p + "y0"), F.abs(p + "y1")))
+    lower = sin2(gap("ay0", "ay1", "by0", "by1")) + F.pow(F.cos(F.radians(far)), 2) * sin2(gap("ax0", "ax1", "bx0", "bx1"))
+    upper = (sin2(span("ay0", "ay1", "by0", "by1"))
+             + F.cos(F.radians(near("a"))) * F.cos(F.radians(near("b"))) * sin2(span("ax0", "ax1", "bx0", "bx1")))
+    return lower, upper
+
+
 def nearest_join(df: DataFrame, points: DataFrame, at=("latitude", "longitude"),
                  cell_deg: float = 0.01, tiers: int = 6) -> DataFrame:
     """Nearest point of every class for each row: adds class, point_id, distance_m.
 
-    `points` is (class, point_id, p_lat, p_lon). Works per distinct coordinate. Cell
-    sizes grow fourfold per tier. The finest tier whose 3x3 neighbourhood holds a point
-    bounds the distance by about three cells, so the next tier's neighbourhood
-    holds the nearest point for certain: one lookup and one equi-join, no loop."""
+    `points` is (class, point_id, p_lat, p_lon). Rows and points are put into leaf
+    cells, whose number the served area bounds. Cell sizes grow fourfold per tier: the
+    finest tier whose 3x3 neighbourhood holds a point limits the distance to about three
+    cells, so the next tier's neighbourhood holds the nearest point for certain. Of the
+    point cells found there only those that can beat the best upper bound are opened, so
+    coordinates far from all points do not meet every point."""
     y, x = at
-    coords = df.where(F.col(y).isNotNull()).select(F.col(y).alias("_y"), F.col(x).alias("_x")).distinct()
-    sizes = [cell_deg * 4 ** t for t in range(tiers + 1)]
-
-    def tiered(yc, xc, which):
-        return F.explode(F.array(*[F.struct(
-            F.lit(t).alias("t"), geo.cell(yc, sizes[t]).alias("cy"),
-            geo.cell(xc, sizes[t] * LON_STRETCH).alias("cx")) for t in which]))
-
-    own = points.select("class", "point_id", "p_lat", "p_lon", tiered("p_lat", "p_lon", range(tiers + 1)).alias("k")) \
-        .select("class", "point_id", "p_lat", "p_lon", "k.t", "k.cy", "k.cx")
-    covered = (own.where(F.col("t") < tiers).select("class", "t", "cy", "cx").distinct()
-               .select("class", "t", _neighbours(F.col("cy"), F.col("cx")).alias("n"))
-               .select("class", "t", "n.cy", "n.cx").distinct())
-    reach = (coords.select("_y", "_x", tiered("_y", "_x", range(tiers)).alias("k"))
-             .select("_y", "_x", "k.t", "k.cy", "k.cx").join(covered, ["t", "cy", "cx"])
-             .groupBy("_y", "_x", "class").agg((F.min("t") + 1).alias("t")))
-    size = F.element_at(F.array(*[F.lit(s) for s in sizes]), F.col("t") + 1)
-    cells = (reach.withColumn("cy0", F.floor(F.col("_y") / size).cast("long"))
-             .withColumn("cx0", F.floor(F.col("_x") / (size * LON_STRETCH)).cast("long"))
-             .select("_y", "_x", "class", "t", _neighbours(F.col("cy0"), F.col("cx0")).alias("n"))
-             .select("_y", "_x", "class", "t", "n.cy", "n.cx"))
-    best = (cells.join(own, ["class", "t", "cy", "cx"])
+    leaf = lambda d, yc, xc: d.withColumn("_cy", geo.cell(yc, cell_deg)).withColumn("_cx", geo.cell(xc, cell_deg * LON_STRETCH))
+    # each of these is read several times below
+    coords = cut_lineage(leaf(
+        df.where(F.col(y).isNotNull()).select(F.col(y).alias("_y"), F.col(x).alias("_x")).distinct(), "_y", "_x"))
+    placed = cut_lineage(leaf(points.select("class", "point_id", "p_lat", "p_lon"), "p_lat", "p_lon"))
+    left, right = _boxed_cells(coords, "_y", "_x", [], "a"), _boxed_cells(placed, "p_lat", "p_lon", ["class"], "b")
+    up = lambda c, t: F.floor(F.col(c) / F.lit(4 ** t)).cast("long")
+
+    def tiered(which):
+        return F.explode(F.array(*[F.struct(F.lit(t).alias("t"), up("_cy", t).alias("ty"), up("_cx", t).alias("tx")) for t in which]))
+
+    own = right.withColumn("k", tiered(range(tiers + 1))).select("*", "k.*").drop("k").withColumnsRenamed({"_cy": "_ry", "_cx": "_rx"})
+    covered = (own.where(F.col("t") < tiers).select("class", "t", "ty", "tx").distinct()
+               .select("class", "t", _neighbours(F.col("ty"), F.col("tx")).alias("n"))
+               .select("class", "t", F.col("n.cy").alias("ty"), F.col("n.cx").alias("tx")).distinct())
+    reach = (left.withColumn("k", tiered(range(tiers))).select("_cy", "_cx", "k.*").join(covered, ["t", "ty", "tx"])
+             .groupBy("_cy", "_cx", "class").agg((F.min("t") + 1).alias("t")))
+    scale = F.pow(F.lit(4.0), F.col("t"))
+    asked = (reach.join(left, ["_cy", "_cx"])
+             .withColumn("n", _neighbours(F.floor(F.col("_cy") / scale).cast("long"), F.floor(F.col("_cx") / scale).cast("long")))
+             .select("*", F.col("n.cy").alias("ty"), F.col("n.cx").alias("tx")).drop("n"))
+    lower, upper = _box_bounds()
+    pairs = cut_lineage(asked.join(own, ["class", "t", "ty", "tx"])
+                        .select("class", "_cy", "_cx", "_ry", "_rx", lower.alias("_lo"), upper.alias("_hi")))
+    limit = pairs.groupBy("class", "_cy", "_cx").agg(F.min("_hi").alias("_best"))
+    opened = (pairs.join(limit, ["class", "_cy", "_cx"]).where(F.col("_lo") <= F.col("_best") * (1 + 1e-9) + 1e-18)
+              .select("class", "_cy", "_cx", "_ry", "_rx"))
+    best = (coords.join(opened, ["_cy", "_cx"])
+            .join(placed.withColumnsRenamed({"_cy": "_ry", "_cx": "_rx"}), ["class", "_ry", "_rx"])
             .withColumn("distance_m", geo.haversine_m("_y", "_x", "p_lat", "p_lon"))
             .groupBy("_y", "_x", "class").agg(F.min(F.struct("distance_m", "point_id")).alias("b"))
             .select("_y", "_x", "class", "b.point_id", "b.distance_m"))

@@ -38,7 +38,7 @@ def with_distances(df: DataFrame, amenities: DataFrame, classes: Column, names:
     coords = df.where("latitude is not null and longitude is not null").select("latitude", "longitude").distinct()
     wide = nearest_join(coords, points).groupBy("latitude", "longitude").agg(*[
         F.max(F.when(F.col("class") == n, F.col("distance_m"))).alias(f"d_{n}") for n in names])
-    return df.join(wide, ["latitude", "longitude"])
+    return df.join(cut_lineage(wide), ["latitude", "longitude"])
 
 
 def study_sales(df: DataFrame, county: str | None = "Dublin") -> DataFrame:

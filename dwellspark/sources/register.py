@@ -85,8 +85,18 @@ def split_rejects(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
             typed.withColumn("reject_reason", reason).where("reject_reason is not null"))
 
 
+# The code page's printable characters in the range Latin-1 leaves empty.
+CP1252_RANGE = ("\u0080\u0082\u0084\u0085\u0091\u0092\u0093\u0094\u0095\u0096\u0097", "€‚„…‘’“”•–—")
+
+
 def read_register_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
-    """(valid, rejects) of register files; pass encoding 'windows-1252' for old ones."""
-    raw = (spark.read.option("header", True).option("encoding", encoding).option("multiLine", True)
+    """(valid, rejects) of register files; pass encoding 'windows-1252' for old ones.
+
+    The CSV reader does not know that code page: such files are read as Latin-1, which
+    keeps every byte, and the differing characters are translated."""
+    old = encoding.lower() in ("windows-1252", "cp1252")
+    raw = (spark.read.option("header", True).option("encoding", "ISO-8859-1" if old else encoding).option("multiLine", True)
            .option("quote", '"').option("escape", '"').csv(path))
+    if old:
+        raw = raw.select(*[F.translate(F.col(f"`{c}`"), *CP1252_RANGE).alias(c) for c in raw.columns])
     return split_rejects(typed_register_rows(canonical_headers(raw)))

@@ -1,0 +1,69 @@
+"""Streaming forms against their batch twins."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from dwellspark import fixtures
+from dwellspark.operators import incremental
+from dwellspark.plans.incrementals import arrived_sales, query_log, subscriptions
+from dwellspark.streaming import jobs
+
+from conftest import SF
+
+
+def stream_of(spark, df, path):
+    df.write.mode("overwrite").parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def test_alert_stream_equals_batch(spark, sales, tmp_path):
+    s = arrived_sales(sales)
+    subs = subscriptions(s)
+    q = jobs.start_alert_stream(stream_of(spark, s, str(tmp_path / "in")), s, subs, str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination()
+    key = lambda d: sorted((r["sub_id"], r["position"], r["id"]) for r in d.collect())
+    got, want = key(spark.read.parquet(str(tmp_path / "out"))), key(incremental.match_alerts(subs, s))
+    assert got == want and want
+
+
+def test_query_log_stream_counts(spark, tmp_path):
+    log = query_log(spark, SF).withColumn("ts", F.col("ts").cast("timestamp")).drop("arrived_at")
+    out = jobs.query_log_stream(stream_of(spark, log, str(tmp_path / "in")))
+    q = out.writeStream.format("memory").queryName("log_stats").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r["window_start"], r["geocode_source"]): (r["queries"], r["empty"]) for r in spark.table("log_stats").collect()}
+    batch = incremental.query_log_stats(log.withColumn("arrived_at", F.col("ts")))
+    want = {(r["window_start"], r["geocode_source"]): (r["queries"], r["empty"]) for r in batch.collect()}
+    assert got == want and want
+
+
+def test_rate_stream_equals_batch(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, f"c{i % 2}", "search", start + dt.timedelta(seconds=i * 4)) for i in range(200)]
+    log = spark.createDataFrame(rows, "request_id long, client string, endpoint string, ts timestamp")
+    out = jobs.rate_breach_stream(stream_of(spark, log, str(tmp_path / "in")), 5)
+    q = out.writeStream.format("memory").queryName("rates").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["request_id"]: r["refused"] for r in spark.table("rates").collect()}
+    want = {r["request_id"]: r["refused"] for r in incremental.rate_breaches(log, 5).collect()}
+    assert got == want and any(want.values())
+
+
+def test_register_stream_is_idempotent(spark, tmp_path):
+    store, incoming = tmp_path / "store", tmp_path / "incoming"
+    incoming.mkdir()
+    base = spark.createDataFrame([(1, dt.date(2020, 2, 1), "1 Rd", "Cork", 100)], "id long, sale_date date, address string, county string, price int") \
+        .withColumn("price", F.col("price").cast("decimal(12,2)")).withColumn("needs_geocoding", F.lit(False)).withColumn("latitude", F.lit(53.0))
+    base.write.parquet(str(store / "sales" / "batch=start"))
+    head = ",".join(jobs.REGISTER_COLUMNS) + "\n"
+    (incoming / "a.csv").write_text(head + "01/02/2020,1 Road,Cork,,100,No,No,,\n03/02/2020,2 Rd,Mayo,,200,No,No,,\nbad,3 Rd,Mayo,,1,No,No,,\n")
+    run = lambda: jobs.start_register_stream(spark, str(incoming), str(store), str(tmp_path / "cp")).awaitTermination()
+    stored = lambda: spark.read.option("recursiveFileLookup", True).parquet(str(store / "sales"))
+    run()
+    assert stored().count() == 2
+    (incoming / "b.csv").write_text(head + "01/02/2020,1 Rd.,Cork,,100,No,No,,\n03/02/2020,2 Rd,Mayo,,200,No,No,,\n03/02/2020,2 Rd,Mayo,,200,No,No,,\n")
+    run()
+    rows = stored().collect()
+    assert sorted((r["county"], int(r["price"])) for r in rows) == [("Cork", 100), ("Mayo", 200), ("Mayo", 200)]
+    assert spark.read.option("recursiveFileLookup", True).parquet(str(store / "rejects")).count() == 1

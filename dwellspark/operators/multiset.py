@@ -20,6 +20,7 @@ def snapshot_key(df: DataFrame) -> list[Column]:
 
 _KEY = ["_kd", "_kp", "_kc"]
 ROW_ORDER = "_digest"
+SLICE_CHARS = 4
 
 
 def row_digest(cols: list[str]) -> Column:
@@ -31,12 +32,12 @@ def reconcile(base: DataFrame, source: DataFrame, content: list[str] | None = No
     max(0, n_source - n_base) rows in the order of a content digest.
 
     Exact copies are collapsed to a count first and expanded at the end, and keys are
-    counted by digest prefix, so a hot key is ranked in 256 independent slices and
-    never in one task. Running it twice adds nothing."""
+    counted by digest prefix, so a hot key is ranked in up to 65,536 independent
+    slices and never in one task. Running it twice adds nothing."""
     content = content or [c for c in source.columns if c != "id"]
     copies = source.groupBy(*source.columns).agg(F.count("*").alias("_copies"))
     rows = copies.select("*", *snapshot_key(copies), row_digest(content).alias(ROW_ORDER)) \
-        .withColumn("_slice", F.substring(ROW_ORDER, 1, 2))
+        .withColumn("_slice", F.substring(ROW_ORDER, 1, SLICE_CHARS))
     slices = rows.groupBy(*_KEY, "_slice").agg(F.sum("_copies").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*_KEY).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dwellspark.functions import text
+from dwellspark.functions import geo, text
 from dwellspark.operators.joins import contains_join, fill_from
 from dwellspark.operators.stats import inconsistent_addresses
 
@@ -66,8 +66,10 @@ def repair_inconsistent(df: DataFrame, key: str = "address") -> tuple[DataFrame,
     """Rows of inconsistent addresses take the canonical values; also the audit of
     every changed field."""
     bad = inconsistent_addresses(df).select(F.col("address").alias(key), F.lit(True).alias("_bad"))
-    rows = (df.join(bad, key, "left").join(canonical_coordinates(df, key), key, "left")
-            .join(canonical_attributes(df, key), key, "left"))
+    # one row per address is assembled first, so the sales are joined (and a hot
+    # address is split by adaptive skew handling) only once
+    facts = bad.join(canonical_coordinates(df, key), key, "left").join(canonical_attributes(df, key), key, "left")
+    rows = df.join(facts, key, "left")
     targets = {"latitude": "canon_lat", "longitude": "canon_lon", "bedrooms": "canon_bedrooms", "property_type": "canon_property_type"}
     fixed = rows
     for col, canon in targets.items():
@@ -136,7 +138,7 @@ def impute_street_mean(df: DataFrame) -> DataFrame:
     """Mean coordinate of the county's located sales with the same street pattern."""
     pattern = F.lower(text.street_pattern("address"))
     known = (df.where("latitude is not null and county is not null").withColumn("_p", pattern).where("_p is not null")
-             .groupBy("county", "_p").agg(F.avg("latitude").alias("imputed_lat"), F.avg("longitude").alias("imputed_lon"),
+             .groupBy("county", "_p").agg(geo.exact_mean("latitude").alias("imputed_lat"), geo.exact_mean("longitude").alias("imputed_lon"),
                                           F.count("*").alias("support")).where("support >= 2"))
     return (_missing(df).where(F.length("address") > 20).withColumn("_p", pattern).join(known, ["county", "_p"])
             .select("id", "imputed_lat", "imputed_lon", "support",

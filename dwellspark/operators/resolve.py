@@ -14,22 +14,23 @@ from dwellspark.operators.joins import contains_all_join, contains_join, prefix_
 
 # Sums are shifted to keep the variance well conditioned in double arithmetic.
 _LAT0, _LON0 = 53.0, -7.0
+SUMS = ["_n", "_lat", "_lon", "_y", "_yy", "_x", "_xx"]
 
 
 def address_dictionary(df: DataFrame, address: str = "address") -> DataFrame:
     """Distinct lower-case (address, county) with coordinate sums of located sales."""
     y, x = F.col("latitude") - F.lit(_LAT0), F.col("longitude") - F.lit(_LON0)
     return (df.where("latitude is not null").groupBy(F.lower(address).alias("_a"), F.lower("county").alias("_c"))
-            .agg(F.count("*").alias("_n"), F.sum(y).alias("_y"), F.sum(y * y).alias("_yy"),
-                 F.sum(x).alias("_x"), F.sum(x * x).alias("_xx")))
+            .agg(F.count("*").alias("_n"), geo.exact_sum("latitude").alias("_lat"), geo.exact_sum("longitude").alias("_lon"),
+                 F.sum(y).alias("_y"), F.sum(y * y).alias("_yy"), F.sum(x).alias("_x"), F.sum(x * x).alias("_xx")))
 
 
 def _sums() -> list[Column]:
-    return [F.sum(c).alias(c) for c in ("_n", "_y", "_yy", "_x", "_xx")]
+    return [F.sum(c).alias(c) for c in SUMS]
 
 
-def _mean(total: str, origin: float) -> Column:
-    return F.col(total) / F.col("_n") + F.lit(origin)
+def _mean(total: str) -> Column:
+    return F.col(total).cast("double") / F.col("_n")
 
 
 def _std(total: str, squares: str) -> Column:
@@ -39,7 +40,7 @@ def _std(total: str, squares: str) -> Column:
 
 
 def _located(source: str) -> list[Column]:
-    return ["query_id", _mean("_y", _LAT0).alias("lat"), _mean("_x", _LON0).alias("lon"), F.lit(source).alias("source")]
+    return ["query_id", _mean("_lat").alias("lat"), _mean("_lon").alias("lon"), F.lit(source).alias("source")]
 
 
 def resolve_by_tokens(requests: DataFrame, df: DataFrame, book: DataFrame | None = None) -> DataFrame:
@@ -67,7 +68,7 @@ def _substring_totals(terms: DataFrame, book: DataFrame) -> DataFrame:
     counties = book.groupBy("_c").agg(*_sums())
     whole = by_county.join(counties, "_c")
     rest = by_address.join(by_county, ["query_id", "_c"], "left_anti").join(book, ["_a", "_c"])
-    cols = ["query_id", "_n", "_y", "_yy", "_x", "_xx"]
+    cols = ["query_id", *SUMS]
     return whole.select(*cols).unionByName(rest.select(*cols)).groupBy("query_id").agg(*_sums())
 
 
@@ -102,7 +103,7 @@ def area_hint(requests: DataFrame, df: DataFrame, min_rows: int = 5, spread: flo
             .groupBy("term").agg(*_sums()).where(F.col("_n") >= min_rows)
             .where((_std("_y", "_yy") < spread) & (_std("_x", "_xx") < spread)))
     return (asked.join(sums, "term").select("query_id", F.struct(
-        "no", _mean("_y", _LAT0).alias("lat"), _mean("_x", _LON0).alias("lon"), "term").alias("h"))
+        "no", _mean("_lat").alias("lat"), _mean("_lon").alias("lon"), "term").alias("h"))
         .groupBy("query_id").agg(F.min("h").alias("h")).select("query_id", "h.lat", "h.lon", F.col("h.term").alias("hint")))
 
 
@@ -110,11 +111,11 @@ def postcode_means(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(per prefix of 2 to 4 characters, per full postcode): count and mean point."""
     code = F.replace(F.upper("eircode"), F.lit(" "), F.lit(""))
     rows = df.where("latitude is not null and eircode is not null").select(code.alias("_code"), "latitude", "longitude")
-    full = rows.groupBy("_code").agg(F.count("*").alias("_n"), F.sum("latitude").alias("_y"), F.sum("longitude").alias("_x"))
+    full = rows.groupBy("_code").agg(F.count("*").alias("_n"), geo.exact_sum("latitude").alias("_y"), geo.exact_sum("longitude").alias("_x"))
     prefixes = F.array_distinct(F.array(*[F.substring("_code", 1, n) for n in (2, 3, 4)]))
     short = (full.withColumn("_prefix", F.explode(prefixes)).groupBy("_prefix")
              .agg(F.sum("_n").alias("_n"), F.sum("_y").alias("_y"), F.sum("_x").alias("_x")))
-    point = lambda d, key: d.select(key, "_n", (F.col("_y") / F.col("_n")).alias("_lat"), (F.col("_x") / F.col("_n")).alias("_lon"))
+    point = lambda d, key: d.select(key, "_n", _mean("_y").alias("_lat"), _mean("_x").alias("_lon"))
     return point(short, "_prefix"), point(full, "_code")
 
 

@@ -278,7 +278,7 @@ def needs_geocoding_worklist(df: DataFrame, n: int | None = None, postcode_first
 def regeocode_worklist(df: DataFrame) -> DataFrame:
     """Quality-flagged rows with their distance from the routing key's mean."""
     mean = (df.where("latitude is not null and routing_key is not null").groupBy("routing_key")
-            .agg(F.avg("latitude").alias("_la"), F.avg("longitude").alias("_lo")))
+            .agg(geo.exact_mean("latitude").alias("_la"), geo.exact_mean("longitude").alias("_lo")))
     km = geo.haversine_m("latitude", "longitude", "_la", "_lo") / 1000.0
     return (df.where("geocode_quality_issue").join(mean, "routing_key", "left")
             .withColumn("distance_from_centroid_km", km)

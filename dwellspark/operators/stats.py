@@ -92,7 +92,7 @@ def postcode_reference(df: DataFrame) -> DataFrame:
     code = text.normalize_postcode("eircode")
     rows = df.where(geo.in_bounds("latitude", "longitude") & (F.length(code) == 7))
     return rows.groupBy(code.alias("postcode")).agg(
-        F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"),
+        geo.exact_mean("latitude").alias("latitude"), geo.exact_mean("longitude").alias("longitude"),
         F.count("*").alias("property_count"), F.mode("county", True).alias("county"),
         F.stddev_samp("latitude").alias("lat_stddev"), F.stddev_samp("longitude").alias("lon_stddev"))
 
@@ -141,8 +141,8 @@ def place_scatter(df: DataFrame, min_sales: int = 10, spread: float = 0.05, n: i
     place = F.trim(F.element_at(F.split("address", ","), -1))
     stats = (df.where(F.col("latitude").isNotNull() & F.col("address").contains(","))
              .withColumn("place", place).where(F.length("place") >= 4).groupBy("place")
-             .agg(F.count("*").alias("n"), F.avg("latitude").alias("mean_lat"),
-                  F.avg("longitude").alias("mean_lon"), F.stddev_samp("latitude").alias("std_lat"),
+             .agg(F.count("*").alias("n"), geo.exact_mean("latitude").alias("mean_lat"),
+                  geo.exact_mean("longitude").alias("mean_lon"), F.stddev_samp("latitude").alias("std_lat"),
                   F.stddev_samp("longitude").alias("std_lon"))
              .where(F.col("n") >= min_sales))
     a, b = F.coalesce("std_lat", F.lit(0.0)), F.coalesce("std_lon", F.lit(0.0))
@@ -453,7 +453,7 @@ def street_pages(df: DataFrame, registry: DataFrame, address: str = "address_nor
     """Nested document per registered street: stats, yearly trends, newest rows."""
     rows = (with_street_key(df.where(~F.col("not_full_market_price") & (F.col("price") > 0)), address)
             .withColumn("normalized_key", F.concat_ws("|", *STREET))
-            .join(F.broadcast(registry.select("normalized_key", "slug")), "normalized_key")
+            .join(registry.select("normalized_key", "slug"), "normalized_key")
             .withColumn("year", F.year("sale_date")))
     point = lambda: [F.col("n").alias("count"), F.bround("median_price").cast("long").alias("median"),
                      F.bround("mean_value").cast("long").alias("avg"), F.bround("min_value").cast("long").alias("min"),

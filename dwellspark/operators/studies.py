@@ -75,6 +75,10 @@ def distance_bands(df: DataFrame, names: list[str]) -> DataFrame:
     return grouped_quantiles(rows, ["class", "band"], "price", {"median_price": 0.5}).select("class", "band", "n", "median_price")
 
 
+# Widest model solved on the driver (the published ones have about 150 columns).
+MAX_WIDTH = 2_000
+
+
 def hedonic_cells(df: DataFrame, flags: list[str], effects: list[str]) -> DataFrame:
     """Every regressor is discrete, so the data enters the regression only through
     counts and sums per combination: this is the one pass over the sales."""
@@ -95,11 +99,11 @@ def hedonic_premium(df: DataFrame, flags: list[str], area: str = "routing_key",
     rows = df.join(sizes.select(area), area).where(" and ".join(f"{e} is not null" for e in names))
     cells = cut_lineage(hedonic_cells(rows, flags, names))
 
-    levels = {e: sorted(r[0] for r in cells.select(e).distinct().collect()) for e in names}
+    levels = {e: sorted(r[0] for r in cells.select(e).distinct().limit(MAX_WIDTH + 1).collect()) for e in names}
     columns = ["intercept", *flags, *[f"{e}={v}" for e in names for v in levels[e][1:]]]
     at = {c: i for i, c in enumerate(columns)}
     width = len(columns)
-    if width > 5_000:
+    if width > MAX_WIDTH:
         raise ValueError("too many fixed-effect levels for a driver-side solve")
     active = [F.lit(0), *[F.when(F.col(f) == 1, F.lit(at[f])) for f in flags]]
     for e in names:

@@ -76,7 +76,7 @@ def _(spark, d):
     return stats.routing_key_stats(sales(spark, d)).withColumn("counties", F.array_join("counties", "|"))
 
 
-POSTCODE_REF_CTE = f"""postcode_reference AS (SELECT {q.compact_postcode('eircode')} AS postcode, avg(latitude) AS latitude, avg(longitude) AS longitude,
+POSTCODE_REF_CTE = f"""postcode_reference AS (SELECT {q.compact_postcode('eircode')} AS postcode, {q.mean('latitude')} AS latitude, {q.mean('longitude')} AS longitude,
         count(*) AS property_count, min(county) AS county, stddev_samp(latitude) AS lat_stddev, stddev_samp(longitude) AS lon_stddev
         FROM dwelling WHERE latitude BETWEEN 51.4 AND 55.5 AND longitude BETWEEN -10.7 AND -5.4 AND length({q.compact_postcode('eircode')}) = 7 GROUP BY 1)"""
 
@@ -93,12 +93,12 @@ def _(spark, d):
 
 
 @query("postcode_prefix_summary", over_sales(
-    "SELECT postcode[1:3] AS routing_key, count(*) AS postcodes, CAST(sum(property_count) AS BIGINT) AS properties, round(avg(latitude), 8) AS latitude, round(avg(longitude), 8) AS longitude, avg(property_count) AS mean_per_postcode FROM postcode_reference GROUP BY 1",
+    "SELECT postcode[1:3] AS routing_key, count(*) AS postcodes, CAST(sum(property_count) AS BIGINT) AS properties, round(avg(latitude), 10) AS latitude, round(avg(longitude), 10) AS longitude, avg(property_count) AS mean_per_postcode FROM postcode_reference GROUP BY 1",
     POSTCODE_REF_CTE))
 def _(spark, d):
     from dwellspark.functions.geo import round_to
     return (stats.postcode_prefix_summary(stats.postcode_reference(sales(spark, d)))
-            .withColumn("latitude", round_to("latitude", 8)).withColumn("longitude", round_to("longitude", 8)))
+            .withColumn("latitude", round_to("latitude", 10)).withColumn("longitude", round_to("longitude", 10)))
 
 
 _SHARED = """shared AS (SELECT latitude, longitude, count(DISTINCT address) AS distinct_addresses, count(*) AS total_sales, count(DISTINCT county) AS counties,
@@ -123,8 +123,8 @@ def _(spark, d):
 
 
 @query("place_scatter", over_sales(
-    """SELECT place, n, round(mean_lat, 8) AS mean_lat, round(mean_lon, 8) AS mean_lon, round(std_lat, 8) AS std_lat, round(std_lon, 8) AS std_lon FROM (
-        SELECT trim(split_part(address, ',', -1)) AS place, count(*) AS n, avg(latitude) AS mean_lat, avg(longitude) AS mean_lon,
+    f"""SELECT place, n, round(mean_lat, 8) AS mean_lat, round(mean_lon, 8) AS mean_lon, round(std_lat, 8) AS std_lat, round(std_lon, 8) AS std_lon FROM (
+        SELECT trim(split_part(address, ',', -1)) AS place, count(*) AS n, {q.mean('latitude')} AS mean_lat, {q.mean('longitude')} AS mean_lon,
         stddev_samp(latitude) AS std_lat, stddev_samp(longitude) AS std_lon FROM dwelling WHERE latitude IS NOT NULL GROUP BY 1)
         WHERE length(place) >= 4 AND n >= 10 AND (std_lat > 0.05 OR std_lon > 0.05) ORDER BY coalesce(std_lat,0)+coalesce(std_lon,0) DESC LIMIT 30"""))
 def _(spark, d):

@@ -209,7 +209,7 @@ _PATTERN = r"lower(trim(regexp_replace(address, '^(no\.?\s*)?(\d+[a-z]?\s*,?\s*)
 
 @query("impute_street_mean", over_sales(
     f"""SELECT id, round(la, 8) AS imputed_lat, round(lo, 8) AS imputed_lon, n AS support, CASE WHEN n >= 5 THEN 'high' ELSE 'medium' END AS confidence FROM (SELECT id, county, {_PATTERN} AS p FROM dwelling WHERE latitude IS NULL AND length(address) > 20)
-       JOIN (SELECT county, {_PATTERN} AS p, avg(latitude) AS la, avg(longitude) AS lo, count(*) AS n FROM dwelling WHERE latitude IS NOT NULL GROUP BY ALL HAVING count(*) >= 2) USING (county, p) WHERE length(p) >= 15"""))
+       JOIN (SELECT county, {_PATTERN} AS p, {q.mean('latitude')} AS la, {q.mean('longitude')} AS lo, count(*) AS n FROM dwelling WHERE latitude IS NOT NULL GROUP BY ALL HAVING count(*) >= 2) USING (county, p) WHERE length(p) >= 15"""))
 def _(spark, d):
     return repair.impute_street_mean(dwelling_sales(spark, d)).select(
         "id", round_to("imputed_lat", 8).alias("imputed_lat"), round_to("imputed_lon", 8).alias("imputed_lon"), "support", "confidence")

@@ -15,11 +15,11 @@ from dwellspark.plans.searches import NORM_SALES
 _COVERS = (f"len(list_filter(toks, lambda t: NOT (contains(a, t) OR coalesce(contains(a, {q.TOKEN_ALT}), false) "
            f"OR coalesce(contains(a, {q.TOKEN_NUMBER}), false)))) = 0")
 _BOOK = "book AS (SELECT lower(address) AS a, lower(county) AS c, latitude, longitude FROM dwelling WHERE latitude IS NOT NULL), words AS (SELECT DISTINCT a, c FROM book)"
-_TOKENS = f"""token_sums AS (SELECT query_id, len(any_value(toks)) AS k, avg(latitude) AS lat, avg(longitude) AS lon, coalesce(stddev_samp(latitude), 0) AS sy, coalesce(stddev_samp(longitude), 0) AS sx
+_TOKENS = f"""token_sums AS (SELECT query_id, len(any_value(toks)) AS k, {q.mean('latitude')} AS lat, {q.mean('longitude')} AS lon, coalesce(stddev_samp(latitude), 0) AS sy, coalesce(stddev_samp(longitude), 0) AS sx
     FROM (SELECT query_id, lower(county) AS asked, {q.tokens('query')} AS toks FROM lookups) l JOIN words ON len(toks) > 0 AND {_COVERS} AND (asked IS NULL OR asked = c) JOIN book USING (a, c) GROUP BY query_id),
   by_tokens AS (SELECT query_id, lat, lon, 'db_tokens' AS source FROM token_sums WHERE sy < CASE WHEN k >= 2 THEN 0.02 ELSE 0.01 END AND sx < CASE WHEN k >= 2 THEN 0.02 ELSE 0.01 END)"""
-_FUZZY = """fz1 AS (SELECT query_id, count(*) AS n, avg(latitude) AS lat, avg(longitude) AS lon FROM lookups JOIN words ON contains(a, lower(trim(query))) OR contains(c, lower(trim(query))) JOIN book USING (a, c) GROUP BY query_id),
-  fz2 AS (SELECT query_id, count(*) AS n, avg(latitude) AS lat, avg(longitude) AS lon FROM (SELECT query_id, lower(trim(query[1:-2])) AS t FROM lookups ANTI JOIN fz1 USING (query_id) WHERE lower(query) LIKE '%s' AND lower(query) NOT LIKE '%ss')
+_FUZZY = f"""fz1 AS (SELECT query_id, count(*) AS n, {q.mean('latitude')} AS lat, {q.mean('longitude')} AS lon FROM lookups JOIN words ON contains(a, lower(trim(query))) OR contains(c, lower(trim(query))) JOIN book USING (a, c) GROUP BY query_id),
+  fz2 AS (SELECT query_id, count(*) AS n, {q.mean('latitude')} AS lat, {q.mean('longitude')} AS lon FROM (SELECT query_id, lower(trim(query[1:-2])) AS t FROM lookups ANTI JOIN fz1 USING (query_id) WHERE lower(query) LIKE '%s' AND lower(query) NOT LIKE '%ss')
      JOIN words ON contains(a, t) OR contains(c, t) JOIN book USING (a, c) GROUP BY query_id),
   by_fuzzy AS (SELECT query_id, lat, lon, 'db_fuzzy' AS source FROM (SELECT * FROM fz1 UNION ALL SELECT * FROM fz2) WHERE n >= 3)"""
 
@@ -46,8 +46,8 @@ _CASCADE = f"""shaped AS (SELECT *, regexp_matches(trim(query), '^(-?\\d+\\.?\\d
      regexp_matches(trim(query), '^[A-Za-z]\\d{{1,2}}\\s?[A-Za-z0-9]{{4}}$') AS is_full, {q.compact_postcode('query')} AS norm FROM lookups),
   coded AS (SELECT replace(upper(eircode), ' ', '') AS code, latitude, longitude FROM dwelling WHERE latitude IS NOT NULL AND eircode IS NOT NULL),
   stepped AS (SELECT s.*, kn, klat, klon, en, elat, elon, r.latitude AS rlat, r.longitude AS rlon FROM shaped s
-     LEFT JOIN (SELECT query_id, count(*) AS kn, avg(latitude) AS klat, avg(longitude) AS klon FROM shaped JOIN coded ON starts_with(code, CASE WHEN is_key THEN upper(trim(query)) ELSE norm[1:3] END) WHERE is_key OR is_full GROUP BY 1) k USING (query_id)
-     LEFT JOIN (SELECT code, count(*) AS en, avg(latitude) AS elat, avg(longitude) AS elon FROM coded GROUP BY 1) e ON is_full AND e.code = norm LEFT JOIN postcode_reference r ON is_full AND r.postcode = norm),
+     LEFT JOIN (SELECT query_id, count(*) AS kn, {q.mean('latitude')} AS klat, {q.mean('longitude')} AS klon FROM shaped JOIN coded ON starts_with(code, CASE WHEN is_key THEN upper(trim(query)) ELSE norm[1:3] END) WHERE is_key OR is_full GROUP BY 1) k USING (query_id)
+     LEFT JOIN (SELECT code, count(*) AS en, {q.mean('latitude')} AS elat, {q.mean('longitude')} AS elon FROM coded GROUP BY 1) e ON is_full AND e.code = norm LEFT JOIN postcode_reference r ON is_full AND r.postcode = norm),
   judged AS (SELECT *, is_full AND en IS NOT NULL AND kn >= 5 AND NOT (abs(elat - klat) < 0.05 AND abs(elon - klon) < 0.08) AS bad FROM stepped),
   own AS (SELECT query_id, CASE WHEN bad THEN norm END AS flag_postcode,
      CASE WHEN is_raw THEN 'raw' WHEN is_key AND kn IS NOT NULL THEN 'db_routing_key' WHEN is_full AND en IS NOT NULL AND NOT bad THEN 'db_exact' WHEN is_full AND rlat IS NOT NULL THEN 'db_eircode_ref' WHEN is_full AND kn IS NOT NULL THEN 'db_routing_key' END AS source,
@@ -73,9 +73,9 @@ def _(spark, d):
     return resolve.flag_bad_postcodes(s, r).select("id", F.col("geocode_quality_issue").alias("flagged"))
 
 
-_HINT = """parts AS (SELECT query_id, list_filter(list_transform(string_split(query, ','), lambda p: trim(p)), lambda p: p <> '') AS p FROM lookups),
+_HINT = f"""parts AS (SELECT query_id, list_filter(list_transform(string_split(query, ','), lambda p: trim(p)), lambda p: p <> '') AS p FROM lookups),
   tries AS (SELECT query_id, 1 AS no, lower(p[-1]) AS term FROM parts WHERE len(p) >= 2 UNION ALL SELECT query_id, 2, lower(p[-2] || ', ' || p[-1]) FROM parts WHERE len(p) >= 3),
-  hints AS (SELECT query_id, no, term, avg(latitude) AS lat, avg(longitude) AS lon FROM tries JOIN words ON contains(a, term) JOIN book USING (a, c) WHERE length(term) >= 4 GROUP BY ALL
+  hints AS (SELECT query_id, no, term, {q.mean('latitude')} AS lat, {q.mean('longitude')} AS lon FROM tries JOIN words ON contains(a, term) JOIN book USING (a, c) WHERE length(term) >= 4 GROUP BY ALL
      HAVING count(*) >= 5 AND coalesce(stddev_samp(latitude), 0) < 0.4 AND coalesce(stddev_samp(longitude), 0) < 0.4)"""
 
 

@@ -178,7 +178,7 @@ def _(spark, d):
 
 @query("regeocode_worklist", over_sales(
     f"""SELECT id, CAST(CASE WHEN price > 500000 THEN 1 ELSE 2 END AS INT) AS value_tier, round({q.haversine('latitude', 'longitude', 'la', 'lo')} / 1000, 3) AS km FROM normed LEFT JOIN
-       (SELECT routing_key, avg(latitude) AS la, avg(longitude) AS lo FROM normed WHERE latitude IS NOT NULL AND routing_key IS NOT NULL GROUP BY 1) USING (routing_key) WHERE geocode_quality_issue""", NORM_SALES))
+       (SELECT routing_key, {q.mean('latitude')} AS la, {q.mean('longitude')} AS lo FROM normed WHERE latitude IS NOT NULL AND routing_key IS NOT NULL GROUP BY 1) USING (routing_key) WHERE geocode_quality_issue""", NORM_SALES))
 def _(spark, d):
     return search.regeocode_worklist(sales(spark, d)).select("id", "value_tier", round_to("distance_from_centroid_km", 3).alias("km"))
 

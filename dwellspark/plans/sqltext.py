@@ -132,3 +132,7 @@ street_rows AS (SELECT * EXCLUDE (parts, lead, second, st, ar), lower(st) AS str
         regexp_matches(parts[1], '^(?:the\s+)?(apartment|apt|penthouse|ground floor|first floor|second floor|third floor|top floor|floor|flat)\b', 'i') AS is_apartment
         FROM sk3 WHERE st IS NOT NULL AND regexp_matches(st, '[a-zA-Z]{3,}'))
 """
+
+
+def mean(expr: str) -> str:
+    return f"CAST(sum(CAST({expr} AS DECIMAL(14,9))) AS DOUBLE) / count({expr})"

@@ -161,10 +161,10 @@ def _(spark, d):
 
 @query("accuracy_metrics", over_sales(
     """SELECT unnest(['within_10_pct','within_15_pct','within_20_pct','within_25_pct','within_30_pct','over_50_pct','ci_coverage_pct','mean_ci_width_pct','mean_quality','quality_error_corr','min_error','max_error','target_met']) AS metric,
-       unnest([round(v, 5) for v in [100 * avg(CAST(error_pct < 10 AS INT)), 100 * avg(CAST(error_pct < 15 AS INT)), 100 * avg(CAST(error_pct < 20 AS INT)), 100 * avg(CAST(error_pct < 25 AS INT)), 100 * avg(CAST(error_pct < 30 AS INT)), 100 * avg(CAST(error_pct > 50 AS INT)),
+       unnest([round(v, 7) for v in [100 * avg(CAST(error_pct < 10 AS INT)), 100 * avg(CAST(error_pct < 15 AS INT)), 100 * avg(CAST(error_pct < 20 AS INT)), 100 * avg(CAST(error_pct < 25 AS INT)), 100 * avg(CAST(error_pct < 30 AS INT)), 100 * avg(CAST(error_pct > 50 AS INT)),
          100 * avg(CAST(actual_price BETWEEN ci_lower AND ci_upper AS INT)), avg(ci_width_pct), avg(quality_score), corr(quality_score, error_pct), min(error_pct), max(error_pct), CAST(avg(error_pct) <= 25 AS DOUBLE)]]) AS value FROM bt""", *_BT))
 def _(spark, d):
-    return valuation.accuracy_report(_backtest(spark, d))[1].withColumn("value", round_to("value", 5))
+    return valuation.accuracy_report(_backtest(spark, d))[1].withColumn("value", round_to("value", 7))
 
 
 @query("worst_predictions", over_sales("SELECT subject_id, round(error_pct, 6) AS error_pct, address FROM bt ORDER BY bt.error_pct DESC, subject_id LIMIT 10", *_BT))

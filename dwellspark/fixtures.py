@@ -115,10 +115,10 @@ def api_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CANDIDATES_CTE = """candidates AS (
-  SELECT id, source, CASE WHEN id%19=0 THEN NULL WHEN source='mapbox' THEN coalesce(latitude, 53.1) + (id%5)*0.0005 ELSE coalesce(latitude, 53.1) + (id%7)*0.1 END AS cand_lat,
-    CASE WHEN id%19=0 THEN NULL WHEN source='mapbox' THEN coalesce(longitude, -7.1) + (id%3)*0.0005 ELSE coalesce(longitude, -7.1) - (id%4)*0.1 END AS cand_lon,
+  SELECT id, source, CASE WHEN id%19=0 THEN NULL WHEN source='first' THEN coalesce(latitude, 53.1) + (id%5)*0.0005 ELSE coalesce(latitude, 53.1) + (id%7)*0.1 END AS cand_lat,
+    CASE WHEN id%19=0 THEN NULL WHEN source='first' THEN coalesce(longitude, -7.1) + (id%3)*0.0005 ELSE coalesce(longitude, -7.1) - (id%4)*0.1 END AS cand_lon,
     CASE id%6 WHEN 0 THEN 'address' WHEN 1 THEN 'street' WHEN 2 THEN 'poi' WHEN 3 THEN 'postcode' WHEN 4 THEN 'place' ELSE 'locality' END AS feature_type
-  FROM dwelling, (VALUES ('mapbox'), ('nominatim')) AS v(source) WHERE (source = 'mapbox') OR id%2=0)"""
+  FROM dwelling, (VALUES ('first'), ('second')) AS v(source) WHERE (source = 'first') OR id%2=0)"""
 
 
 def geocode_candidates(sales_df: DataFrame) -> DataFrame:
@@ -126,9 +126,9 @@ def geocode_candidates(sales_df: DataFrame) -> DataFrame:
     i = F.col("id")
     la, lo = F.coalesce("latitude", F.lit(53.1)), F.coalesce("longitude", F.lit(-7.1))
     kinds = F.array(*[F.lit(k) for k in ("address", "street", "poi", "postcode", "place", "locality")])
-    near = F.struct(F.lit("mapbox").alias("source"), (la + (i % 5) * F.lit(0.0005)).alias("cand_lat"),
+    near = F.struct(F.lit("first").alias("source"), (la + (i % 5) * F.lit(0.0005)).alias("cand_lat"),
                     (lo + (i % 3) * F.lit(0.0005)).alias("cand_lon"))
-    far = F.struct(F.lit("nominatim").alias("source"), (la + (i % 7) * F.lit(0.1)).alias("cand_lat"),
+    far = F.struct(F.lit("second").alias("source"), (la + (i % 7) * F.lit(0.1)).alias("cand_lat"),
                    (lo - (i % 4) * F.lit(0.1)).alias("cand_lon"))
     both = F.when(i % 2 == 0, F.array(near, far)).otherwise(F.array(near))
     miss = i % 19 == 0

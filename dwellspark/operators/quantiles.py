@@ -27,16 +27,18 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner")
 
 
 def grouped_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float | str],
-                      width: float | Column = 1000.0, stats: bool = True) -> DataFrame:
+                      width: float | Column = 1000.0, stats: bool = True,
+                      weight: str | None = None) -> DataFrame:
     """Exact quantiles of `value` per `by` group.
 
     `probs` maps an output name to a probability (linear interpolation) or to
     'upper' (the element at rank n // 2). With `stats` the result also has n,
     mean_value, min_value and max_value from the same pass. NULL values are skipped;
-    `width` is the value-bucket width, a number or an expression over `by`."""
+    `width` is the value-bucket width, a number or an expression over `by`; `weight` names a
+    column of row counts when the input is already aggregated."""
     width = width if isinstance(width, Column) else F.lit(width)
     hist = (df.where(F.col(value).isNotNull())
-            .groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c")))
+            .groupBy(*by, F.col(value).alias("_v")).agg((F.sum(weight) if weight else F.count("*")).alias("_c")))
     bucket = F.floor(F.col("_v").cast("double") / width).cast("long")
     buckets = hist.groupBy(*by, bucket.alias("_b")).agg(
         F.sum("_c").alias("_n"), F.sum(F.col("_v") * F.col("_c")).alias("_s"),

@@ -180,11 +180,12 @@ def value_subjects(subjects: DataFrame, df: DataFrame, index: DataFrame, min_n:
 
 
 def value_properties(requests: DataFrame, df: DataFrame, index: DataFrame, as_of: str,
-                     stats: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                     stats: DataFrame | None = None, amenities: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Value (request_id, address, eircode, county, bedrooms): (results, comparables).
 
     Results keep every request: unlocated ones and those with fewer than three
-    comparables carry a reason instead of a value."""
+    comparables carry a reason instead of a value. With `amenities`, requests in the city
+    box get `nearby_amenities`, at most one per slot."""
     located = cut_lineage(resolve_subjects(requests, df, stats if stats is not None else routing_key_stats(df)))
     end = F.lit(as_of).cast("date")
     subjects = located.where("lat is not null").select(
@@ -196,6 +197,11 @@ def value_properties(requests: DataFrame, df: DataFrame, index: DataFrame, as_of
               .when(F.col("estimate").isNull(), "insufficient comparable sales"))
     results = (located.join(values.withColumnRenamed("subject_id", "request_id"), "request_id", "left")
                .withColumn("reason", reason).withColumn("valuation_date", end))
+    if amenities is not None:
+        places = located.where("lat is not null").select("request_id", "lat", "lon")
+        near = (nearest_amenities(places, amenities, ("lat", "lon")).groupBy("request_id").agg(F.array_sort(F.collect_list(
+            F.struct("kind", "name", F.col("category"), "distance_m"))).alias("nearby_amenities")))
+        results = results.join(near, "request_id", "left")
     return results, comps.withColumnRenamed("subject_id", "request_id")
 
 

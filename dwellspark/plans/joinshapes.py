@@ -287,3 +287,31 @@ def _(spark, d):
     base = s.where("id % 7 <> 0").withColumn("needs_geocoding", F.lit(False))
     new = s.where("id % 7 = 0").select("id", "sale_date", "address", "county", "price")
     return multiset.append_register(base, new).select("id", F.col("latitude").isNull().alias("unlocated"), "needs_geocoding")
+
+
+@query("incremental_register", over_sales(
+    f"""SELECT county, CAST(sum(greatest(0, n - coalesce(have, 0))) AS BIGINT) AS new_rows FROM (SELECT sale_date, price, county, count(*) AS n FROM (SELECT t.*, s.county FROM ({_TYPED}) t JOIN dwelling s USING (id)) WHERE sale_date IS NOT NULL AND price IS NOT NULL GROUP BY ALL)
+       LEFT JOIN (SELECT sale_date, CAST(price AS DOUBLE) AS price, county, count(*) AS have FROM dwelling WHERE id%4 <> 0 GROUP BY ALL) USING (sale_date, price, county) GROUP BY county HAVING sum(greatest(0, n - coalesce(have, 0))) > 0""", _RAW_SQL))
+def _(spark, d):
+    from dwellspark.streaming.jobs import REGISTER_COLUMNS, ingest_batch
+    s = dwelling_sales(spark, d)
+    names = ["date_raw", "address_raw", "county_raw", "eircode_raw", "price_raw", "nfmp_raw", "vat_raw", "description_raw", "size_raw"]
+    raw = register_raw(s).select(*[F.col(a).alias(b) for a, b in zip(names, REGISTER_COLUMNS)])
+    base = s.where("id % 4 <> 0").withColumn("needs_geocoding", F.col("latitude").isNull())
+    new, _rejects = ingest_batch(base, raw)
+    return new.groupBy("county").agg(F.count("*").alias("new_rows"))
+
+
+@query("read_amenities", f"""WITH {AMENITY_CTE} SELECT amenity_type, count(*) AS n, count(description) AS described, count(*) FILTER (amenity_id % 10 = 0) AS tenth FROM (SELECT *, CASE WHEN amenity_type = 'transport' THEN category END AS description FROM amenities) WHERE amenity_id % 9 <> 0 GROUP BY 1""")
+def _(spark, d):
+    from dwellspark.sources.amenities import read_amenities
+    a = amenity_points(spark, d).withColumn("lat", F.when(F.col("amenity_id") % 9 == 0, "n/a").otherwise(F.col("latitude").cast("string")))
+    transport = a.where("amenity_type = 'transport'").select(
+        F.col("amenity_id").cast("string").alias("Infrastructure Name"), F.col("category").alias("Category"), F.col("category").alias("Description"),
+        F.col("name").alias("Unnamed: 5"), F.col("lat").alias("Latitude"), F.col("longitude").cast("string").alias("Longitude"))
+    schools = a.where("amenity_type = 'school'").select(
+        F.col("amenity_id").cast("string").alias("School Name"), F.col("category").alias("Category"), F.col("level").alias("Level"),
+        F.col("lat").alias("Latitude"), F.col("longitude").cast("string").alias("Longitude"))
+    valid, _skipped = read_amenities(transport, schools)
+    return valid.groupBy("amenity_type").agg(F.count("*").alias("n"), F.count("description").alias("described"),
+                                             F.count_if(F.col("name").cast("long") % 10 == 0).alias("tenth"))

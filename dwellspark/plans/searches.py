@@ -248,3 +248,22 @@ def _(spark, d):
        ORDER BY md5(concat('3:', CAST(id AS VARCHAR))), id LIMIT 100"""))
 def _(spark, d):
     return search.validation_sample(dwelling_sales(spark, d), 100, "2001-08-01", seed=3).select("id")
+
+
+_AREA_TRENDS = f"""area_rows AS (SELECT query_id, price, CAST(year(sale_date) AS INT) AS year FROM requests JOIN dwelling ON latitude IS NOT NULL AND NOT geocode_suspect AND {q.MARKET} AND abs(latitude - q_lat) < 0.06 AND {_PAIR_D} <= radius_km * 1000),
+  area_years AS (SELECT query_id, year, count(*) AS n, round(quantile_cont(CAST(price AS DOUBLE), 0.5)) AS median_price, round(CAST(sum(price) AS DOUBLE)/count(*)) AS mean_price, CAST(min(price) AS DOUBLE) AS min_price, CAST(max(price) AS DOUBLE) AS max_price FROM area_rows GROUP BY ALL)"""
+
+
+@query("price_trends_by_radius", over_sales("SELECT * FROM area_years", REQUESTS_CTE, _AREA_TRENDS))
+def _(spark, d):
+    return search.area_trends(search_requests(spark, d), dwelling_sales(spark, d), max_km=5.0)
+
+
+@query("area_summary", over_sales(
+    """SELECT r.query_id, total_count, avg_price, recent_ids, median_price, min_year, max_year FROM requests r LEFT JOIN (SELECT query_id, count(*) AS total_count, CAST(floor(CAST(sum(price) AS DOUBLE) / count(*) + 0.5) AS BIGINT) AS avg_price,
+         string_agg(CAST(f.id AS VARCHAR), ',' ORDER BY position) AS recent_ids FROM found f JOIN dwelling USING (id) WHERE position <= 10 GROUP BY 1) USING (query_id)
+       LEFT JOIN (SELECT query_id, arg_max(median_price, year) AS median_price, min(year) AS min_year, max(year) AS max_year FROM area_years GROUP BY 1) USING (query_id)""", *_RADIUS_CTES, _AREA_TRENDS))
+def _(spark, d):
+    r = search.area_summary(search_requests(spark, d).drop("home_county"), dwelling_sales(spark, d))
+    return r.select("query_id", "total_count", "avg_price", "median_price", "min_year", "max_year",
+                    F.array_join(F.transform("recent", lambda x: x["id"].cast("string")), ",").alias("recent_ids"))

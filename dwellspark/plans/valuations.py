@@ -241,3 +241,13 @@ def _(spark, d):
     a = studies.amortization_schedule(loans)
     return a.select("loan_id", "year", *[round_to(c, 2).alias(c) for c in (
         "opening_balance", "principal_paid", "interest_paid", "closing_balance", "cumulative_interest")])
+
+
+@query("value_properties_amenities", over_sales(
+    f"""SELECT request_id, string_agg(concat(kind, ':', CAST(round_even(dist, 0) AS BIGINT)), ',' ORDER BY kind) AS nearby FROM (SELECT request_id, kind, min({q.haversine('lat', 'lon', 'a.latitude', 'a.longitude')}) AS dist
+        FROM resolved r, slots a WHERE lat BETWEEN 53.15 AND 53.65 AND lon BETWEEN -6.55 AND -6.00 GROUP BY ALL) WHERE kind <> 'tertiary' OR dist <= 2000 GROUP BY request_id""", *SUBJECT_CTES, AMENITY_CTE, _SLOTS))
+def _(spark, d):
+    s = sales(spark, d)
+    results, _ = valuation.value_properties(valuation_requests(spark, s), s, _index(s), AS_OF, amenities=amenity_points(spark, d))
+    each = F.transform("nearby_amenities", lambda a: F.concat(a["kind"], F.lit(":"), a["distance_m"].cast("string")))
+    return results.where("nearby_amenities is not null").select("request_id", F.array_join(each, ",").alias("nearby"))

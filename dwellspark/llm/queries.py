@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwellspark.llm import quality
+from dwellspark.llm import ngram_join, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,5 +19,9 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {"op1_quality": op1_quality}
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op8_ngram_join": op8_ngram_join}
 ORACLES: dict[str, str] = {}

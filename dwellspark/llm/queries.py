@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwellspark.llm import ngram_join, quality
+from dwellspark.llm import bpe, ngram_join, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,9 +19,25 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_round_trip(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_quality": op1_quality, "op8_ngram_join": op8_ngram_join}
+QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality, "op4_packed_ids": op4_packed_ids, "op5_byte_bpe": op5_byte_bpe, "op8_ngram_join": op8_ngram_join,
+}
 ORACLES: dict[str, str] = {}

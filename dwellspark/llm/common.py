@@ -67,8 +67,18 @@ def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-_WORDS: dict[bytes, int] = {}
+class _Hashes(dict):
+    """64-bit hashes of words, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_WORDS = _Hashes()
 _WORD_LIMIT = 1_000_000
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
+                 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -80,13 +90,7 @@ def word_hashes(tokens: list[bytes]) -> np.ndarray:
     """A 64-bit hash for each word; hashes are kept in a cache of bounded size."""
     if len(_WORDS) > _WORD_LIMIT:
         _WORDS.clear()
-    get, out = _WORDS.get, []
-    for t in tokens:
-        h = get(t)
-        if h is None:
-            h = _WORDS[t] = xxhash.xxh64_intdigest(t)
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+    return np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,10 +107,10 @@ def runs_of_words(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = mix(out + h[i:i + n] + np.uint64(i + 1))
-    return out
+    out = h[:n] * _ODD[0]
+    for i in range(1, k):
+        out += h[i:i + n] * (_ODD[i % 8] + np.uint64(i & ~7))
+    return mix(out)
 
 
 def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
@@ -114,7 +118,9 @@ def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
     h = word_hashes(words(text))
     if not len(h):
         return np.empty(0, np.uint64)
-    return np.unique(runs_of_words(h, min(k, len(h))))
+    s = runs_of_words(h, min(k, len(h)))
+    s.sort()
+    return s[np.append(True, s[1:] != s[:-1])]
 
 
 def frames(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.DataFrame]:

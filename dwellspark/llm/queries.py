@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwellspark.llm import bpe, ngram_join, packing, quality
+from dwellspark.llm import bpe, chaining, ngram_join, packing, quality, rpforest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,7 +37,17 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpforest.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
-    "op1_quality": op1_quality, "op4_packed_ids": op4_packed_ids, "op5_byte_bpe": op5_byte_bpe, "op8_ngram_join": op8_ngram_join,
+    "op1_quality": op1_quality, "op3_chained_passages": op3_chained_passages,
+    "op4_packed_ids": op4_packed_ids, "op5_byte_bpe": op5_byte_bpe, "op8_ngram_join": op8_ngram_join,
+    "op10_projection_forest": op10_projection_forest,
 }
 ORACLES: dict[str, str] = {}

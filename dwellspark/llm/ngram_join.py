@@ -4,8 +4,10 @@ Columns (n-gram hashes) have one order for all documents: frequent ones last, el
 documents with similarity t or more share a column among the first n - ceil(t n) + 1 of each, so a
 first product over those columns finds every candidate. It runs in blocks of columns: each block
 holds the packed entries (column, document, size) of one hash range. Candidates whose sizes rule the
-similarity out are dropped at once. For the others the product runs over all columns in blocks,
-adding up overlaps and dropping a pair as soon as what is left cannot reach the bound.
+similarity out are dropped at once. The others' first columns are multiplied as a whole: their overlap up to
+where the shorter list of the two ends, and all that is left behind it, must reach the bound. For what stays the
+product runs over all columns in blocks, adding up overlaps and dropping a pair as soon as the rest cannot reach
+the bound.
 
 Only components are wanted, so a column with many documents is not expanded into its pairs: its
 documents meet one of them (the hub) first. Columns whose documents are then still in different
@@ -30,14 +32,15 @@ from pyspark.sql import DataFrame, functions as F
 from dwellspark.llm.common import blocks_of, cut, frames, shingle_set, stored, texts_of, workers
 from dwellspark.llm.components import components
 
-#: A column in so many documents of one batch counts as frequent.
-FREQUENT = 8
+#: A column in so many different texts of a batch of BATCH counts as frequent.
+FREQUENT, BATCH = 3, 4000
 #: Bound of the frequent columns that every task is told; it moves work, never results.
 MAX_FREQUENT = 200_000
 #: Columns with more documents than this meet a hub first.
 WIDE = 6
 #: Hubs tried before the pairs across components.
 HUBS = 3
+_LATE = np.uint64(1 << 63)
 _ENTRY = np.dtype([("s", "<u8"), ("doc", "<i8"), ("n", "<i4")])
 
 
@@ -49,7 +52,7 @@ def needed(nx, ny, percent: int):
 def frequent_columns(docs: DataFrame, k: int) -> np.ndarray:
     """Hashes of columns seen often in some batch, most frequent first kept, sorted."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames(batches, 2000):
+        for pdf in frames(batches, BATCH):
             sets = {}
             for t in pdf["text"]:
                 s = shingle_set(t, k)
@@ -63,7 +66,8 @@ def frequent_columns(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def incidence(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n (set size), sig (digest of the set), head (its first columns, packed)."""
+    """doc_id, n (set size), sig (digest of the set), head (its first columns in order, packed). A column's
+    number is its hash with the lowest bit dropped and the highest set if it is frequent."""
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames(batches):
             n, sig, head = [], [], []
@@ -72,11 +76,11 @@ def incidence(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Da
                 n.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 m = len(s) - math.ceil(percent * len(s) / 100) + 1 if len(s) else 0
+                columns = s >> np.uint64(1)
                 if len(frequent) and len(s):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    late = frequent[at] == s
-                    s = np.concatenate([s[~late], s[late]])
-                head.append(s[:m].tobytes())
+                    late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+                    columns = np.concatenate([columns[~late], columns[late] | _LATE])
+                head.append(columns[:m].tobytes())
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": n, "sig": sig, "head": head})
     return docs.mapInPandas(one, "doc_id long, n int, sig binary, head binary")
 
@@ -145,12 +149,36 @@ def overlap_reaches(x: np.ndarray, y: np.ndarray, percent: int, blocks: int = 4)
     return bool(len(x)) and got >= want
 
 
-def _links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (x, y) whose whole sets reach the similarity. Texts travel, as they are smaller than
-    the sets made from them; rows of one y come together and share its set."""
-    by = docs.where("doc_id IS NOT NULL")
-    left = pairs.join(by.select(F.col("doc_id").alias("y"), F.col("text").alias("of_y")), "y")
-    rows = left.join(by.select(F.col("doc_id").alias("x"), F.col("text").alias("of_x")), "x")
+def head_reaches(a: np.ndarray, b: np.ndarray, na: int, nb: int, percent: int) -> bool:
+    """Whether sets of sizes na and nb with these first columns can still reach the similarity."""
+    end = min(a[-1], b[-1])
+    ka, kb = int(np.searchsorted(a, end, "right")), int(np.searchsorted(b, end, "right"))
+    got = int((b[np.minimum(np.searchsorted(b, a[:ka]), len(b) - 1)] == a[:ka]).sum())
+    return got + min(na - ka, nb - kb) >= needed(na, nb, percent)
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) that the product over their first columns leaves."""
+    head = sets.select(F.col("rep").alias("id"), "n", "head")
+    rows = pairs.join(head.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("head").alias("hx")), "x").join(
+        head.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("head").alias("hy")), "y")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames(batches, 5000):
+            ok = [head_reaches(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), m, n, percent)
+                  for a, b, m, n in zip(pdf["hx"], pdf["hy"], pdf["nx"], pdf["ny"])]
+            yield pdf.loc[ok, ["x", "y"]]
+    return rows.select("x", "y", "nx", "ny", "hx", "hy").mapInPandas(check, "x long, y long").distinct()
+
+
+def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (x, y) whose whole sets reach the similarity. Only the texts of documents in a pair that
+    is still possible travel; rows of one document come together and share its set."""
+    left = cut(_possible(pairs, sets, percent))
+    ids = left.select(F.col("x").alias("doc_id")).union(left.select("y")).distinct()
+    texts = stored(docs.join(ids, "doc_id", "left_semi"), "texts")
+    rows = left.join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("of_y")), "y").join(
+        texts.select(F.col("doc_id").alias("x"), F.col("text").alias("of_x")), "x")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         text, kept = None, None
@@ -169,14 +197,13 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     workers(docs.sparkSession)
     texts = texts_of(docs)
     rows = stored(incidence(texts, k, percent, frequent_columns(texts, k)), "incidence")
-    sets = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(
-        F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("head", "doc_id").alias("head"))
+    sets = stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(
+        F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("head", "doc_id").alias("head")), "sets")
     found = stored(_candidates(_column_blocks(sets, blocks_of(docs.sparkSession)), percent), "candidates")
     pairs = found.where("n < 0").select("x", "y").distinct()
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    member = cut(rows.select("doc_id", "n", "sig").join(classes, "sig", "left").select("doc_id", "n", "rep"))
+    member = cut(rows.select("doc_id", "n", "sig").join(sets.select("sig", "rep"), "sig", "left").select("doc_id", "n", "rep"))
     same_id = member.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v")
-    edges = cut(_links(pairs, texts, k, percent).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    edges = cut(_links(pairs, sets, texts, k, percent).select(F.col("x").alias("u"), F.col("y").alias("v"))
                 .union(same_id.select("u", "v")))
     comp = cut(components(edges))
     wide = found.where("n >= 0").select("s", F.col("x").alias("doc"), F.col("n"))
@@ -185,7 +212,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
         if split.isEmpty():
             break
         more = _hub_pairs(split, percent, step) if step < HUBS else _cross_pairs(split, percent)
-        new = _links(more, texts, k, percent).select(F.col("x").alias("u"), F.col("y").alias("v"))
+        new = _links(more, sets, texts, k, percent).select(F.col("x").alias("u"), F.col("y").alias("v"))
         edges = cut(edges.union(new))
         comp = cut(components(edges))
         wide = split.select("s", "doc", "n")

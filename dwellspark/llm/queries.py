@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwellspark.llm import bpe, chaining, ngram_join, packing, quality, rpforest
+from dwellspark.llm import bpe, chaining, fingerprints, licences, mixing, ngram_join, packing, quality, rpforest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,18 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents"))
+
+
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +59,8 @@ def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality, "op3_chained_passages": op3_chained_passages,
-    "op4_packed_ids": op4_packed_ids, "op5_byte_bpe": op5_byte_bpe, "op8_ngram_join": op8_ngram_join,
+    "op4_packed_ids": op4_packed_ids, "op5_byte_bpe": op5_byte_bpe, "op6_temperature_mixing": op6_temperature_mixing,
+    "op7_licence_scan": op7_licence_scan, "op8_ngram_join": op8_ngram_join, "op9_bottom_k": op9_bottom_k,
     "op10_projection_forest": op10_projection_forest,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_temperature_mixing": mixing.mixture_sql(), "op7_licence_scan": licences.scan_sql()}

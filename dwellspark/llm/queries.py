@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwellspark.llm import bpe, chaining, fingerprints, licences, mixing, ngram_join, packing, quality, rpforest
+from dwellspark.llm import bpe, chaining, fingerprints, licences, mixing, ngram_join, packing, pii, quality, rpforest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,10 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_spans(_table(spark, sf_dir, "documents"))
+
+
 def op3_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.repeated_passages(_table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "op1_quality": op1_quality, "op3_chained_passages": op3_chained_passages,
+    "op1_quality": op1_quality, "op2_personal_data": op2_personal_data, "op3_chained_passages": op3_chained_passages,
     "op4_packed_ids": op4_packed_ids, "op5_byte_bpe": op5_byte_bpe, "op6_temperature_mixing": op6_temperature_mixing,
     "op7_licence_scan": op7_licence_scan, "op8_ngram_join": op8_ngram_join, "op9_bottom_k": op9_bottom_k,
     "op10_projection_forest": op10_projection_forest,

@@ -1,21 +1,56 @@
-"""Corpus pipeline over `documents`. Each stage is written as Parquet and read again by the next."""
+"""Corpus pipeline over `documents`: quality, near duplicates, personal data, mixture, token ids.
+
+Each stage takes (spark, docs, sf_dir) and is written as Parquet and read again by the next; all but the last
+return the columns of `documents`. Null texts, repeated rows, empty tables and further columns are handled as
+the operators' docstrings say."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from dwellspark.llm import quality
+from dwellspark.llm import bpe, mixing, ngram_join, pii, quality
 from dwellspark.llm.common import stored
+from dwellspark.llm.queries import vocabulary
+
+#: A source is drawn at most so often for each time the largest is; every document is drawn once at least.
+REPEATS = 2.0
 
 
-def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; the rejected go."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("quality", _quality)]
+def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies, that of the smallest id; of rows that share an id the one
+    with the smallest text digest. Documents without words and rows without an id stay."""
+    groups = ngram_join.ngram_components(docs)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    known = docs.where("doc_id IS NOT NULL").join(first, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    one = known.withColumn("row_of_id", rank).where("row_of_id = 1").drop("row_of_id")
+    return one.union(docs.where("doc_id IS NULL"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data masked in every text."""
+    return pii.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated as the mixture draws them."""
+    return mixing.drawn_documents(docs, "repeats", REPEATS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids and of decoded bytes for every draw."""
+    return bpe.round_trip(docs, vocabulary("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [("quality", keep_quality), ("near_copies", keep_first_of_near_copies), ("personal_data", mask_personal_data),
+          ("mixture", mix_sources), ("token_ids", encode)]
 
-#: SQL can express neither the fitted classifier nor the tokenizer; tests hold the stages against brute force.
+#: SQL can express neither the fitted models nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -3,8 +3,9 @@
 Columns (n-gram hashes) have one order for all documents: frequent ones last, else by hash. Two
 documents with similarity t or more share a column among the first n - ceil(t n) + 1 of each, so a
 first product over those columns finds every candidate. It runs in blocks of columns: each block
-holds the packed entries (column, document, size) of one hash range. Candidates whose sizes rule the
-similarity out are dropped at once. The others' first columns are multiplied as a whole: their overlap up to
+holds the packed entries (column, document, size, place) of one hash range. Candidates whose sizes rule the
+similarity out are dropped at once, and so are those whose places do: the first column that a pair shares leaves
+it at most the columns from there on, so a pair counts only where those reach the bound. The others' first columns are multiplied as a whole: their overlap up to
 where the shorter list of the two ends, and all that is left behind it, must reach the bound. For what stays the
 product runs over all columns in blocks, adding up overlaps and dropping a pair as soon as the rest cannot reach
 the bound.
@@ -39,9 +40,9 @@ MAX_FREQUENT = 200_000
 #: Columns with more documents than this meet a hub first.
 WIDE = 6
 #: Hubs tried before the pairs across components.
-HUBS = 3
+HUBS = 2
 _LATE = np.uint64(1 << 63)
-_ENTRY = np.dtype([("s", "<u8"), ("doc", "<i8"), ("n", "<i4")])
+_ENTRY = np.dtype([("s", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
 def needed(nx, ny, percent: int):
@@ -94,6 +95,7 @@ def _column_blocks(sets: DataFrame, blocks: int) -> DataFrame:
             e = np.empty(sum(size), _ENTRY)
             e["s"] = np.concatenate([np.empty(0, np.uint64), *heads])
             e["doc"], e["n"] = np.repeat(pdf["rep"].to_numpy(np.int64), size), np.repeat(pdf["n"].to_numpy(), size)
+            e["at"] = np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size)
             block = (e["s"] % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             e, block = e[order], block[order]
@@ -102,15 +104,17 @@ def _column_blocks(sets: DataFrame, blocks: int) -> DataFrame:
     return sets.mapInPandas(pack, "block long, payload binary")
 
 
-def _near(nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * np.minimum(nx, ny).astype(np.int64) >= percent * np.maximum(nx, ny).astype(np.int64)
+def _near(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether entries of one column, if it is the first that their documents share, can belong to a link."""
+    na, nb = a["n"].astype(np.int64), b["n"].astype(np.int64)
+    return np.minimum(na - a["at"], nb - b["at"]) >= needed(na, nb, percent)
 
 
 def _candidates(packed: DataFrame, percent: int) -> DataFrame:
-    """Rows x, y (a candidate pair) or s, x, n (a document of a wide column)."""
+    """Rows x, y (a candidate pair) or s, x, n, at (a document of a wide column)."""
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         e = np.concatenate([np.frombuffer(p, _ENTRY) for p in pdf["payload"]])
-        e = np.unique(e)
+        e = np.sort(e, order=["s", "at", "doc"])  # the document with the column foremost is the hub
         first = np.flatnonzero(np.concatenate([[True], e["s"][1:] != e["s"][:-1]]))
         size = np.diff(np.append(first, len(e)))
         keep = np.repeat(size > 1, size)
@@ -124,14 +128,15 @@ def _candidates(packed: DataFrame, percent: int) -> DataFrame:
         wide = at[reach > WIDE]
         pairs.append((start[wide], wide))
         a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-        ok = (e["doc"][a] != e["doc"][b]) & _near(e["n"][a], e["n"][b], percent)
+        ok = (e["doc"][a] != e["doc"][b]) & _near(e[a], e[b], percent)
         x, y = e["doc"][a[ok]], e["doc"][b[ok]]
         xy = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1).reshape(-1, 2), axis=0)
         return pd.DataFrame({
             "x": np.concatenate([xy[:, 0], e["doc"][wide]]), "y": np.concatenate([xy[:, 1], np.full(len(wide), -1)]),
             "s": np.concatenate([np.zeros(len(xy), np.int64), e["s"][wide].view(np.int64)]),
-            "n": np.concatenate([np.full(len(xy), -1), e["n"][wide].astype(np.int64)])})
-    return packed.groupBy("block").applyInPandas(multiply, "x long, y long, s long, n long")
+            "n": np.concatenate([np.full(len(xy), -1), e["n"][wide].astype(np.int64)]),
+            "at": np.concatenate([np.zeros(len(xy), np.int64), e["at"][wide].astype(np.int64)])})
+    return packed.groupBy("block").applyInPandas(multiply, "x long, y long, s long, n long, at long")
 
 
 def overlap_reaches(x: np.ndarray, y: np.ndarray, percent: int, blocks: int = 4) -> bool:
@@ -206,7 +211,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     edges = cut(_links(pairs, sets, texts, k, percent).select(F.col("x").alias("u"), F.col("y").alias("v"))
                 .union(same_id.select("u", "v")))
     comp = cut(components(edges))
-    wide = found.where("n >= 0").select("s", F.col("x").alias("doc"), F.col("n"))
+    wide = found.where("n >= 0").select("s", F.col("x").alias("doc"), "n", "at")
     for step in range(HUBS + 1):
         split = _split_columns(wide, comp)
         if split.isEmpty():
@@ -215,29 +220,33 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
         new = _links(more, sets, texts, k, percent).select(F.col("x").alias("u"), F.col("y").alias("v"))
         edges = cut(edges.union(new))
         comp = cut(components(edges))
-        wide = split.select("s", "doc", "n")
+        wide = split.select("s", "doc", "n", "at")
     named = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
 def _split_columns(wide: DataFrame, comp: DataFrame) -> DataFrame:
     """Entries of the wide columns whose documents are in more than one component."""
     named = wide.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select(
-        "s", "doc", "n", F.coalesce("component", "doc").alias("component"))
+        "s", "doc", "n", "at", F.coalesce("component", "doc").alias("component"))
     several = named.groupBy("s").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("s")
     return cut(named.join(several, "s"))
 
 
+def _may_link(n: str, at: str, m: str, to: str, percent: int) -> F.Column:
+    """As `_near`, for columns."""
+    return (100 + percent) * F.least(F.col(n) - F.col(at), F.col(m) - F.col(to)) >= percent * (F.col(n) + F.col(m))
+
+
 def _hub_pairs(split: DataFrame, percent: int, step: int) -> DataFrame:
     """Each split column's documents against one of them, another one in each step."""
-    hub = split.groupBy("s").agg(F.min_by(F.struct("doc", "n", "component"), F.xxhash64("doc", F.lit(step))).alias("h"))
-    return (split.join(hub, "s").where("component <> h.component")
-            .where(100 * F.least("n", "h.n") >= percent * F.greatest("n", "h.n"))
+    hub = split.groupBy("s").agg(F.min_by(F.struct("doc", "n", "at", "component"), F.struct("at", F.xxhash64("doc", F.lit(step)))).alias("h"))
+    return (split.join(hub, "s").where("component <> h.component").where(_may_link("n", "at", "h.n", "h.at", percent))
             .select(F.least("doc", "h.doc").alias("x"), F.greatest("doc", "h.doc").alias("y")).distinct())
 
 
 def _cross_pairs(split: DataFrame, percent: int) -> DataFrame:
-    """What hubs left open: pairs of a split column across components, sizes permitting."""
-    a, b = split, split.select("s", F.col("doc").alias("d2"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-    return (a.join(b, "s").where("component < c2").where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    """What hubs left open: pairs of a split column across components, sizes and places permitting."""
+    a, b = split, split.select("s", F.col("doc").alias("d2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("component").alias("c2"))
+    return (a.join(b, "s").where("component < c2").where(_may_link("n", "at", "n2", "at2", percent))
             .select(F.least("doc", "d2").alias("x"), F.greatest("doc", "d2").alias("y")).distinct())

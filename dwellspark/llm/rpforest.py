@@ -221,7 +221,7 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, trees: int = 24, leaf_
                 out.append(pd.DataFrame({"query_id": near["query_id"].to_numpy()[rows[at]], "score": score,
                                          "ids": far["ids"].to_numpy()[held[key][to]]}))
         if not out:
-            return pd.DataFrame({"query_id": [], "score": [], "ids": []})
+            return pd.DataFrame({"query_id": [], "score": [], "ids": pd.Series([], dtype=object)})
         best = pd.concat(out).sort_values(["query_id", "score"], ascending=[True, False])
         best["first"] = [i[0] for i in best["ids"]]
         best = best.drop_duplicates(["query_id", "first"])

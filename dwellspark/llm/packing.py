@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -65,35 +66,56 @@ def unpack(payload: bytes, bits: int, start: int, n: int) -> np.ndarray:
     return np.packbits(out, axis=1, bitorder="little").view("<u4").ravel()
 
 
+#: Letters that the normaliser only puts in lower case, then signs that the splitter keeps in one piece behind them.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!#$%&()*+,./:;<=>?@|~-]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: visible Latin-1 signs stand for
+    themselves, the others follow from U+0100 on in order."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in visible else next(rest)) for b in range(256)}
+
+
 class WordEncoder:
     """The library's encoding, one word at a time: the normaliser and the splitter never join across
-    a space or line feed, so a text's ids are its words' ids in turn. Words are cached, and the
-    words of a batch that are not yet known are encoded in one call, parted by the end marker."""
-
-    MARK = "<|endoftext|>"
+    a space or line feed, so a text's ids are its words' ids in turn. Words are cached. A new word of
+    plain letters goes straight to the library's merges, in lower case and as byte letters, which is what
+    its normaliser and splitter make of it; any other goes through all of the library."""
 
     def __init__(self, path: str, cache: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library, self.limit, self.known = Tokenizer.from_file(path), cache, {"": b""}
         self.vocabulary = self.library.get_vocab_size()
-        self.mark = self.library.token_to_id(self.MARK)
+        self.model, self.letters = self.library.model, byte_letters()
 
-    def _alone(self, word: str) -> bytes:
+    def _whole(self, word: str) -> bytes:
         return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _plain(self, letters: str) -> bytes:
+        text = letters.lower()
+        if not text.isascii():
+            text = "".join(map(self.letters.__getitem__, text.encode()))
+        return np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
+
     def learn(self, new: list[str]) -> None:
-        plain = [w for w in new if "<|" not in w]
-        for at in range(0, len(plain), 2000):
-            part = plain[at:at + 2000]
-            ids = np.array(self.library.encode(f" {self.MARK} ".join(part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(part) - 1:
-                self.known.update((w, self._alone(w)) for w in part)
+        known = self.known
+        for word in new:
+            m = PLAIN.fullmatch(word)
+            if m is None:
+                known[word] = self._whole(word)
                 continue
-            lo, hi = np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist()
-            self.known.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, lo, hi))
-        self.known.update((w, self._alone(w)) for w in new if "<|" in w)
+            letters, signs = m.groups()
+            ids = known.get(letters)
+            if ids is None:
+                ids = self._plain(letters)
+            if signs:
+                if signs not in known:
+                    known[signs] = self._whole(signs)
+                ids += known[signs]
+            known[word] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without the end id."""
@@ -150,7 +172,8 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
     manifest = blocks.groupBy("shard").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("ids"))
     before = manifest.select("shard", F.coalesce(F.sum("ids").over(
         W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a file
-    return blocks.join(before, "shard").withColumn("start", F.col("before") + F.col("first"))
+    # One row a file, as many as the writer had partitions: the blocks themselves stay where they are.
+    return blocks.join(F.broadcast(before), "shard").withColumn("start", F.col("before") + F.col("first"))
 
 
 def documents_of(blocks: DataFrame) -> DataFrame:

@@ -15,11 +15,8 @@ from dwellspark.schema import COUNTY_BOXES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. An input of fewer files than cores is one scan task per file, so
-    it is spread over the cores first; a cluster-sized table is read as it lies."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, df.columns[0]) if len(df.inputFiles()) < cores else df
+    """A given table, read as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _bounds_values(limit: int | None = 25) -> str:

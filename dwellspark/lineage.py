@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,15 +11,14 @@ from pyspark.sql import DataFrame
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the DataFrame to the shared checkpoint folder and read it back.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`. Only a local
-    session without one gets a temporary folder."""
+    The folder is the one the cluster names in `spark.checkpoint.dir`; where it is unset, one
+    beside the warehouse tables, or in a session on this machine alone a temporary one."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
+            folder = (tempfile.mkdtemp(prefix="checkpoint-") if re.match(r"local(\[|$)", context.master)
+                      else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
         context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -4,12 +4,7 @@ The streaming forms in `dwellspark.streaming` call these per micro-batch."""
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 from dwellspark.functions import text
 from dwellspark.operators.joins import contains_join, prefix_join, radius_pairs, with_scalars
@@ -31,7 +26,7 @@ def subscription_points(subs: DataFrame, df: DataFrame, match: str = "contains")
 
 
 def match_alerts(subs: DataFrame, df: DataFrame, new_sales: DataFrame | None = None, limit: int = 50,
-                 max_km: float = 20.0, match: str = "contains", hide_suspect: bool = False) -> DataFrame:
+                 match: str = "contains", hide_suspect: bool = False) -> DataFrame:
     """Newest sales for each subscription (sub_id, email, address, radius_km, county,
     is_active, created_at, last_sent_at) since its last digest.
 
@@ -47,7 +42,7 @@ def match_alerts(subs: DataFrame, df: DataFrame, new_sales: DataFrame | None = N
     kept = top_n(sales, place, order, limit, "_rn").select("id", "sale_date", "price", F.col("address").alias("sale_address"), *[
         F.col("county").alias("sale_county"), F.col("created_at").alias("sale_created"), "latitude", "longitude"])
     asked = subscription_points(subs, df, match).withColumn("_since", F.coalesce("last_sent_at", "created_at"))
-    pairs = radius_pairs(asked, kept, max_km * 1000.0, limit_m=F.col("radius_km") * 1000.0).where(
+    pairs = radius_pairs(asked.withColumn("_reach", F.col("radius_km") * 1000.0), kept, "_reach").drop("_reach").where(
         (F.col("sale_created") > F.col("_since"))
         & (F.col("county").isNull() | (F.col("county") == "") | (F.col("county") == F.col("sale_county"))))
     return top_n(pairs, ["sub_id"], order, limit, "position").select(
@@ -94,48 +89,6 @@ def query_log_stats(log: DataFrame, window: str = "1 day", delay: str = "1 hour"
     return counts.join(latency.select(*key, "p50_ms", "p95_ms", F.col("max_value").alias("max_ms")), key)
 
 
-def _scan_requests(limit: int, window_s: float, key: list[str]):
-    """Walk sorted requests keeping at most `limit` accepted times of one run."""
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, accepted = None, deque()
-        for pdf in batches:
-            refused = []
-            for row_key, now in zip(pdf[key].itertuples(index=False, name=None), pdf["_sec"]):
-                if row_key != current:
-                    current, accepted = row_key, deque()
-                while accepted and accepted[0] < now - window_s:
-                    accepted.popleft()
-                refuse = len(accepted) >= limit
-                if not refuse:
-                    accepted.append(now)
-                refused.append(refuse)
-            yield pdf.assign(refused=refused)
-    return scan
-
-
-def rate_breaches(log: DataFrame, limit: int, window_s: float = 60.0) -> DataFrame:
-    """Add `refused` to requests (request_id, client, endpoint, ts): true when the
-    trailing window already holds `limit` accepted ones; refused ones do not count.
-
-    Acceptance depends on order, so it is scanned per client and endpoint, but an idle
-    window empties the state: runs between idle windows are independent and are
-    spread over tasks, each holding at most `limit` times in memory."""
-    sec = F.col("ts").cast("timestamp").cast("double")
-    rows = log.withColumn("_sec", sec).withColumn("_bucket", F.floor(F.col("_sec") / F.lit(float(window_s))).cast("long"))
-    key = ["client", "endpoint"]
-    buckets = rows.select(*key, "_bucket").distinct()
-    w = Window.partitionBy(*key).orderBy("_bucket")
-    fresh = F.col("_bucket") - F.coalesce(F.lag("_bucket").over(w), F.col("_bucket") - 2) >= 2
-    runs = (buckets.withColumn("_fresh", fresh.cast("long"))
-            .withColumn("_run", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fresh"))
-    run_key = [*key, "_run"]
-    ordered = (rows.join(runs, [*key, "_bucket"]).select("request_id", *key, "ts", "_sec", "_run")
-               .repartition(*run_key).sortWithinPartitions(*run_key, "_sec", "request_id"))
-    schema = StructType([*ordered.schema.fields, StructField("refused", BooleanType())])
-    return ordered.mapInPandas(_scan_requests(limit, window_s, run_key), schema).select(
-        "request_id", *key, "ts", "refused")
-
-
 def county_filter_audit(results: DataFrame, case_sensitive: bool = False) -> DataFrame:
     """Per request with a county that was not dropped: rows of another county."""
     a, b = F.col("county"), F.col("asked_county")
@@ -149,11 +102,14 @@ def request_budget(worklist: DataFrame, usage: DataFrame, order: list[Column], m
                    limit: int = 100_000) -> DataFrame:
     """Rows of an ordered work list that still fit the month's allowance.
 
-    Every row needs at least one request, so no more than `limit` rows can fit: the
+    Rows that need nothing always fit, at no cost. Every other row needs at least one request, so no more than `limit` rows can fit: the
     running sum is taken over that many leading rows only, which is exact."""
     used = usage.where(F.col("ts") >= F.lit(month_start).cast("timestamp")).agg(
         F.coalesce(F.sum("request_count"), F.lit(0)).alias("used"))
+    free = worklist.where(F.coalesce(F.col(need), F.lit(0)) < 1)
     head = worklist.where(F.col(need) >= 1).orderBy(*order).limit(limit)
     running = F.sum(need).over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return (with_scalars(head.withColumn("running_need", running), used)
-            .withColumn("remaining", F.lit(limit) - F.col("used")).where(F.col("running_need") <= F.col("remaining")))
+    costed = head.withColumn("running_need", running).unionByName(free.withColumn("running_need", F.lit(0)))
+    return (with_scalars(costed, used)
+            .withColumn("remaining", F.lit(limit) - F.col("used"))
+            .where((F.col("running_need") <= F.col("remaining")) | (F.col("running_need") == 0)))

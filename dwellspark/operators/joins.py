@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from dwellspark.functions import geo
 from dwellspark.lineage import cut_lineage
 
-# Grid longitude cells are widened for the northernmost latitude served.
-MAX_LATITUDE = 56.0
-LON_STRETCH = 1.0 / math.cos(math.radians(MAX_LATITUDE))
+# Leaf cells of the nearest join are about square at this latitude; any other is served too.
+SQUARE_AT = 56.0
+LON_STRETCH = 1.0 / math.cos(math.radians(SQUARE_AT))
+# Radius classes double from this one on, in metres.
+LEAST_RADIUS = 500.0
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -41,21 +43,48 @@ def near_equal_join(left: DataFrame, right: DataFrame, left_cols, right_cols, ep
             .drop("_cy", "_cx"))
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, left_at=("q_lat", "q_lon"),
-                 right_at=("latitude", "longitude"), limit_m: Column | None = None) -> DataFrame:
-    """Pairs within `radius_m` metres (or a smaller per-row `limit_m`), with `distance_m`.
+def _columns_of(row: Column, size: Column) -> Column:
+    """Number of columns in a grid row of `size` degrees: wide enough that points of a pair
+    lie in neighbouring ones at any latitude, and going round the globe."""
+    edge = F.greatest(F.abs(row * size), F.abs((row + 1) * size)) + size
+    ratio = F.sin(F.radians(size) / 2) / F.cos(F.radians(F.least(edge, F.lit(89.9))))
+    width = F.degrees(2 * F.asin(F.least(F.lit(1.0), ratio)))
+    return F.when((edge >= 89.0) | (width >= 120.0), F.lit(1)).otherwise(F.floor(360.0 / width)).cast("long")
 
-    The left side (the smaller one) is copied to its nine neighbour cells."""
-    size = radius_m / geo.M_PER_DEG * 1.000001
+
+def _column(lon: str, columns: Column) -> Column:
+    return F.pmod(F.floor((F.col(lon) + 180.0) / 360.0 * columns).cast("long"), columns)
+
+
+def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float | str, left_at=("q_lat", "q_lon"),
+                 right_at=("latitude", "longitude")) -> DataFrame:
+    """Pairs within `radius_m` metres, a number or a column of `left`, with `distance_m`.
+
+    Rows of the left side (the smaller one) fall into radius classes that double; each
+    class has a grid of its own width, so a small radius meets small cells. They are copied
+    to their nine neighbour cells; the right side has a copy for each class in use (at
+    most 17, as the globe ends there)."""
     (ly, lx), (ry, rx) = left_at, right_at
-    near = left.where(F.col(ly).isNotNull()).select(
-        "*", _neighbours(geo.cell(ly, size), geo.cell(lx, size * LON_STRETCH)).alias("_n")) \
-        .select("*", F.col("_n.cy").alias("_cy"), F.col("_n.cx").alias("_cx")).drop("_n")
-    keyed = (right.where(F.col(ry).isNotNull())
-             .withColumn("_cy", geo.cell(ry, size)).withColumn("_cx", geo.cell(rx, size * LON_STRETCH)))
-    return (near.join(keyed, ["_cy", "_cx"]).drop("_cy", "_cx")
+    radius = F.lit(float(radius_m)) if isinstance(radius_m, (int, float)) else F.col(radius_m).cast("double")
+    step = F.greatest(F.lit(0), F.ceil(F.log2(F.least(radius, F.lit(3e7)) / LEAST_RADIUS))).cast("int")
+    asked = left.where(F.col(ly).isNotNull() & F.col(lx).isNotNull() & (radius >= 0)).withColumn("_r", radius).withColumn(
+        "_k", F.lit(0) if isinstance(radius_m, (int, float)) else F.when(radius > 0, step).otherwise(0))
+    if isinstance(radius_m, (int, float)):
+        used, size = [0], F.lit(max(float(radius_m), 1.0) / geo.M_PER_DEG * 1.000001)
+    else:
+        used = sorted(r["_k"] for r in asked.select("_k").distinct().collect())
+        size = F.pow(F.lit(2.0), F.col("_k")) * (LEAST_RADIUS / geo.M_PER_DEG * 1.000001)
+    row = lambda lat: F.floor(F.col(lat) / F.col("_s")).cast("long")
+    near = (asked.withColumn("_s", size).withColumn("_cy", F.explode(F.array(*[row(ly) + d for d in (-1, 0, 1)])))
+            .withColumn("_m", _columns_of(F.col("_cy"), F.col("_s"))).withColumn("_x", _column(lx, F.col("_m")))
+            .withColumn("_cx", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("_x") + d, F.col("_m")) for d in (-1, 0, 1)]))))
+            .drop("_s", "_m", "_x"))
+    keyed = (right.where(F.col(ry).isNotNull() & F.col(rx).isNotNull())
+             .withColumn("_k", F.explode(F.array(*[F.lit(k) for k in used]).cast("array<int>"))).withColumn("_s", size)
+             .withColumn("_cy", row(ry)).withColumn("_cx", _column(rx, _columns_of(F.col("_cy"), F.col("_s")))).drop("_s"))
+    return (near.join(keyed, ["_k", "_cy", "_cx"]).drop("_k", "_cy", "_cx")
             .withColumn("distance_m", geo.haversine_m(ly, lx, ry, rx))
-            .where(F.col("distance_m") <= (F.lit(radius_m) if limit_m is None else limit_m)))
+            .where(F.col("distance_m") <= F.col("_r")).drop("_r"))
 
 
 def _boxed_cells(df: DataFrame, y: str, x: str, by: list[str], prefix: str) -> DataFrame:
@@ -79,15 +108,18 @@ def _box_bounds() -> tuple[Column, Column]:
 
 
 def nearest_join(df: DataFrame, points: DataFrame, at=("latitude", "longitude"),
-                 cell_deg: float = 0.01, tiers: int = 6) -> DataFrame:
+                 cell_deg: float = 0.01, tiers: int = 9) -> DataFrame:
     """Nearest point of every class for each row: adds class, point_id, distance_m.
 
     `points` is (class, point_id, p_lat, p_lon). Rows and points are put into leaf
     cells, whose number the served area bounds. Cell sizes grow fourfold per tier: the
     finest tier whose 3x3 neighbourhood holds a point limits the distance to about three
-    cells, so the next tier's neighbourhood holds the nearest point for certain. Of the
+    cells, so the next tier's neighbourhood (three tiers on where cells narrow towards the
+    poles) holds the nearest point for certain. The last tier's cells are wider than the
+    globe, so every row finds every class. Of the
     point cells found there only those that can beat the best upper bound are opened, so
-    coordinates far from all points do not meet every point."""
+    coordinates far from all points do not meet every point. Boxes do not reach over the
+    antimeridian: points beyond it count as on the far side."""
     y, x = at
     leaf = lambda d, yc, xc: d.withColumn("_cy", geo.cell(yc, cell_deg)).withColumn("_cx", geo.cell(xc, cell_deg * LON_STRETCH))
     # each of these is read several times below
@@ -100,12 +132,13 @@ def nearest_join(df: DataFrame, points: DataFrame, at=("latitude", "longitude"),
     def tiered(which):
         return F.explode(F.array(*[F.struct(F.lit(t).alias("t"), up("_cy", t).alias("ty"), up("_cx", t).alias("tx")) for t in which]))
 
-    own = right.withColumn("k", tiered(range(tiers + 1))).select("*", "k.*").drop("k").withColumnsRenamed({"_cy": "_ry", "_cx": "_rx"})
+    own = right.withColumn("k", tiered(range(tiers + 3))).select("*", "k.*").drop("k").withColumnsRenamed({"_cy": "_ry", "_cx": "_rx"})
     covered = (own.where(F.col("t") < tiers).select("class", "t", "ty", "tx").distinct()
                .select("class", "t", _neighbours(F.col("ty"), F.col("tx")).alias("n"))
                .select("class", "t", F.col("n.cy").alias("ty"), F.col("n.cx").alias("tx")).distinct())
     reach = (left.withColumn("k", tiered(range(tiers))).select("_cy", "_cx", "k.*").join(covered, ["t", "ty", "tx"])
-             .groupBy("_cy", "_cx", "class").agg((F.min("t") + 1).alias("t")))
+             .groupBy("_cy", "_cx", "class")
+             .agg((F.min("t") + F.when(F.abs(F.first("_cy")) * cell_deg > 65.0, 3).otherwise(1)).alias("t")))
     scale = F.pow(F.lit(4.0), F.col("t"))
     asked = (reach.join(left, ["_cy", "_cx"])
              .withColumn("n", _neighbours(F.floor(F.col("_cy") / scale).cast("long"), F.floor(F.col("_cx") / scale).cast("long")))

@@ -44,6 +44,7 @@ def newest_first(*extra: Column) -> list[Column]:
 
 # ------------------------------------------------------------ radius search
 
+# Multiples of the asked radius that are tried in turn.
 RING_FACTORS = (1, 2, 3, 5, 10)
 
 
@@ -108,25 +109,25 @@ def radius_search(requests: DataFrame, df: DataFrame, limit: int = 200, sort: st
             .withColumn("radius_expanded", F.col("ring_km") != F.col("radius_km")))
 
 
-def area_trends(requests: DataFrame, df: DataFrame, max_km: float = 50.0, rounded: bool = True) -> DataFrame:
+def area_trends(requests: DataFrame, df: DataFrame, rounded: bool = True) -> DataFrame:
     """Yearly market-price trends around each point (query_id, q_lat, q_lon, radius_km).
 
     Sales are counted per coordinate, year and price first, so requests meet counts
     and not sales."""
     counts = (not_suspect(market_sales(df)).where("latitude is not null and longitude is not null")
               .groupBy("latitude", "longitude", F.year("sale_date").alias("year"), "price").agg(F.count("*").alias("_w")))
-    near = radius_pairs(requests.select("query_id", "q_lat", "q_lon", "radius_km"), counts, max_km * 1000.0,
-                        limit_m=F.col("radius_km") * 1000.0)
+    asked = requests.select("query_id", "q_lat", "q_lon", (F.col("radius_km") * 1000.0).alias("_reach"))
+    near = radius_pairs(asked, counts, "_reach").drop("_reach")
     out = grouped_quantiles(near, ["query_id", "year"], "price", {"median_price": 0.5}, weight="_w").withColumnsRenamed(
         {"mean_value": "mean_price", "min_value": "min_price", "max_value": "max_price"})
     return (out.withColumn("median_price", F.round("median_price")).withColumn("mean_price", F.round("mean_price"))
             if rounded else out)
 
 
-def area_summary(areas: DataFrame, df: DataFrame, n: int = 10, max_km: float = 5.0) -> DataFrame:
+def area_summary(areas: DataFrame, df: DataFrame, n: int = 10) -> DataFrame:
     """Per area: latest-year median, mean of the newest rows, year span, newest rows."""
     areas = cut_lineage(areas)
-    trends = area_trends(areas, df, max_km).groupBy("query_id").agg(
+    trends = area_trends(areas, df).groupBy("query_id").agg(
         F.max_by("median_price", "year").alias("median_price"), F.min("year").alias("min_year"), F.max("year").alias("max_year"))
     hits = radius_search(areas, df, limit=n)
     recent = hits.groupBy("query_id").agg(
@@ -144,7 +145,6 @@ def polygon_search(polygons: DataFrame, df: DataFrame, limit: int = 50, cell_deg
 
     Polygons are covered by grid cells of their bounding box; containment is tested
     once per distinct coordinate."""
-    limit = min(limit, 50)
     shown = not_suspect(df).where("latitude is not null and longitude is not null")
     lats, lons = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"])
     span = lambda v: F.sequence(geo.cell(F.array_min(v), cell_deg), geo.cell(F.array_max(v), cell_deg))

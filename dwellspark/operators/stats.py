@@ -434,12 +434,9 @@ def street_slugs(df: DataFrame) -> DataFrame:
 def street_registry(ranking: DataFrame) -> DataFrame:
     """Ranked streets as published entries (the ranking has a fixed size)."""
     median = F.format_number(F.floor("median_price"), 0)
-    value = F.concat(F.lit("One of Ireland's highest-value streets, with a median sale price of €"), median,
-                     F.lit(" across "), F.col("tx_count").cast("string"),
-                     F.lit(" recorded sales on the Property Price Register."))
-    volume = F.concat(F.lit("One of Ireland's most active streets, with "), F.col("tx_count").cast("string"),
-                      F.lit(" recorded sales on the Property Price Register and a median price of €"), median,
-                      F.lit("."))
+    sales = F.col("tx_count").cast("string")
+    value = F.concat(F.lit("Ranks among the dearest streets: half of its "), sales, F.lit(" sales went above €"), median, F.lit("."))
+    volume = F.concat(F.lit("Ranks among the busiest streets: "), sales, F.lit(" sales, half of them above €"), median, F.lit("."))
     return street_slugs(ranking).select(
         "slug", F.regexp_replace("street_display", "^the\\b", "The").alias("name"),
         F.col("area_display").alias("area"), "county", text.slugify("county").alias("county_slug"),

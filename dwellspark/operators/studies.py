@@ -75,8 +75,8 @@ def distance_bands(df: DataFrame, names: list[str]) -> DataFrame:
     return grouped_quantiles(rows, ["class", "band"], "price", {"median_price": 0.5}).select("class", "band", "n", "median_price")
 
 
-# Widest model solved on the driver (the published ones have about 150 columns).
-MAX_WIDTH = 2_000
+PREMIUM_SCHEMA = ("flag string, coefficient double, std_error double, premium double, premium_low double, premium_high double, "
+                  "p_value double, r_squared double, n long, areas int")
 
 
 def hedonic_cells(df: DataFrame, flags: list[str], effects: list[str]) -> DataFrame:
@@ -93,18 +93,19 @@ def hedonic_premium(df: DataFrame, flags: list[str], area: str = "routing_key",
     clustered by area: premium, interval and p per flag, with R2 and sizes.
 
     Spark sums the cross products and the per-area scores; only matrices of model
-    width (flags + areas + effect levels, a few hundred) reach the driver."""
+    width reach the driver: flags, effect levels and areas, which are at most the 2,860 possible
+    routing keys. Without an area of `min_area` sales the result is empty."""
     names = [area, *effects]
     sizes = df.where(F.col(area).isNotNull()).groupBy(area).agg(F.count("*").alias("_a")).where(F.col("_a") >= min_area)
     rows = df.join(sizes.select(area), area).where(" and ".join(f"{e} is not null" for e in names))
     cells = cut_lineage(hedonic_cells(rows, flags, names))
 
-    levels = {e: sorted(r[0] for r in cells.select(e).distinct().limit(MAX_WIDTH + 1).collect()) for e in names}
+    levels = {e: sorted(r[0] for r in cells.select(e).distinct().collect()) for e in names}
+    if not levels[area]:
+        return df.sparkSession.createDataFrame([], PREMIUM_SCHEMA)
     columns = ["intercept", *flags, *[f"{e}={v}" for e in names for v in levels[e][1:]]]
     at = {c: i for i, c in enumerate(columns)}
     width = len(columns)
-    if width > MAX_WIDTH:
-        raise ValueError("too many fixed-effect levels for a driver-side solve")
     active = [F.lit(0), *[F.when(F.col(f) == 1, F.lit(at[f])) for f in flags]]
     for e in names:
         codes = F.create_map(*[x for v in levels[e][1:] for x in (F.lit(v), F.lit(at[f"{e}={v}"]))]) if levels[e][1:] else None
@@ -144,9 +145,7 @@ def hedonic_premium(df: DataFrame, flags: list[str], area: str = "routing_key",
         p = math.erfc(abs(b / se) / math.sqrt(2)) if se > 0 else float("nan")
         z = 1.959963984540054 * se
         out.append((f, b, se, math.exp(b) - 1, math.exp(b - z) - 1, math.exp(b + z) - 1, p, float(r2), int(n), groups))
-    return df.sparkSession.createDataFrame(
-        out, "flag string, coefficient double, std_error double, premium double, premium_low double, premium_high double, "
-             "p_value double, r_squared double, n long, areas int")
+    return df.sparkSession.createDataFrame(out, PREMIUM_SCHEMA)
 
 
 def amortization_schedule(loans: DataFrame) -> DataFrame:

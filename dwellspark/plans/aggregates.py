@@ -343,9 +343,8 @@ def _(spark, d):
 _SLUG = lambda e: f"regexp_replace(regexp_replace(lower({e}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 _REGISTRY = f"""registry AS (SELECT CASE WHEN count(*) OVER (PARTITION BY {_SLUG("street_display || ' ' || area_display")}) > 1 THEN {_SLUG("street_display || ' ' || area_display || ' ' || county")}
    ELSE {_SLUG("street_display || ' ' || area_display")} END AS slug, regexp_replace(street_display, '^the\\b', 'The') AS name, area_display AS area, county, {_SLUG('county')} AS county_slug, rank_type AS category, rank,
-   concat_ws('|', street, area, county_key) AS normalized_key, CASE WHEN rank_type = 'value' THEN concat('One of Ireland''s highest-value streets, with a median sale price of €', format('{{:,}}', CAST(trunc(median_price) AS BIGINT)),
-   ' across ', tx_count, ' recorded sales on the Property Price Register.') ELSE concat('One of Ireland''s most active streets, with ', tx_count, ' recorded sales on the Property Price Register and a median price of €',
-   format('{{:,}}', CAST(trunc(median_price) AS BIGINT)), '.') END AS description FROM ranking)"""
+   concat_ws('|', street, area, county_key) AS normalized_key, CASE WHEN rank_type = 'value' THEN concat('Ranks among the dearest streets: half of its ', tx_count, ' sales went above €', format('{{:,}}', CAST(trunc(median_price) AS BIGINT)), '.')
+   ELSE concat('Ranks among the busiest streets: ', tx_count, ' sales, half of them above €', format('{{:,}}', CAST(trunc(median_price) AS BIGINT)), '.') END AS description FROM ranking)"""
 
 
 @query("street_slugs", over_sales(

@@ -41,7 +41,7 @@ def _alerts(match: str, name: str) -> None:
           JOIN (SELECT id, sale_date, latitude, longitude, county AS sc, arrived FROM arrivals WHERE latitude IS NOT NULL AND NOT not_full_market_price) s ON arrived > coalesce(last_sent_at, created_at) AND (u.county IS NULL OR u.county = sc) AND abs(latitude - la) < 0.06 AND {dist} <= radius_km * 1000 QUALIFY position <= 50""", _SUBS))
     def _(spark, d):
         s = arrived_sales(dwelling_sales(spark, d))
-        return incremental.match_alerts(subscriptions(s), s, max_km=5.0, match=match).select(
+        return incremental.match_alerts(subscriptions(s), s, match=match).select(
             "sub_id", "id", "position", round_to("distance_km", 4).alias("distance_km"))
 
 
@@ -90,11 +90,6 @@ def _(spark, d):
     return r.withColumn("p50_ms", round_to("p50_ms", 6)).withColumn("p95_ms", round_to("p95_ms", 6))
 
 
-@query("rate_breaches")
-def _(spark, d):
-    return incremental.rate_breaches(query_log(spark, d), limit=2, window_s=6 * 3600.0)
-
-
 @query("county_filter_audit", over_sales(
     """SELECT query_id, r.county AS asked_county, count(*) AS total, count(*) FILTER (lower(f.county) <> lower(r.county)) AS wrong, string_agg(DISTINCT f.county, ',' ORDER BY f.county) AS counties FROM found f JOIN requests r USING (query_id) WHERE r.county IS NOT NULL AND NOT county_dropped GROUP BY ALL""", *_RADIUS_CTES))
 def _(spark, d):

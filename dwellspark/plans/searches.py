@@ -256,7 +256,7 @@ _AREA_TRENDS = f"""area_rows AS (SELECT query_id, price, CAST(year(sale_date) AS
 
 @query("price_trends_by_radius", over_sales("SELECT * FROM area_years", REQUESTS_CTE, _AREA_TRENDS))
 def _(spark, d):
-    return search.area_trends(search_requests(spark, d), dwelling_sales(spark, d), max_km=5.0)
+    return search.area_trends(search_requests(spark, d), dwelling_sales(spark, d))
 
 
 @query("area_summary", over_sales(

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dwellspark.operators import quality, stats
 from dwellspark.operators.incremental import match_alerts
@@ -35,36 +31,6 @@ def query_log_stream(log: DataFrame, window: str = "1 day", delay: str = "1 hour
             .select(F.col("window.start").alias("window_start"), by, "queries", "empty", "p50_ms", "p95_ms", "max_ms"))
 
 
-def rate_breach_stream(log: DataFrame, limit: int, window_s: float = 60.0, delay: str = "10 minutes") -> DataFrame:
-    """Refused flags per request with the accepted times of the trailing window as
-    state (never more than `limit`); idle keys are dropped by an event-time timeout."""
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(batches)).sort_values(["ts", "request_id"])
-        accepted = list(state.get[0]) if state.exists else []
-        refused = []
-        for now in pdf["ts"].astype("int64") / _ticks(pdf["ts"]):
-            accepted = [t for t in accepted if t >= now - window_s]
-            refuse = len(accepted) >= limit
-            if not refuse:
-                accepted.append(now)
-            refused.append(refuse)
-        state.update((accepted,))
-        idle_from = max(int(pdf["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs())
-        state.setTimeoutTimestamp(idle_from + int(window_s * 1000) + 1)
-        yield pdf.assign(refused=refused)[["request_id", "client", "endpoint", "ts", "refused"]]
-
-    schema = "request_id long, client string, endpoint string, ts timestamp, refused boolean"
-    return (log.select("request_id", "client", "endpoint", "ts").withWatermark("ts", delay).groupBy("client", "endpoint")
-            .applyInPandasWithState(step, schema, "accepted array<double>", "append", GroupStateTimeout.EventTimeTimeout))
-
-
-def _ticks(ts: pd.Series) -> float:
-    return {"ns": 1e9, "us": 1e6, "ms": 1e3, "s": 1.0}[getattr(ts.dt, "unit", "ns")]
-
-
 REGISTER_COLUMNS = ["Date of Sale (dd/mm/yyyy)", "Address", "County", "Eircode", "Price (€)", "Not Full Market Price",
                     "VAT Exclusive", "Description of Property", "Property Size Description"]
 

@@ -4,7 +4,7 @@ import datetime as dt
 import itertools
 import math
 import random
-from collections import Counter, deque
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -166,24 +166,6 @@ def test_find_comparables_matches_brute_force(spark):
         assert [got.get(sid, {})[k] for k in sorted(got.get(sid, {}))] == want
 
 
-def test_rate_breaches_match_brute_force(spark):
-    rng = random.Random(2)
-    start = dt.datetime(2024, 1, 1)
-    rows = [(i, "hot" if i % 3 == 0 else f"c{i % 5}", "search", start + dt.timedelta(seconds=rng.randrange(0, 1500))) for i in range(900)]
-    df = spark.createDataFrame(rows, "request_id long, client string, endpoint string, ts timestamp")
-    got = {r["request_id"]: r["refused"] for r in incremental.rate_breaches(df, 5).collect()}
-    held = {}
-    for rid, c, _, ts in sorted(rows, key=lambda r: (r[1], r[3], r[0])):
-        q = held.setdefault(c, deque())
-        while q and q[0] < ts - dt.timedelta(seconds=60):
-            q.popleft()
-        refused = len(q) >= 5
-        if not refused:
-            q.append(ts)
-        assert got[rid] == refused
-    assert any(got.values()) and not all(got.values())
-
-
 def test_hedonic_matches_dense_least_squares(spark):
     rng = np.random.default_rng(0)
     n = 1500
@@ -236,3 +218,59 @@ def test_radius_search_matches_the_loop(spark):
             have = sorted(got.get(qid, []))
             assert [h[1] for h in have] == [f[2] for f in found]
             assert all(h[2] == used and h[3] == dropped for h in have)
+
+
+def _around(rng, lat, lon, spread, n):
+    return [(i, lat + rng.uniform(-spread, spread), lon + rng.uniform(-spread, spread) * 3) for i in range(n)]
+
+
+@pytest.mark.parametrize("lat, lon", [(53.0, -7.0), (65.0, 20.0), (84.0, 0.0)])
+def test_radius_of_each_row_at_any_latitude(spark, lat, lon):
+    rng = random.Random(1)
+    asked = [(*r, rng.choice([0.0, 400.0, 5_000.0, 35_000.0, 50_000.0])) for r in _around(rng, lat, lon, 1, 80)]
+    points = _around(rng, lat, lon, 1, 160)
+    a = spark.createDataFrame(asked, "q int, q_lat double, q_lon double, reach double")
+    b = spark.createDataFrame(points, "id int, latitude double, longitude double")
+    got = {(r["q"], r["id"]) for r in joins.radius_pairs(a, b, "reach").collect()}
+    assert got == {(q, i) for q, y, x, m in asked for i, v, u in points if hav(y, x, v, u) <= m}
+
+
+def test_nearest_join_keeps_rows_far_from_all_points(spark):
+    rng = random.Random(2)
+    points = _around(rng, 53, -7, 1, 20)
+    rows = spark.createDataFrame([(1, 53.1, -7.2), (2, 22.0, -40.0), (3, 65.0, 20.0), (4, -60.0, 100.0)], "q int, latitude double, longitude double")
+    placed = spark.createDataFrame([("c", *p) for p in points], "class string, point_id int, p_lat double, p_lon double")
+    got = {r["q"]: r["distance_m"] for r in joins.nearest_join(rows, placed).collect()}
+    for r in rows.collect():
+        assert got[r["q"]] == pytest.approx(min(hav(r["latitude"], r["longitude"], y, x) for _, y, x in points), abs=1)
+
+
+def test_alerts_reach_as_far_as_asked(spark):
+    at = dt.datetime(2024, 5, 1)
+    rows = [(i, dt.date(2024, 4, 1), 100, f"{i} Rd", "Cork", 52.0 + i * 0.05, -8.0, False, False, at) for i in range(12)]
+    sales = spark.createDataFrame(rows, "id long, sale_date date, price int, address string, county string, latitude double, longitude double, "
+                                        "not_full_market_price boolean, geocode_suspect boolean, created_at timestamp")
+    subs = spark.createDataFrame([(1, "a@b.c", "0 Rd", 35.0, None, True, dt.datetime(2024, 1, 1), None)],
+                                 "sub_id int, email string, address string, radius_km double, county string, is_active boolean, created_at timestamp, last_sent_at timestamp")
+    got = {r["id"] for r in incremental.match_alerts(subs, sales).collect()}
+    assert got == {r[0] for r in rows if hav(52.0, -8.0, r[5], r[6]) <= 35_000} and len(got) > 4
+
+
+def test_polygon_limit_is_the_callers(spark):
+    rows = [(i, dt.date(2024, 1, 1), 53.0 + i * 1e-4, -7.0, False) for i in range(120)]
+    sales = spark.createDataFrame(rows, "id long, sale_date date, latitude double, longitude double, geocode_suspect boolean")
+    ring = [{"lat": y, "lon": x} for y, x in ((52.9, -7.1), (52.9, -6.9), (53.1, -6.9), (53.1, -7.1))]
+    polys = spark.createDataFrame([(1, ring)], "poly_id int, ring array<struct<lat: double, lon: double>>")
+    assert search.polygon_search(polys, sales, limit=80).count() == 80
+
+
+def test_rows_without_need_fit_the_budget(spark):
+    work = spark.createDataFrame([(1, 0), (2, 3), (3, 4), (4, None)], "id int, need int")
+    usage = spark.createDataFrame([(dt.datetime(2024, 1, 2), 95)], "ts timestamp, request_count int")
+    got = {r["id"]: r["running_need"] for r in incremental.request_budget(work, usage, [F.col("id")], "2024-01-01", limit=100).collect()}
+    assert got == {1: 0, 2: 3, 4: 0}
+
+
+def test_hedonic_premium_without_a_large_area(spark):
+    rows = spark.createDataFrame([(100.0, 1, "A", 2020)], "price double, near int, routing_key string, year int")
+    assert studies.hedonic_premium(rows, ["near"]).count() == 0

@@ -38,18 +38,6 @@ def test_query_log_stream_counts(spark, tmp_path):
     assert got == want and want
 
 
-def test_rate_stream_equals_batch(spark, tmp_path):
-    start = dt.datetime(2024, 1, 1)
-    rows = [(i, f"c{i % 2}", "search", start + dt.timedelta(seconds=i * 4)) for i in range(200)]
-    log = spark.createDataFrame(rows, "request_id long, client string, endpoint string, ts timestamp")
-    out = jobs.rate_breach_stream(stream_of(spark, log, str(tmp_path / "in")), 5)
-    q = out.writeStream.format("memory").queryName("rates").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = {r["request_id"]: r["refused"] for r in spark.table("rates").collect()}
-    want = {r["request_id"]: r["refused"] for r in incremental.rate_breaches(log, 5).collect()}
-    assert got == want and any(want.values())
-
-
 def test_register_stream_is_idempotent(spark, tmp_path):
     store, incoming = tmp_path / "store", tmp_path / "incoming"
     incoming.mkdir()

@@ -1,4 +1,4 @@
-"""Cutting lineage through reliable checkpoints."""
+"""The shared folder, and cutting lineage through checkpoints in it."""
 
 from __future__ import annotations
 
@@ -8,17 +8,22 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the DataFrame to the shared checkpoint folder and read it back.
+def shared_folder(spark) -> str:
+    """Where checkpoints and other shared intermediate files go.
+
+    The cluster names it in `spark.checkpoint.dir`; where it is unset it lies beside the
+    warehouse tables, or in a session on this machine alone in a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        folder = (tempfile.mkdtemp(prefix="checkpoint-") if re.match(r"local(\[|$)", spark.sparkContext.master)
+                  else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`; where it is unset, one
-    beside the warehouse tables, or in a session on this machine alone a temporary one."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write the DataFrame to the shared folder and read it back."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = (tempfile.mkdtemp(prefix="checkpoint-") if re.match(r"local(\[|$)", context.master)
-                      else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

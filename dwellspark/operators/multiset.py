@@ -27,13 +27,14 @@ def row_digest(cols: list[str]) -> Column:
     return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols]))
 
 
-def reconcile(base: DataFrame, source: DataFrame, content: list[str] | None = None) -> DataFrame:
+def reconcile(base: DataFrame, source: DataFrame, content: list[str] | None = None, copy_no: str | None = None) -> DataFrame:
     """Rows of the source missing from the base as a multiset: per key the first
     max(0, n_source - n_base) rows in the order of a content digest.
 
     Exact copies are collapsed to a count first and expanded at the end, and keys are
     counted by digest prefix, so a hot key is ranked in up to 65,536 independent
-    slices and never in one task. Running it twice adds nothing."""
+    slices and never in one task. Running it twice adds nothing. `copy_no` names a column
+    that tells the returned copies of equal rows apart."""
     content = content or [c for c in source.columns if c != "id"]
     copies = source.groupBy(*source.columns).agg(F.count("*").alias("_copies"))
     rows = copies.select("*", *snapshot_key(copies), row_digest(content).alias(ROW_ORDER)) \
@@ -56,7 +57,8 @@ def reconcile(base: DataFrame, source: DataFrame, content: list[str] | None = No
     upto = F.sum("_copies").over(Window.partitionBy(*_KEY, "_slice").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, 0))
     part = wanted.withColumn("_left", F.col("_take") - (upto - F.col("_copies"))).where("_left > 0")
-    return _repeat(part, F.least("_left", "_copies")).select(*source.columns)
+    nth = [F.concat_ws(".", "_chunk", "_copy").alias(copy_no)] if copy_no else []
+    return _repeat(part, F.least("_left", "_copies")).select(*source.columns, *nth)
 
 
 def _repeat(df: DataFrame, times: Column, chunk: int = 100_000) -> DataFrame:

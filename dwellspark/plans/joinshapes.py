@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dwellspark.fixtures import AMENITY_CTE, amenity_points, dwelling_sales, sales, search_requests, table, REQUESTS_CTE
 from dwellspark.functions.geo import round_to
+from dwellspark.lineage import shared_folder
 from dwellspark.operators import joins, multiset, stats
 from dwellspark.plans import sqltext as q
 from dwellspark.plans.aggregates import INDEX_CTE, RK, RK_STATS_SQL
@@ -56,6 +59,26 @@ def _(spark, d):
     return rejects.groupBy(F.col("reject_reason").alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query("read_register_csv", over_sales(
+    f"SELECT id, sale_date, address, eircode, price, not_full_market_price, vat_exclusive FROM ({_TYPED}) WHERE sale_date IS NOT NULL AND price IS NOT NULL", _RAW_SQL))
+def _(spark, d):
+    from dwellspark.streaming.jobs import REGISTER_COLUMNS
+    path = f"{shared_folder(spark)}/register-{uuid.uuid4().hex}"
+    names = ["date_raw", "address_raw", "county_raw", "eircode_raw", "price_raw", "nfmp_raw", "vat_raw", "id", "size_raw"]
+    raw = register_raw(dwelling_sales(spark, d)).select(*[F.col(a).cast("string").alias(b) for a, b in zip(names, REGISTER_COLUMNS)])
+    raw.write.option("header", True).csv(path)
+    valid, _ = register.read_register_csv(spark, path)
+    return valid.select(F.col("description").cast("long").alias("id"), "sale_date", "address", "eircode", F.col("price").cast("double").alias("price"),
+                        "not_full_market_price", "vat_exclusive")
+
+
+@query("write_worklist_csv", over_sales("SELECT id, county, latitude, NULL::VARCHAR AS new_latitude, NULL::VARCHAR AS new_longitude FROM dwelling WHERE latitude IS NULL"))
+def _(spark, d):
+    path = f"{shared_folder(spark)}/worklist-{uuid.uuid4().hex}"
+    sinks.write_worklist_csv(dwelling_sales(spark, d).where("latitude is null").select("id", "county", "latitude"), path)
+    return spark.read.option("header", True).schema("id long, county string, latitude double, new_latitude string, new_longitude string").csv(path)
+
+
 _UPSERT = """target AS (SELECT c_custkey AS k, c_mktsegment AS seg, c_acctbal AS bal FROM customer WHERE c_custkey%4 <> 0),
   updates AS (SELECT c_custkey AS k, 'NEW' AS seg, c_acctbal + 1 AS bal FROM customer WHERE c_custkey%3 = 0)"""
 
@@ -290,7 +313,7 @@ def _(spark, d):
 
 
 @query("incremental_register", over_sales(
-    f"""SELECT county, CAST(sum(greatest(0, n - coalesce(have, 0))) AS BIGINT) AS new_rows FROM (SELECT sale_date, price, county, count(*) AS n FROM (SELECT t.*, s.county FROM ({_TYPED}) t JOIN dwelling s USING (id)) WHERE sale_date IS NOT NULL AND price IS NOT NULL GROUP BY ALL)
+    f"""SELECT county, CAST(sum(greatest(0, n - coalesce(have, 0))) AS BIGINT) AS new_rows, CAST(sum(greatest(0, n - coalesce(have, 0))) AS BIGINT) AS ids FROM (SELECT sale_date, price, county, count(*) AS n FROM (SELECT t.*, s.county FROM ({_TYPED}) t JOIN dwelling s USING (id)) WHERE sale_date IS NOT NULL AND price IS NOT NULL GROUP BY ALL)
        LEFT JOIN (SELECT sale_date, CAST(price AS DOUBLE) AS price, county, count(*) AS have FROM dwelling WHERE id%4 <> 0 GROUP BY ALL) USING (sale_date, price, county) GROUP BY county HAVING sum(greatest(0, n - coalesce(have, 0))) > 0""", _RAW_SQL))
 def _(spark, d):
     from dwellspark.streaming.jobs import REGISTER_COLUMNS, ingest_batch
@@ -299,7 +322,7 @@ def _(spark, d):
     raw = register_raw(s).select(*[F.col(a).alias(b) for a, b in zip(names, REGISTER_COLUMNS)])
     base = s.where("id % 4 <> 0").withColumn("needs_geocoding", F.col("latitude").isNull())
     new, _rejects = ingest_batch(base, raw)
-    return new.groupBy("county").agg(F.count("*").alias("new_rows"))
+    return new.groupBy("county").agg(F.count("*").alias("new_rows"), F.countDistinct("id").alias("ids"))
 
 
 @query("read_amenities", f"""WITH {AMENITY_CTE} SELECT amenity_type, count(*) AS n, count(description) AS described, count(*) FILTER (amenity_id % 10 = 0) AS tenth FROM (SELECT *, CASE WHEN amenity_type = 'transport' THEN category END AS description FROM amenities) WHERE amenity_id % 9 <> 0 GROUP BY 1""")

@@ -89,13 +89,14 @@ def split_rejects(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
 CP1252_RANGE = ("\u0080\u0082\u0084\u0085\u0091\u0092\u0093\u0094\u0095\u0096\u0097", "€‚„…‘’“”•–—")
 
 
-def read_register_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
-    """(valid, rejects) of register files; pass encoding 'windows-1252' for old ones.
+def read_register_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejects) of register files; pass encoding 'windows-1252' for old ones. Files are
+    split over tasks unless quoted fields may hold line breaks (`multi_line`), which takes a task a file.
 
     The CSV reader does not know that code page: such files are read as Latin-1, which
     keeps every byte, and the differing characters are translated."""
     old = encoding.lower() in ("windows-1252", "cp1252")
-    raw = (spark.read.option("header", True).option("encoding", "ISO-8859-1" if old else encoding).option("multiLine", True)
+    raw = (spark.read.option("header", True).option("encoding", "ISO-8859-1" if old else encoding).option("multiLine", multi_line)
            .option("quote", '"').option("escape", '"').csv(path))
     if old:
         raw = raw.select(*[F.translate(F.col(f"`{c}`"), *CP1252_RANGE).alias(c) for c in raw.columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from dwellspark.functions import text
 from dwellspark.operators import quality, stats
 from dwellspark.operators.incremental import match_alerts
 from dwellspark.operators.multiset import append_register, reconcile
@@ -35,10 +36,14 @@ REGISTER_COLUMNS = ["Date of Sale (dd/mm/yyyy)", "Address", "County", "Eircode",
                     "VAT Exclusive", "Description of Property", "Property Size Description"]
 
 
-def ingest_batch(base: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new rows, rejects) of one delivery against the stored register."""
+def ingest_batch(base: DataFrame, raw: DataFrame, delivery: str = "") -> tuple[DataFrame, DataFrame]:
+    """(new rows, rejects) of one delivery against the stored register. New rows get an id from
+    their content, the copy they are and the delivery's name, and the routing key of their postcode."""
     valid, rejects = split_rejects(typed_register_rows(canonical_headers(raw)))
-    return append_register(base.limit(0), reconcile(base, valid)), rejects
+    new = reconcile(base, valid, copy_no="_nth")
+    named = new.withColumn("id", F.shiftrightunsigned(F.xxhash64(F.lit(delivery), "_nth", *valid.columns), 1))
+    keyed = named.withColumn("routing_key", text.routing_key("eircode")).drop("_nth")
+    return append_register(base.limit(0), keyed), rejects
 
 
 def refresh_flags(register: DataFrame) -> DataFrame:
@@ -46,7 +51,8 @@ def refresh_flags(register: DataFrame) -> DataFrame:
     return quality.flag_geocodes(register, stats.routing_key_stats(register))
 
 
-def start_register_stream(spark: SparkSession, incoming: str, store: str, checkpoint: str, encoding: str = "UTF-8") -> StreamingQuery:
+def start_register_stream(spark: SparkSession, incoming: str, store: str, checkpoint: str, encoding: str = "UTF-8",
+                          multi_line: bool = False) -> StreamingQuery:
     """Files in `incoming` are typed, reconciled against the Parquet register in
     `store` and the missing rows appended; rejects go next to it.
 
@@ -54,12 +60,12 @@ def start_register_stream(spark: SparkSession, incoming: str, store: str, checkp
     folder, so a replayed batch adds nothing twice."""
     schema = ", ".join(f"`{c}` string" for c in REGISTER_COLUMNS)
     raw = (spark.readStream.schema(schema).option("header", True).option("encoding", encoding)
-           .option("multiLine", True).csv(incoming))
+           .option("multiLine", multi_line).csv(incoming))
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
         base = batch.sparkSession.read.option("recursiveFileLookup", True).parquet(f"{store}/sales")
         base = base.where(~F.input_file_name().contains(f"/batch={batch_id}/"))
-        new, rejects = ingest_batch(base, batch)
+        new, rejects = ingest_batch(base, batch, str(batch_id))
         new.write.mode("overwrite").parquet(f"{store}/sales/batch={batch_id}")
         rejects.write.mode("overwrite").parquet(f"{store}/rejects/batch={batch_id}")
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+from pandas.util import hash_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -67,16 +67,6 @@ def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, made when first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_WORDS = _Hashes()
-_WORD_LIMIT = 250_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
                  0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -87,10 +77,10 @@ def words(text: str | None) -> list[bytes]:
 
 
 def word_hashes(tokens: list[bytes]) -> np.ndarray:
-    """A 64-bit hash for each word; hashes are kept in a cache of bounded size."""
-    if len(_WORDS) > _WORD_LIMIT:
-        _WORDS.clear()
-    return np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
+    """A 64-bit hash for each word, keyed alike in every task."""
+    column = np.empty(len(tokens), object)
+    column[:] = tokens
+    return hash_array(column, categorize=False)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -78,15 +78,21 @@ def sketch_of_parts(parts: DataFrame, by: str, column: str = "sketch", k: int =
     return kept.groupBy(by).agg(F.sort_array(F.collect_list("h")).alias(column))  # k hashes a group at most
 
 
+def _cuts_below(cuts: list[int], value: Column) -> Column:
+    """How many of the sorted cuts lie below a value: among every n-th of them first, then in the n that follow."""
+    n = max(1, round(len(cuts) ** 0.5))
+    count = lambda among: F.size(F.filter(among, lambda b: b < value))
+    some, every = (F.lit(c).cast("array<bigint>") for c in (cuts[::n], cuts))
+    return F.when(value.isNull(), None).otherwise(_let(count(some), lambda c: F.when(c == 0, 0).otherwise((c - 1) * n + count(F.slice(every, (c - 1) * n + 1, n)))))
+
+
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, text and next_text: the text of the next document in descending id order."""
     spark = docs.sparkSession
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q")).first()["q"] or []
-    bounds = F.lit(sorted(set(cuts))).cast("array<bigint>")
-    # A null id lies below all others.
-    placed = rows.withColumn("range", F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))) + 1, F.lit(0)))
+    placed = rows.withColumn("range", F.coalesce(_cuts_below(sorted(set(cuts)), F.col("doc_id")) + 1, F.lit(0)))  # a null id lies below all others
     tops = {r["range"]: r["top"] for r in placed.groupBy("range").agg(F.max(F.struct("doc_id", F.xxhash64("text").alias("x"))).alias("top")).collect()}  # a row a range
     order = sorted(tops)
     # The first document of each range follows the last one of the range above; that of the highest follows the lowest's last.

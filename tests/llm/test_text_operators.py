@@ -87,6 +87,18 @@ def test_chained_passages(spark, docs, copies):
     assert not touched & {100 + i for i in range(0, 120, 2)}
 
 
+def test_passage_whose_parts_have_other_first_holders(spark):
+    import random
+    from conftest import prose
+    rng = random.Random(21)
+    passage = prose(rng, 60).split()
+    around = lambda part: f"{prose(rng, 40)} {' '.join(part)} {prose(rng, 40)}"
+    rows = [(1, around(passage[:30])), (2, around(passage[30:])), (3, around(passage)), (4, around(passage))]
+    for parts in (1, 4):
+        got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert [(r.doc_id, r.start, r.stop, r.match_id, r.match_start, r.similarity) for r in got] == [(4, 40, 100, 3, 40, 1.0)]
+
+
 def test_chain_scores_match_quadratic():
     rng = np.random.default_rng(1)
     for _ in range(40):

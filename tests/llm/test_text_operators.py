@@ -99,6 +99,24 @@ def test_passage_whose_parts_have_other_first_holders(spark):
         assert [(r.doc_id, r.start, r.stop, r.match_id, r.match_start, r.similarity) for r in got] == [(4, 40, 100, 3, 40, 1.0)]
 
 
+def test_exact_passage_beside_a_rewritten_one(spark):
+    import random
+    from conftest import prose
+    rng = random.Random(22)
+    exact, other = prose(rng, 52, "abcd").split(), prose(rng, 72).split()
+    edited = {*range(0, 12, 2), *range(13, 22, 2), *range(28, 40, 2), *range(41, 52, 2), *range(58, 72)}  # 23 of the first 58
+    a, b = exact + [f"new{i}" if i in edited else w for i, w in enumerate(other)], exact + other
+    xs = [0, 30, 46, 74, 104]
+    for a, b, xs in ((a, b, xs), (a[::-1], b[::-1], [118 - x for x in xs[::-1]])):
+        rows = spark.createDataFrame([(1, " ".join(b)), (2, " ".join(a))], "doc_id long, text string")
+        assert {(r.doc_id, r.match_id) for r in chaining.repeated_passages(rows, window=1).collect()} == {(2, 1)}
+        (lo, hi, rlo, rhi, edits), = chaining.align(a, b, xs, xs, 6, min_words=50, similarity=0.8)
+        assert hi - lo >= 52 and (lo, hi) == (rlo, rhi) and 1 - edits / (hi - lo) >= 0.8
+        assert edits == sum(v != w for v, w in zip(a[lo:hi], b[lo:hi]))
+    runs, rest = chaining.equal_runs(list("xabcyd"), list("abcdzz"))
+    assert [r[:3] for r in runs] in ([(1, 0, 3)], [(1, 0, 3), (5, 3, 1)]) and sum(r[3] for r in runs) + rest == chaining.edit_distance(list("xabcyd"), list("abcdzz"), 9)
+
+
 def test_chain_scores_match_quadratic():
     rng = np.random.default_rng(1)
     for _ in range(40):

@@ -117,6 +117,25 @@ def test_exact_passage_beside_a_rewritten_one(spark):
     assert [r[:3] for r in runs] in ([(1, 0, 3)], [(1, 0, 3), (5, 3, 1)]) and sum(r[3] for r in runs) + rest == chaining.edit_distance(list("xabcyd"), list("abcdzz"), 9)
 
 
+def test_near_passages_recall(spark):
+    """Edited passages of 50 words whose first and last words stay: near the promised similarity too."""
+    import random
+    rng = random.Random(23)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows, want, n = [], Counter(), 60
+    for share in (0.9, 0.86, 0.8):
+        for _ in range(n):
+            i, base = len(rows), [word() for _ in range(50)]
+            at = set(rng.sample(range(1, 49), round(50 * (1 - share))))
+            rows += [(i, " ".join([word() for _ in range(30)] + base + [word() for _ in range(30)])),
+                     (i + 1, " ".join([word() for _ in range(20)] + [word() if j in at else w for j, w in enumerate(base)] + [word() for _ in range(20)]))]
+            want[i + 1] = share
+    got = {(r.doc_id, r.match_id, r.start, r.stop) for r in chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= {(i, i - 1, 20, 70) for i in want}
+    for share in (0.9, 0.86, 0.8):
+        assert sum(want[i] == share for i, *_ in got) >= 0.95 * n, share
+
+
 def test_chain_scores_match_quadratic():
     rng = np.random.default_rng(1)
     for _ in range(40):

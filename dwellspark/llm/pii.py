@@ -7,7 +7,8 @@ mixed tokens. Boosted trees score each candidate from its format and its context
 precision on candidates kept out of the fit, selects. Selected spans that no better one and no base span overlaps are added
 under kinds of their own (number, contact, host, secret), so base spans and their counts stay what they are.
 
-The trees are fitted on a bounded sample of labelled candidates (`sample` rows, smallest hash of document and place first); their labels are
+The trees are fitted on a bounded sample of labelled candidates (`sample` rows, a stratum for each kind and label, smallest hash of
+document and place first), the thresholds on histograms of the scores of every third candidate of the table; labels are
 weak: base spans and formally valid values are positive, all other candidates negative.
 
 Defined results: null and empty texts have no spans, and the digest of an empty list; repeated rows give a row each; other columns are ignored;
@@ -24,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from dwellspark.llm.common import frames, texts_of, workers
 
@@ -227,36 +228,46 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, least:
     return model
 
 
-def calibrate(score: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """Smallest score from which on the share of positives is at least `precision`; above 1 if there is none."""
-    order = np.argsort(-score, kind="stable")
-    good = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    last = np.append(score[order][1:] != score[order][:-1], True) if len(y) else np.empty(0, bool)
-    ok = np.flatnonzero((good >= precision) & last)
-    return max(0.5, float(score[order][ok[-1]])) if len(ok) else 2.0
+#: Scores are counted in so many bins for the thresholds.
+BINS = 2000
+
+
+def calibrate(negatives: np.ndarray, positives: np.ndarray, precision: float) -> float:
+    """Smallest edge of a bin of scores from which on the share of positives is at least `precision`; above 1 if there is none."""
+    p, n = (np.cumsum(x[::-1])[::-1].astype(float) for x in (positives, negatives))
+    ok = np.flatnonzero((p > 0) & (p >= precision * (p + n)))
+    return max(0.5, float(ok[0]) / len(p)) if len(ok) else 2.0
 
 
 def fit(docs: DataFrame, sample: int = 30_000, precision: float = 0.98, seed: int = 7) -> Trees | None:
-    """Fit on a bounded sample of the candidates of all documents; a third of it calibrates the thresholds."""
+    """Fit on a bounded sample of the candidates of all documents, an equal stratum for each kind and label;
+    the thresholds, which make up for the shares of the strata, are calibrated on the scores of all candidates that are kept out of the fit by their hash, a third."""
     def propose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames(batches):
             rows = [(doc, a, e, kind, features(t, a, e, kind), weak_label(t, a, e, kind))
                     for doc, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"]) for a, e, kind in candidates(t)]
             out = pd.DataFrame(rows, columns=["doc_id", "start", "end", "kind", "x", "y"])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
-    got = docs.mapInPandas(propose, "doc_id long, start int, end int, kind string, x array<double>, y boolean")
-    picked = got.withColumn("h", F.xxhash64("doc_id", "start", "end", "kind", F.lit(seed))).orderBy("h", "doc_id", "start", "end", "kind").limit(sample)
-    rows = picked.select("kind", "x", "y", (F.pmod("h", F.lit(3)) == 0).alias("aside")).toPandas()  # `sample` rows at most
+    got = docs.mapInPandas(propose, "doc_id long, start int, end int, kind string, x array<double>, y boolean").withColumn(
+        "h", F.xxhash64("doc_id", "start", "end", "kind", F.lit(seed))).withColumn("aside", F.pmod("h", F.lit(3)) == 0)
+    rank = F.row_number().over(W.partitionBy("kind", "y").orderBy("h", "doc_id", "start", "end"))  # bounded, so applied before the shuffle
+    picked = got.where("NOT aside").withColumn("place", rank).where(F.col("place") <= max(1, sample // (2 * len(ADDED))))
+    rows = picked.select("kind", "y", "place", "x").toPandas().sort_values(["kind", "y", "place"], ignore_index=True)  # `sample` rows at most
     y = rows["y"].to_numpy(bool)
-    aside = rows["aside"].to_numpy(bool)
-    if not (y[~aside].any() and (~y[~aside]).any()):
+    if not (y.any() and (~y).any()):
         return None
-    x = np.array(rows["x"].tolist(), float)
-    model = boost(x[~aside], y[~aside].astype(float))
-    score = model.scores(x[aside])
-    for kind in ADDED:
-        own = (rows["kind"] == kind).to_numpy()[aside]
-        model.thresholds[kind] = calibrate(score[own], y[aside][own], precision)
+    model = boost(np.array(rows["x"].tolist(), float), y.astype(float))
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames(batches):
+            score = model.scores(np.array(pdf["x"].tolist(), float))
+            yield pdf[["kind", "y"]].assign(bin=np.minimum((score * BINS).astype(int), BINS - 1))
+    bins = got.where("aside").select("kind", "x", "y").mapInPandas(counted, "kind string, y boolean, bin int").groupBy("kind", "y", "bin").count()
+    found = np.zeros((len(ADDED), 2, BINS))
+    for r in bins.collect():  # BINS rows a kind and label at most
+        found[ADDED.index(r["kind"]), int(r["y"]), r["bin"]] = r["count"]
+    for kind, (negatives, positives) in zip(ADDED, found):
+        model.thresholds[kind] = calibrate(negatives, positives, precision)
     return model
 
 

@@ -239,6 +239,17 @@ def test_personal_data_added_by_trees(spark):
     assert "<card>" in masked[0] and "<phone>" in masked[0] and "<secret>" in masked[0]
 
 
+def test_rare_kind_is_calibrated_on_all_candidates(spark):
+    rng = np.random.default_rng(6)
+    word = lambda: f"{int(rng.integers(1, 2**62)):016x}ab"
+    rows = [(i, " ".join(f"n {int(rng.integers(10**8, 10**9))} x" for _ in range(20))) for i in range(300)]
+    rows += [(1000 + i, f"aa token = \"{word()}\" bb {word()}{word()} cc") for i in range(30)]
+    model = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"), sample=200)
+    assert model is not None and model.thresholds["secret"] <= 1
+    some = rows[-1][1]
+    assert "secret" in {k for *_, k in pii.spans_of(some, model)[1]}
+
+
 def test_licences(spark, docs):
     got = [tuple(r) for r in licences.scan(docs).collect()]
     assert [(r[0], r[1]) for r in got] == [(59, "Apache-2.0")] and got[0][4] == 1.0 and got[0][2] == 20

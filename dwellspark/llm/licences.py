@@ -39,6 +39,18 @@ LICENCES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "All rights reserved": "All rights reserved. No part of this publication may be reproduced",
+    "All rights reserved (alone)": "All rights reserved.",
+    "MIT (short)": "under the MIT License",
+    "MIT (shorter)": "under MIT license",
+    "BSD no endorsement": "may be used to endorse or promote products derived from this software without specific prior written permission",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "GPL-2.0": "either version 2 of the License, or (at your option) any later version",
+    "LGPL notice": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL notice": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "EPL-2.0": "made available under the terms of the Eclipse Public License 2.0",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC0-1.0": "CC0 1.0 Universal",
 }
 PARTS = "[^a-z0-9]+"
 
@@ -69,7 +81,7 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _UPPER, _LOWER), PARTS), lambda w: w != "")
 
 
-def shingles(words: Column, n: int) -> Column:
+def shingles(words: Column, n: int | Column) -> Column:
     """Distinct n-word shingles of a word array as strings; fewer words are one."""
     return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))))
@@ -111,7 +123,7 @@ def scan(docs: DataFrame, licences: dict[str, str] | None = None, n: int = 5, co
                             F.posexplode(signature(shingles(F.col("window"), n), bands)).alias("band", "value"))
     found = banded.join(F.broadcast(table), ["band", "value"]).where("w_size = size").select(  # the caller's templates
         "doc_id", "licence", "size", "start", "window", "around", "t_shingles").distinct()
-    share = lambda part: F.size(F.array_intersect("t_shingles", shingles(F.col(part), n))) / F.size("t_shingles")
+    share = lambda part: F.size(F.array_intersect("t_shingles", shingles(F.col(part), F.least(F.lit(n), F.col("size"))))) / F.size("t_shingles")
     good = found.withColumn("own", share("window")).withColumn("held", share("around")).where(F.col("held") >= containment)
     best = good.groupBy("doc_id", "licence").agg(F.min_by(F.struct("start", "size", "held"), F.struct(-F.col("own"), "start")).alias("b"))
     return best.select("doc_id", "licence", F.col("b.start").alias("start"), (F.col("b.start") + F.col("b.size")).alias("stop"), F.col("b.held").alias("held"))

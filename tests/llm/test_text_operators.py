@@ -265,6 +265,13 @@ def test_licences(spark, docs):
         assert len(without) < 0.8 * len(every), name
 
 
+def test_further_licences(spark):
+    rows = [(1, "x (c) A B. All rights reserved. y"), (2, "Licensed under the MIT License"), (3, "Released under MIT license"),
+            (4, "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"), (5, "all rights are kept")]
+    found = {(r.doc_id, r.licence) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(1, "All rights reserved (alone)"), (2, "MIT (short)"), (3, "MIT (shorter)")} <= found and not {i for i, _ in found} & {5}
+
+
 def test_fingerprints(spark, docs):
     rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
     got = defaultdict(list)

@@ -6,13 +6,17 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 
-SF = "/root/testdata/sf0.001"
+
+@pytest.fixture(scope="session")
+def sf():
+    return "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
     s = (SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4")
+         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
          .config("spark.driver.memory", "6g").config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
@@ -21,6 +25,6 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def sales(spark):
+def sales(spark, sf):
     from dwellspark import fixtures
-    return fixtures.sales(spark, SF)
+    return fixtures.sales(spark, sf)

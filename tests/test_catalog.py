@@ -8,25 +8,23 @@ from dwellspark import fixtures
 from dwellspark.operators import stats
 from dwellspark.plans import catalog
 
-from conftest import SF
-
 SAMPLE = ["normalize_address", "street_key", "county_check", "price_trends", "shared_coordinates", "street_ranking", "seasonality", "polygon_search",
           "exact_address_search", "tolerance_join", "asof_nearest", "reconcile_snapshot", "coordinate_score", "repair_inconsistent",
           "propagate_enrichment", "resolve_by_tokens", "estimate", "match_alerts", "upsert_subscription", "request_budget"]
 
 
 @pytest.fixture(scope="module")
-def con():
+def con(sf):
     c = duckdb.connect()
     c.execute("SET TimeZone='UTC'")
     for t in TABLES:
-        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     return c
 
 
 @pytest.mark.parametrize("name", SAMPLE)
-def test_query_matches_sql(spark, con, name):
-    msg, _, _ = compare(spark, con, name, catalog.queries()[name], catalog.oracle_sql()[name], SF)
+def test_query_matches_sql(spark, con, name, sf):
+    msg, _, _ = compare(spark, con, name, catalog.queries()[name], catalog.oracle_sql()[name], sf)
     assert msg.startswith("ok"), msg
 
 

@@ -9,8 +9,6 @@ from dwellspark.operators import incremental
 from dwellspark.plans.incrementals import arrived_sales, query_log, subscriptions
 from dwellspark.streaming import jobs
 
-from conftest import SF
-
 
 def stream_of(spark, df, path):
     df.write.mode("overwrite").parquet(path)
@@ -27,8 +25,8 @@ def test_alert_stream_equals_batch(spark, sales, tmp_path):
     assert got == want and want
 
 
-def test_query_log_stream_counts(spark, tmp_path):
-    log = query_log(spark, SF).withColumn("ts", F.col("ts").cast("timestamp")).drop("arrived_at")
+def test_query_log_stream_counts(spark, sf, tmp_path):
+    log = query_log(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).drop("arrived_at")
     out = jobs.query_log_stream(stream_of(spark, log, str(tmp_path / "in")))
     q = out.writeStream.format("memory").queryName("log_stats").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()

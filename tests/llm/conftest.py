@@ -4,11 +4,9 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, words string, x int, label string, ids string, rank int, sig string"
-
+from texts import prose
 
-def prose(rng, n, letters="abcdefghijklmnop"):
-    return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, words string, x int, label string, ids string, rank int, sig string"
 
 
 @pytest.fixture(scope="session")

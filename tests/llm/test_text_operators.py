@@ -11,6 +11,8 @@ import pytest
 from dwellspark.llm import bpe, chaining, fingerprints, licences, mixing, ngram_join, packing, pii, quality
 from dwellspark.llm.queries import vocabulary
 
+from texts import prose
+
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -89,7 +91,6 @@ def test_chained_passages(spark, docs, copies):
 
 def test_passage_whose_parts_have_other_first_holders(spark):
     import random
-    from conftest import prose
     rng = random.Random(21)
     passage = prose(rng, 60).split()
     around = lambda part: f"{prose(rng, 40)} {' '.join(part)} {prose(rng, 40)}"
@@ -101,7 +102,6 @@ def test_passage_whose_parts_have_other_first_holders(spark):
 
 def test_exact_passage_beside_a_rewritten_one(spark):
     import random
-    from conftest import prose
     rng = random.Random(22)
     exact, other = prose(rng, 52, "abcd").split(), prose(rng, 72).split()
     edited = {*range(0, 12, 2), *range(13, 22, 2), *range(28, 40, 2), *range(41, 52, 2), *range(58, 72)}  # 23 of the first 58

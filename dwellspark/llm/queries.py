@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwellspark.llm import bpe, chaining, fingerprints, licences, mixing, ngram_join, packing, pii, quality, rpforest
+from dwellspark.llm import bpe, chaining, fingerprints, lemp, lexical, licences, mixing, ngram_join, packing, pii, quality, rpforest, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,10 +61,24 @@ def op10_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rpforest.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_lemp_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lemp.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality, "op2_personal_data": op2_personal_data, "op3_chained_passages": op3_chained_passages,
     "op4_packed_ids": op4_packed_ids, "op5_byte_bpe": op5_byte_bpe, "op6_temperature_mixing": op6_temperature_mixing,
     "op7_licence_scan": op7_licence_scan, "op8_ngram_join": op8_ngram_join, "op9_bottom_k": op9_bottom_k,
-    "op10_projection_forest": op10_projection_forest,
+    "op10_projection_forest": op10_projection_forest, "op11_lemp_negatives": op11_lemp_negatives, "op12_toxicity": op12_toxicity,
+    "op13_best_position": op13_best_position,
 }
-ORACLES: dict[str, str] = {"op6_temperature_mixing": mixing.mixture_sql(), "op7_licence_scan": licences.scan_sql()}
+ORACLES: dict[str, str] = {"op6_temperature_mixing": mixing.mixture_sql(), "op7_licence_scan": licences.scan_sql(),
+                            "op11_lemp_negatives": lemp.hard_negatives_sql(), "op13_best_position": lexical.ranked_sql()}

@@ -2,8 +2,8 @@
 
 The features of a text are the character n-grams it holds, hashed into a table of fixed width. For each feature the
 labelled rows give two counts, the toxic and the clean documents with it, and from them the log ratio of its shares in
-the two classes. The ratio is drawn towards zero by `doubt` of its standard errors, so features whose ratio may be chance have the
-scale zero and fall away. A logistic regression over the features times their scales is then fitted on a bounded, stratified
+the two classes. The ratio is drawn towards zero by `doubt` of its standard errors and by `slack`, so features whose ratio may be chance, or
+is no more than a habit of style, have the scale zero and fall away. A logistic regression over the features times their scales is then fitted on a bounded, stratified
 sample of labelled rows, weighted back to the shares of all labelled rows.
 
 Counts cover all labelled rows outside the held-out fold. The driver gets the counts of the table (fixed width) and the features
@@ -66,11 +66,11 @@ def counts(rows: DataFrame) -> DataFrame:
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def log_ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, doubt: float) -> np.ndarray:
-    """Log of the feature's share in toxic documents over that in clean ones, drawn towards zero by `doubt` standard errors."""
+def log_ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, doubt: float, slack: float) -> np.ndarray:
+    """Log of the feature's share in toxic documents over that in clean ones, drawn towards zero by `slack` and `doubt` standard errors."""
     p, q = toxic + 1.0, clean + 1.0
     ratio = np.log(p / (n_toxic + 2.0)) - np.log(q / (n_clean + 2.0))
-    return np.sign(ratio) * np.maximum(0.0, np.abs(ratio) - doubt * np.sqrt(1 / p + 1 / q))
+    return np.sign(ratio) * np.maximum(0.0, np.abs(ratio) - slack - doubt * np.sqrt(1 / p + 1 / q))
 
 
 def features(text: str | None, scale: np.ndarray) -> np.ndarray:
@@ -111,7 +111,7 @@ def regression(rows: list[np.ndarray], scale: np.ndarray, toxic: np.ndarray, mas
     return Model(weights, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, doubt: float = 3.0, ridge: float = 1e-5, passes: int = 400) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, doubt: float = 2.0, slack: float = 0.7, ridge: float = 1e-5, passes: int = 400) -> Model | None:
     """Fit on the documents (doc_id, text) that `labels` (doc_id, toxic boolean) name; the regression takes `sample` / 2 rows of each
     class at most, those of the smallest hash of their id. None where a class has no row."""
     spark = docs.sparkSession
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, doubt: float =
     count = counts(docs.join(labels, "doc_id")).toPandas()  # a row a feature at most
     both = np.zeros((2, 1 << BITS))
     both[:, count["feature"]] = count["toxic"], count["clean"]
-    scale = log_ratios(both[0], both[1], size[True], size[False], doubt)
+    scale = log_ratios(both[0], both[1], size[True], size[False], doubt, slack)
     kept = {y: marked.where(F.col("toxic") == y).orderBy("h").limit(sample // 2) for y in (True, False)}
     chosen = kept[True].union(kept[False]).select("doc_id", "toxic").distinct()
     shared = spark.sparkContext.broadcast(scale.astype(np.float32))

@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from dwellspark.llm.common import blocks_of, cut, frames, workers
+from dwellspark.llm.common import blocks_for, cut, frames, workers
 
 
 @dataclass
@@ -111,13 +111,21 @@ def search_leaves(trees: list[Tree], counts: list[np.ndarray], q: np.ndarray, se
     return found
 
 
-def _shortlist(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of q, row of v and exact cosine of each query's best k."""
+def _shortlist(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of q, row of v and exact cosine of each query's best k, ties to the smaller id. Rounded cosines leave out only what is
+    below the k-th by more than their error."""
     rough = _unit(q) @ _unit(v).T
-    top = np.argpartition(-rough, min(k, len(v)) - 1, axis=1)[:, :k]
-    at, to = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
-    a, b = q[at], v[to]
-    return at, to, np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
+    least = np.partition(rough, len(v) - min(k, len(v)), axis=1)[:, len(v) - min(k, len(v))]
+    at, to, score = [], [], []
+    size = np.sqrt(np.einsum("ij,ij->i", v, v))
+    for i, x in enumerate(q):
+        near = np.flatnonzero(rough[i] >= least[i] - 1e-9)
+        exact = np.einsum("ij,j->i", v[near], x) / (np.sqrt(np.einsum("i,i->", x, x)) * size[near])
+        best = np.lexsort((ids[near], -exact))[:k]
+        at.append(np.full(len(best), i))
+        to.append(near[best])
+        score.append(exact[best])
+    return np.concatenate(at), np.concatenate(to), np.concatenate(score)
 
 
 def pilot_search(entries: DataFrame, asked: np.ndarray, trees: list[Tree], counts: list[np.ndarray], k: int, recall: float) -> int:
@@ -125,7 +133,7 @@ def pilot_search(entries: DataFrame, asked: np.ndarray, trees: list[Tree], count
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames(batches, 5000):
             v = _matrix(pdf["v"])
-            at, to, score = _shortlist(asked, v, k + 1)
+            at, to, score = _shortlist(asked, v, np.arange(len(v)), k + 1)
             yield pd.DataFrame({"q": at, "score": score, "v": list(v[to])})
     near = (entries.mapInPandas(exact, "q int, score double, v array<double>")
             .withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score")))).where(F.col("r") <= k + 1)
@@ -179,7 +187,12 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, trees: int = 24, leaf_
     shared = spark.sparkContext.broadcast(forest)
 
     kind = dict(entries.dtypes)["v"]
-    blocks = blocks_of(spark)
+    blocks = blocks_for(entries.count() * trees * 8 * (base.shape[1] + 8), 32 << 20)
+    offset = np.cumsum([0] + [t.leaves for t in forest])
+
+    def block(tree: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Neighbouring leaves of a tree are in one block."""
+        return (offset[tree] + leaf) * blocks // offset[-1]
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames(batches, 2000):
@@ -187,7 +200,7 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, trees: int = 24, leaf_
             leaf = np.stack([t.leaf(x) for t in shared.value], 1)
             n, at = leaf.shape[1], np.repeat(np.arange(len(pdf)), leaf.shape[1])
             tree = np.tile(np.arange(n), len(pdf))
-            yield pd.DataFrame({"block": (leaf.ravel() * n + tree) % blocks, "tree": tree, "leaf": leaf.ravel(),
+            yield pd.DataFrame({"block": block(tree, leaf.ravel()), "tree": tree, "leaf": leaf.ravel(),
                                 "ids": pdf["ids"].to_numpy()[at], "v": pdf["v"].to_numpy()[at]})
 
     index = entries.mapInPandas(place, f"block int, tree int, leaf int, ids array<long>, v {kind}")
@@ -206,26 +219,26 @@ def nearest(rows: DataFrame, k: int = 5, every: int = 50, trees: int = 24, leaf_
             got = [search_leaves(shared.value, sizes.value, q, search) for q in _unit(_matrix(pdf["qv"]))]
             at = np.repeat(np.arange(len(pdf)), [len(g) for g in got])
             flat = np.array([p for g in got for p in g], np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"block": (flat[:, 1] * len(shared.value) + flat[:, 0]) % blocks, "tree": flat[:, 0], "leaf": flat[:, 1],
+            yield pd.DataFrame({"block": block(flat[:, 0], flat[:, 1]), "tree": flat[:, 0], "leaf": flat[:, 1],
                                 "query_id": pdf["query_id"].to_numpy()[at], "qv": pdf["qv"].to_numpy()[at]})
 
     asked = queries.mapInPandas(walk, f"block int, tree int, leaf int, query_id long, qv {kind}")
 
     def rerank(near: pd.DataFrame, far: pd.DataFrame) -> pd.DataFrame:
-        """Each query's best entries of each leaf, by exact cosine."""
+        """Each query's best entries of the block, by exact cosine, ties to the smaller id."""
         held = far.groupby(["tree", "leaf"]).indices
-        out = []
+        first, out = np.array([i[0] for i in far["ids"]], np.int64), []
         for key, rows in near.groupby(["tree", "leaf"]).indices.items():
             if key in held:
-                at, to, score = _shortlist(_matrix(near["qv"].iloc[rows]), _matrix(far["v"].iloc[held[key]]), k + 2)
-                out.append(pd.DataFrame({"query_id": near["query_id"].to_numpy()[rows[at]], "score": score,
-                                         "ids": far["ids"].to_numpy()[held[key][to]]}))
+                at, to, score = _shortlist(_matrix(near["qv"].iloc[rows]), _matrix(far["v"].iloc[held[key]]), first[held[key]], k + 1)
+                out.append(pd.DataFrame({"query_id": near["query_id"].to_numpy()[rows[at]], "score": score, "at": held[key][to]}))
         if not out:
             return pd.DataFrame({"query_id": [], "score": [], "ids": pd.Series([], dtype=object)})
-        best = pd.concat(out).sort_values(["query_id", "score"], ascending=[True, False])
-        best["first"] = [i[0] for i in best["ids"]]
-        best = best.drop_duplicates(["query_id", "first"])
-        return best[best.groupby("query_id").cumcount() < k + 2][["query_id", "score", "ids"]]
+        best = pd.concat(out)
+        best["first"] = first[best["at"]]  # a vector comes from several trees
+        best = best.sort_values(["query_id", "score", "first"], ascending=[True, False, True]).drop_duplicates(["query_id", "first"])
+        best = best[best.groupby("query_id").cumcount() < k + 1]
+        return pd.DataFrame({"query_id": best["query_id"].to_numpy(), "score": best["score"].to_numpy(), "ids": far["ids"].to_numpy()[best["at"]]})
 
     met = asked.groupBy("block").cogroup(index.groupBy("block")).applyInPandas(rerank, "query_id long, score double, ids array<long>")
     flat = met.select("query_id", "score", F.explode("ids").alias("vec_id")).where("query_id <> vec_id")

@@ -5,7 +5,7 @@ scanner's states; functions compose associatively, and the few functions that co
 are numbered once, so a composition is one lookup. The boundaries of all texts of a batch come from
 one scan: blocks of code points are composed side by side, block results are scanned, and the
 states inside the blocks follow. The resulting slices feed a cache of merged pairs. Slices keep
-their offsets, by which ids are decoded and placed.
+their offsets and the number of their ids, so that any range of characters is decoded from the ids of its slices alone.
 
 The scanner splits as the public pattern does: contractions, then letters, numbers or other
 signs with one optional space before, then white space.
@@ -143,7 +143,7 @@ def starts_of(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ranks of byte strings and a cache of merged slices, bounded in entries."""
 
-    def __init__(self, ranks: dict[bytes, int], cache: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], cache: int = 150_000):
         self.ranks, self.limit = ranks, cache
         self.merged: dict[str, bytes] = {}
         self.tokens = {i: t for t, i in ranks.items()}
@@ -199,6 +199,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        return [ids for ids, _, _ in self.slices(texts)]
+
+    def slices(self, texts: list[str]) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
+        """Of each text: its ids, and of each slice the character it starts at and the number of its ids."""
         joined = "".join(texts)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         lengths = np.array([len(t) for t in texts], np.int64)
@@ -208,7 +212,8 @@ class Encoder:
         if len(self.merged) > self.limit:
             self.merged.clear()
         merged, out = self.merged, []
-        for lo, hi in zip(edge, edge[1:]):
+        base = 0
+        for lo, hi, length in zip(edge, edge[1:], lengths.tolist()):
             ids = []
             for a, b in zip(bounds[lo:hi], bounds[lo + 1:hi + 1]):
                 piece = joined[a:b]
@@ -218,13 +223,23 @@ class Encoder:
                     if b - a < 60:
                         merged[piece] = got
                 ids.append(got)
-            out.append(b"".join(ids))
+            out.append((b"".join(ids), at[lo:hi] - base, np.fromiter(map(len, ids), np.int64, len(ids)) // 4))
+            base += length
         return out
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for."""
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def decode_range(self, ids: bytes, starts: np.ndarray, counts: np.ndarray, lo: int, hi: int) -> str:
+        """Characters lo to hi (exclusive) of the text, from the ids of the slices that hold them."""
+        if lo >= hi or not len(starts):
+            return ""
+        first, last = int(np.searchsorted(starts, lo, "right")) - 1, int(np.searchsorted(starts, hi))
+        held = np.append(0, np.cumsum(counts))
+        text = self.decode(ids[4 * int(held[first]):4 * int(held[last])]).decode()
+        return text[lo - int(starts[first]):hi - int(starts[first])]
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a vocabulary file with one base64 token and its rank a line."""
@@ -238,38 +253,53 @@ def encoder(path: str) -> Encoder:
     return Encoder(read_ranks(path))
 
 
-def encoded(docs: DataFrame, path: str, chars: int = 1_000_000) -> DataFrame:
-    """doc_id and packed ids. Texts are scanned together until they hold `chars` code points."""
+def encoded(docs: DataFrame, path: str, chars: int = 200_000) -> DataFrame:
+    """doc_id, packed ids, and of each slice the character it starts at and the number of its ids. Texts are scanned together until they
+    hold `chars` code points."""
     workers(docs.sparkSession)
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for pdf in frames(batches):
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": _in_groups(enc, pdf["text"].tolist(), chars)})
-    return texts_of(docs).mapInPandas(one, "doc_id long, ids binary")
+            got = _in_groups(enc, pdf["text"].tolist(), chars)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": [g[0] for g in got],
+                                "slice_start": [g[1] for g in got], "slice_ids": [g[2] for g in got]})
+    return texts_of(docs).mapInPandas(one, "doc_id long, ids binary, slice_start array<int>, slice_ids array<int>")
+
+
+def decoded_range(rows: DataFrame, path: str, lo: int, hi: int) -> DataFrame:
+    """doc_id and characters lo to hi (exclusive) of the texts that `encoded` rows stand for."""
+    workers(rows.sparkSession)
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = encoder(path)
+        for pdf in frames(batches):
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"),
+                                "text": [enc.decode_range(*g, lo, hi) for g in zip(pdf["ids"], pdf["slice_start"], pdf["slice_ids"])]})
+    return rows.select("doc_id", "ids", "slice_start", "slice_ids").mapInPandas(one, "doc_id long, text string")
 
 
-def _in_groups(enc: Encoder, texts: list[str], chars: int) -> list[bytes]:
+def _in_groups(enc: Encoder, texts: list[str], chars: int) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
     out, group, size = [], [], 0
     for t in texts:
         group.append(t)
         size += len(t)
         if size >= chars:
-            out += enc.encode(group)
+            out += enc.slices(group)
             group, size = [], 0
-    return out + (enc.encode(group) if group else [])
+    return out + (enc.slices(group) if group else [])
 
 
-def round_trip(docs: DataFrame, path: str, chars: int = 1_000_000) -> DataFrame:
-    """doc_id, n_tokens, digest of the ids and digest of what they decode to, for every document."""
+def round_trip(docs: DataFrame, path: str, chars: int = 200_000) -> DataFrame:
+    """doc_id, n_tokens, digest of the ids and digest of what they decode to, and the number of slices, for every document."""
     workers(docs.sparkSession)
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for pdf in frames(batches):
-            ids = _in_groups(enc, pdf["text"].tolist(), chars)
+            got = _in_groups(enc, pdf["text"].tolist(), chars)
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": [len(x) // 4 for x in ids],
-                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(enc.decode(x)).hexdigest() for x in ids]})
-    return texts_of(docs).mapInPandas(one, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                "doc_id": pdf["doc_id"].astype("Int64"), "n_tokens": [int(n.sum()) for _, _, n in got],
+                "ids_sha256": [hashlib.sha256(x).hexdigest() for x, _, _ in got],
+                "decoded_sha256": [hashlib.sha256(enc.decode(x)).hexdigest() for x, _, _ in got], "n_slices": [len(n) for _, _, n in got]})
+    return texts_of(docs).mapInPandas(one, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_slices long")

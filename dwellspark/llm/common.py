@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,13 +16,10 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`; where it is
-    unset, a folder beside the warehouse tables, or a temporary one in a local session."""
+    unset, a folder beside the warehouse tables."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if re.match(r"local(\[|$)", spark.sparkContext.master):
-            folder = tempfile.mkdtemp(prefix="shared-")
-        else:
-            folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -50,10 +45,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def workers(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver imported it."""
-    here = spark.sparkContext.environment.get("PYTHONPATH", "")
+    """Let Python workers import this package from where the driver imported it, and give freed memory back to the
+    system, as they outlive the stages that they work for."""
+    own = spark.sparkContext.environment
+    here = own.get("PYTHONPATH", "")
     if ROOT not in here.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [here, ROOT]))
+        own["PYTHONPATH"] = os.pathsep.join(filter(None, [here, ROOT]))
+    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "2"), ("MALLOC_TRIM_THRESHOLD_", "16777216")):
+        own.setdefault(name, value)
     return spark
 
 
@@ -62,6 +61,11 @@ def blocks_of(spark: SparkSession) -> int:
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def blocks_for(size: int, each: int = 8 << 20) -> int:
+    """Number of hash ranges for `size` bytes of packed entries, about `each` bytes in one."""
+    return max(1, -(-size // each))
+
+
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id` and `text` alone, a null text read as an empty one."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -113,8 +117,13 @@ def shingle_set(text: str | None, k: int = 5) -> np.ndarray:
     return s[np.append(True, s[1:] != s[:-1])]
 
 
-def frames(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.DataFrame]:
-    """The batches, none longer than `rows`; empty ones are passed over."""
+def frames(batches: Iterator[pd.DataFrame], rows: int = 2000, chars: int = 8 << 20) -> Iterator[pd.DataFrame]:
+    """The batches in parts of `rows` rows at most, whose texts have about `chars` characters at most (or one text); empty
+    batches are passed over."""
     for pdf in batches:
-        for at in range(0, len(pdf), rows):
-            yield pdf.iloc[at:at + rows].reset_index(drop=True)
+        size = pdf["text"].str.len().fillna(0).to_numpy(np.int64) if "text" in pdf else np.zeros(len(pdf), np.int64)
+        total, at = np.append(0, np.cumsum(size)), 0
+        while at < len(pdf):
+            end = min(at + rows, max(at + 1, int(np.searchsorted(total, total[at] + chars, "right")) - 1))
+            yield pdf.iloc[at:end].reset_index(drop=True)
+            at = end

@@ -28,7 +28,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of every node of `edges` (u, v long), a component named by its smallest
     node. Each round halves the depth at least; the edges end as stars round those nodes."""
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum("v")).first())
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first())
     now = cut(_small_star(edges.where("u <> v")))
     seen = mark(now)
     for _ in range(rounds):

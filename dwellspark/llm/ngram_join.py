@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from dwellspark.llm.common import blocks_of, cut, frames, shingle_set, stored, texts_of, workers
+from dwellspark.llm.common import blocks_for, cut, frames, shingle_set, stored, texts_of, workers
 from dwellspark.llm.components import components
 
 #: A column in so many different texts of a batch of BATCH counts as frequent.
@@ -204,7 +204,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     rows = stored(incidence(texts, k, percent, frequent_columns(texts, k)), "incidence")
     sets = stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("sig").agg(
         F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.min_by("head", "doc_id").alias("head")), "sets")
-    found = stored(_candidates(_column_blocks(sets, blocks_of(docs.sparkSession)), percent), "candidates")
+    size = sets.agg(F.sum(F.length("head"))).first()[0] or 0  # 8 bytes a column
+    found = stored(_candidates(_column_blocks(sets, blocks_for(size * _ENTRY.itemsize // 8)), percent), "candidates")
     pairs = found.where("n < 0").select("x", "y").distinct()
     member = cut(rows.select("doc_id", "n", "sig").join(sets.select("sig", "rep"), "sig", "left").select("doc_id", "n", "rep"))
     same_id = member.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v")

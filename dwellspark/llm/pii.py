@@ -9,7 +9,7 @@ under kinds of their own (number, contact, host, secret), so base spans and thei
 
 The trees are fitted on a bounded sample of labelled candidates (`sample` rows, a stratum for each kind and label, smallest hash of
 document and place first), the thresholds on histograms of the scores of every third candidate of the table; labels are
-weak: base spans and formally valid values are positive, all other candidates negative.
+weak: base spans, formally valid values and national phone forms behind a word for calling are positive, all other candidates negative.
 
 Defined results: null and empty texts have no spans, and the digest of an empty list; repeated rows give a row each; other columns are ignored;
 without candidates of both labels nothing is added; an empty table gives an empty result.
@@ -27,11 +27,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from dwellspark.llm.common import frames, texts_of, workers
+from dwellspark.llm.common import frames, stored, texts_of, workers
 
 # The base patterns.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")  # a match begins at the first digit of a run anyway
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 BASE = ("email", "ip", "card", "phone")
@@ -40,13 +40,14 @@ ORDER = {kind: i for i, kind in enumerate(BASE + ADDED)}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 # Generators, loose on purpose.
-RUN = re.compile(r"\+?[0-9(][0-9 ().+/-]{5,}[0-9]")
+RUN = re.compile(r"[0-9 ().+/-]{7,}")
 GROUP = re.compile(r"[0-9]+")
 LOOSE_MAIL = re.compile(r"[^\s@]{1,64}(?:@| ?[\[(]at[\])] ?)[^\s@]{3,}", re.I)
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
+DOTTED = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3,}")
 CREDENTIAL = re.compile(r"(?:key|token|secret|passw(?:or)?d|pwd|bearer)\b[\"']?\s*[:=]?\s*[\"']?([^\s\"',;]{8,})", re.I)
 WORDS = ("key", "token", "secret", "passw", "pwd", "bearer")
 MIXED = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
+NATIONAL = re.compile(r"\(?[0-9]{2,5}\)?(?:[ ./-]{1,2}[0-9]{3,4}){2}")
 CONTEXT = {
     "credential": re.compile(r"key|token|secret|passw|pwd|bearer", re.I), "card": re.compile(r"card|visa|credit|iban|account", re.I),
     "call": re.compile(r"call|phone|tel|mobile|fax|whatsapp", re.I), "mail": re.compile(r"mail|contact|@", re.I), "net": re.compile(r"\bip\b|host|server|address", re.I),
@@ -104,8 +105,8 @@ def _has_digit(text: str) -> bool:
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """Spans proposed by the generators; they overlap. Sub-runs of digit groups reach over seven groups at most,
-    more than any number of the kinds has."""
+    """Spans proposed by the generators; they overlap. Sub-runs of digit groups hold 7 to 19 digits, as the numbers of
+    the kinds do."""
     out = set()
     digits = _has_digit(text)
     if digits:
@@ -113,9 +114,11 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             groups = [(g.start() + m.start(), g.end() + m.start()) for g in GROUP.finditer(m[0])]
             for i, (a, _) in enumerate(groups):
                 n = 0
-                for b, e in groups[i:i + 7]:
+                for b, e in groups[i:i + 19]:
                     n += e - b
-                    if 7 <= n <= 19:
+                    if n > 19:
+                        break
+                    if n >= 7:
                         lo = a - 1 if a and text[a - 1] in "+(" else a
                         out.add((lo - 1 if lo and text[lo] == "(" and text[lo - 1] == "+" else lo, e, "number"))
         out.update((m.start(), m.end(), "host") for m in DOTTED.finditer(text))
@@ -150,7 +153,9 @@ def weak_label(text: str, start: int, end: int, kind: str) -> bool:
     digits = "".join(c for c in span if _is_digit(c))
     clear = not text[max(0, start - 1):start].isalnum() and not text[end:end + 1].isalnum()
     if kind == "number":
-        return clear and ((12 <= len(digits) <= 19 and luhn(digits) and span[0] != "+") or (span[0] == "+" and 9 <= len(digits) <= 15))
+        formal = (12 <= len(digits) <= 19 and luhn(digits) and span[0] != "+") or (span[0] == "+" and 9 <= len(digits) <= 15)
+        national = span[0] in "(0123456789" and NATIONAL.fullmatch(span) and CONTEXT["call"].search(text[max(0, start - 30):start])
+        return clear and bool(formal or national)
     if kind == "host":
         return span.count(".") == 3 and all(_octet(p) for p in span.split("."))
     if kind == "contact":
@@ -248,8 +253,8 @@ def fit(docs: DataFrame, sample: int = 30_000, precision: float = 0.98, seed: in
                     for doc, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"]) for a, e, kind in candidates(t)]
             out = pd.DataFrame(rows, columns=["doc_id", "start", "end", "kind", "x", "y"])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
-    got = docs.mapInPandas(propose, "doc_id long, start int, end int, kind string, x array<double>, y boolean").withColumn(
-        "h", F.xxhash64("doc_id", "start", "end", "kind", F.lit(seed))).withColumn("aside", F.pmod("h", F.lit(3)) == 0)
+    proposed = stored(docs.mapInPandas(propose, "doc_id long, start int, end int, kind string, x array<double>, y boolean"), "proposed")
+    got = proposed.withColumn("h", F.xxhash64("doc_id", "start", "end", "kind", F.lit(seed))).withColumn("aside", F.pmod("h", F.lit(3)) == 0)
     rank = F.row_number().over(W.partitionBy("kind", "y").orderBy("h", "doc_id", "start", "end"))  # bounded, so applied before the shuffle
     picked = got.where("NOT aside").withColumn("place", rank).where(F.col("place") <= max(1, sample // (2 * len(ADDED))))
     rows = picked.select("kind", "y", "place", "x").toPandas().sort_values(["kind", "y", "place"], ignore_index=True)  # `sample` rows at most
@@ -297,7 +302,7 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def personal_spans(docs: DataFrame, sample: int = 30_000) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256 and spans of every document."""
+    """doc_id, counts of the base kinds, base_sha256, spans and n_spans (base and added) of every document."""
     workers(docs.sparkSession)
     rows = texts_of(docs)
     model = fit(rows, sample)
@@ -307,9 +312,10 @@ def personal_spans(docs: DataFrame, sample: int = 30_000) -> DataFrame:
             got = [spans_of(t, model) for t in pdf["text"]]
             out = {"doc_id": pdf["doc_id"].astype("Int64")}
             out |= {f"n_{kind}": [sum(s[2] == kind for s in base) for base, _ in got] for kind in BASE}
-            out |= {"base_sha256": [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in got], "spans": [joined(every) for _, every in got]}
+            out |= {"base_sha256": [hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in got], "spans": [joined(every) for _, every in got],
+                    "n_spans": [len(every) for _, every in got]}
             yield pd.DataFrame(out)
-    return rows.mapInPandas(one, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInPandas(one, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def masked(text: str, spans: list[tuple[int, int, str]]) -> str:

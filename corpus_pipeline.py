@@ -22,13 +22,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, that of the smallest id; of rows that share an id the one
-    with the smallest text digest. Documents without words and rows without an id stay."""
-    groups = ngram_join.ngram_components(docs)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.where("doc_id IS NOT NULL").join(first, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    one = known.withColumn("row_of_id", rank).where("row_of_id = 1").drop("row_of_id")
+    """One document of each component of near copies, that of the smallest id. Rows that share an id are documents of their own if
+    their texts differ, and one document if not. Documents without words stay, as do rows without an id."""
+    node = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    known = docs.where("doc_id IS NOT NULL").withColumn("near_node", node)
+    groups = ngram_join.ngram_components(known.select(F.col("near_node").alias("doc_id"), "text")).select(F.col("doc_id").alias("near_node"), "component_id")
+    first = (known.select("near_node", "doc_id").join(groups.distinct(), "near_node").groupBy("component_id")
+             .agg(F.min(F.struct("doc_id", "near_node")).alias("least")).select(F.col("least.near_node").alias("near_node")))
+    rank = F.row_number().over(W.partitionBy("near_node").orderBy(F.xxhash64(*docs.columns)))
+    one = known.join(first, "near_node", "left_semi").withColumn("row_of_node", rank).where("row_of_node = 1").select(docs.columns)
     return one.union(docs.where("doc_id IS NULL"))
 
 

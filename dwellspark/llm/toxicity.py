@@ -17,17 +17,20 @@ long texts are hashed in pieces and scored whole.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from dwellspark.llm.common import frames, stored, texts_of, workers
 
 SIZES = (3, 4, 5)
 BITS = 20
+RANGES, LANES = 16, 256
 PIECE = 1 << 20
 _FOLD = np.array([c if chr(c).isalnum() else 32 for c in range(128)], np.uint32)
 _STEP, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -49,8 +52,9 @@ def grams(text: str | None) -> Iterator[np.ndarray]:
                 yield ((run + np.uint64(n)) * _SPREAD >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def counts(rows: DataFrame) -> DataFrame:
-    """feature, toxic, clean: documents of either class (text, toxic) that hold the feature."""
+def counts(rows: DataFrame) -> np.ndarray:
+    """Toxic and clean documents (text, toxic) that hold each feature, as an array of two rows. Each task sends its table once, packed
+    by ranges of features; sums go over lanes of tasks first, so no group grows with the table."""
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, seen = np.zeros((2, 1 << BITS), np.int64), np.zeros(1 << BITS, bool)
         for pdf in frames(batches):
@@ -58,12 +62,26 @@ def counts(rows: DataFrame) -> DataFrame:
                 for g in grams(text):
                     seen[g] = True
                 at = np.flatnonzero(seen)
-                total[int(toxic), at] += 1
+                total[int(not toxic), at] += 1
                 seen[at] = False
-        at = np.flatnonzero(total.any(0))
-        yield pd.DataFrame({"feature": at, "toxic": total[1, at], "clean": total[0, at]})
-    return rows.select("text", "toxic").mapInPandas(one, "feature int, toxic long, clean long").groupBy("feature").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        if total.any():
+            yield packed(total.reshape(2, RANGES, -1).swapaxes(0, 1), range(RANGES), TaskContext.get().partitionId() % LANES)
+
+    def packed(tables: np.ndarray, ranges, lane: int) -> pd.DataFrame:
+        return pd.DataFrame({"range": list(ranges), "lane": lane, "table": [zlib.compress(t.tobytes(), 1) for t in tables]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((1, 2, (1 << BITS) // RANGES), np.int64)
+        for t in pdf["table"]:
+            total[0] += np.frombuffer(zlib.decompress(t), np.int64).reshape(2, -1)
+        return packed(total, [pdf["range"].iloc[0]], 0)
+
+    shape = "range int, lane int, table binary"
+    sums = rows.select("text", "toxic").mapInPandas(one, shape).groupBy("range", "lane").applyInPandas(add, shape).groupBy("range").applyInPandas(add, shape)
+    out = np.zeros((2, RANGES, (1 << BITS) // RANGES), np.int64)
+    for r in sums.collect():  # a row a range
+        out[:, r["range"]] = np.frombuffer(zlib.decompress(r["table"]), np.int64).reshape(2, -1)
+    return out.reshape(2, -1)
 
 
 def log_ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, doubt: float, slack: float) -> np.ndarray:
@@ -119,10 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, doubt: float =
     size = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
         return None
-    count = counts(docs.join(labels, "doc_id")).toPandas()  # a row a feature at most
-    both = np.zeros((2, 1 << BITS))
-    both[:, count["feature"]] = count["toxic"], count["clean"]
-    scale = log_ratios(both[0], both[1], size[True], size[False], doubt, slack)
+    toxic, clean = counts(docs.join(labels, "doc_id"))
+    scale = log_ratios(toxic, clean, size[True], size[False], doubt, slack)
     kept = {y: marked.where(F.col("toxic") == y).orderBy("h").limit(sample // 2) for y in (True, False)}
     chosen = kept[True].union(kept[False]).select("doc_id", "toxic").distinct()
     shared = spark.sparkContext.broadcast(scale.astype(np.float32))

@@ -143,7 +143,7 @@ def starts_of(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ranks of byte strings and a cache of merged slices, bounded in entries."""
 
-    def __init__(self, ranks: dict[bytes, int], cache: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], cache: int = 400_000):
         self.ranks, self.limit = ranks, cache
         self.merged: dict[str, bytes] = {}
         self.tokens = {i: t for t, i in ranks.items()}

@@ -41,7 +41,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write the DataFrame as Parquet in the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Delete a `stored` table that nothing reads any more, what came of it being written itself."""
+    session = df.sparkSession
+    path = session._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def workers(spark: SparkSession) -> SparkSession:

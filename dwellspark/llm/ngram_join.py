@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from dwellspark.llm.common import blocks_for, cut, frames, shingle_set, stored, texts_of, workers
+from dwellspark.llm.common import blocks_for, cut, frames, removed, shingle_set, stored, texts_of, workers
 from dwellspark.llm.components import components
 
 #: A column in so many different texts of a batch of BATCH counts as frequent.
@@ -194,7 +194,9 @@ def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent:
                     text, kept = a, shingle_set(a, k)
                 ok.append(overlap_reaches(kept, shingle_set(b, k), percent))
             yield pdf.loc[ok, ["x", "y"]]
-    return rows.select("x", "y", "of_x", "of_y").mapInPandas(check, "x long, y long").distinct()
+    linked = stored(rows.select("x", "y", "of_x", "of_y").mapInPandas(check, "x long, y long").distinct(), "links")
+    removed(texts)
+    return linked
 
 
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -208,6 +210,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     found = stored(_candidates(_column_blocks(sets, blocks_for(size * _ENTRY.itemsize // 8)), percent), "candidates")
     pairs = found.where("n < 0").select("x", "y").distinct()
     member = cut(rows.select("doc_id", "n", "sig").join(sets.select("sig", "rep"), "sig", "left").select("doc_id", "n", "rep"))
+    removed(rows)
     same_id = member.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v")
     edges = cut(_links(pairs, sets, texts, k, percent).select(F.col("x").alias("u"), F.col("y").alias("v"))
                 .union(same_id.select("u", "v")))

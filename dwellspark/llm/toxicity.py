@@ -6,7 +6,8 @@ the two classes. The ratio is drawn towards zero by `doubt` of its standard erro
 is no more than a habit of style, have the scale zero and fall away. A logistic regression over the features times their scales is then fitted on a bounded, stratified
 sample of labelled rows, weighted back to the shares of all labelled rows.
 
-Counts cover all labelled rows outside the held-out fold. The driver gets the counts of the table (fixed width) and the features
+Counts cover the labelled rows outside the held-out fold, `labelled` / 2 of each class at most, so that their ids can go to every task and no
+text is shuffled. The driver gets the counts of the table (fixed width) and the features
 of the sample; the tasks get one weight a feature.
 
 Defined results: a null or empty text holds no n-gram and is scored by the intercept; a null id is never held out and has no label;
@@ -129,26 +130,36 @@ def regression(rows: list[np.ndarray], scale: np.ndarray, toxic: np.ndarray, mas
     return Model(weights, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, doubt: float = 2.0, slack: float = 0.7, ridge: float = 1e-5, passes: int = 400) -> Model | None:
-    """Fit on the documents (doc_id, text) that `labels` (doc_id, toxic boolean) name; the regression takes `sample` / 2 rows of each
-    class at most, those of the smallest hash of their id. None where a class has no row."""
+def bounded(labels: DataFrame, most: int) -> DataFrame:
+    """`most` / 2 labels of each class at most, those of the smallest hash of their id."""
+    marked = labels.select("doc_id", "toxic", F.xxhash64("doc_id", F.lit(12)).alias("h"))
+    kept = [marked.where(F.col("toxic") == y).orderBy("h").limit(most // 2) for y in (True, False)]
+    return stored(kept[0].union(kept[1]), "labels")
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = 200_000, sample: int = 8_000, doubt: float = 2.0, slack: float = 0.7, ridge: float = 1e-5, passes: int = 400) -> Model | None:
+    """Fit on the documents (doc_id, text) that `labels` (doc_id, toxic boolean) name, of `labelled` labels at most; the regression takes
+    `sample` / 2 of each class at most. None where a class has no row."""
     spark = docs.sparkSession
-    marked = stored(docs.join(labels, "doc_id").select("doc_id", "toxic", F.xxhash64("doc_id", F.lit(12)).alias("h")), "labelled")
-    size = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    known = bounded(labels, labelled)
+    given = docs.join(F.broadcast(known.select("doc_id", "toxic")), "doc_id")  # `labelled` rows at most
+    size = {r["toxic"]: r["n"] for r in given.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
         return None
-    toxic, clean = counts(docs.join(labels, "doc_id"))
+    toxic, clean = counts(given)
     scale = log_ratios(toxic, clean, size[True], size[False], doubt, slack)
-    kept = {y: marked.where(F.col("toxic") == y).orderBy("h").limit(sample // 2) for y in (True, False)}
-    chosen = kept[True].union(kept[False]).select("doc_id", "toxic").distinct()
+    chosen = bounded(known, sample)
     shared = spark.sparkContext.broadcast(scale.astype(np.float32))
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames(batches, 500):
             yield pd.DataFrame({"toxic": pdf["toxic"], "x": [features(t, shared.value).astype(np.int32) for t in pdf["text"]]})
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInPandas(one, "toxic boolean, x array<int>").toPandas()  # the sample
+    rows = docs.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").select("toxic", "text").mapInPandas(one, "toxic boolean, x array<int>").limit(2 * sample).toPandas()  # repeated rows do not swell it
     toxic = rows["toxic"].to_numpy(bool)
-    mass = np.where(toxic, size[True] / max(1, toxic.sum()), size[False] / max(1, (~toxic).sum()))
+    if not (toxic.any() and (~toxic).any()):
+        return None
+    mass = np.where(toxic, share[True] / toxic.sum(), share[False] / (~toxic).sum())
     return regression([np.asarray(x, np.int64) for x in rows["x"]], scale, toxic, mass, ridge, passes)
 
 

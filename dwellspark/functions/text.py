@@ -185,10 +185,8 @@ def token_variants(c) -> Column:
     t = _c(c)
     pairs = {**{v: k for k, v in TOKEN_PAIRS.items()}, **TOKEN_PAIRS}
     lookup = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-    number = (F.when(t.endswith("s") & (F.length(t) > 3), F.expr("1"))
-              .when(~t.endswith("s"), F.expr("2")))
-    other = (F.when(number == 1, t.substr(F.lit(1), F.length(t) - 1))
-             .when(number == 2, F.concat(t, F.lit("s"))))
+    other = (F.when(~t.endswith("s"), F.concat(t, F.lit("s")))
+             .when(F.length(t) > 3, t.substr(F.lit(1), F.length(t) - 1)))
     return F.array_distinct(F.array_compact(F.array(t, F.element_at(lookup, t), other)))
 
 
@@ -259,12 +257,8 @@ def is_house_guess(address, property_type, sale_date, start="2010-01-01", end="2
 def extract_bedrooms(c) -> Column:
     """First pattern whose first hit is 1..10."""
     s = F.lower(_c(c))
-    tries = []
-    for pattern in BEDROOM_PATTERNS:
-        n = F.expr("cast(null as int)") if not pattern else \
-            F.regexp_extract(s, pattern, 1).try_cast("int")
-        tries.append(F.when(n.between(1, 10), n))
-    return F.coalesce(*tries)
+    found = [F.regexp_extract(s, pattern, 1).try_cast("int") for pattern in BEDROOM_PATTERNS]
+    return F.coalesce(*[F.when(n.between(1, 10), n) for n in found])
 
 
 def extract_property_type(c) -> Column:

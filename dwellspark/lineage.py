@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
@@ -12,11 +9,10 @@ def shared_folder(spark) -> str:
     """Where checkpoints and other shared intermediate files go.
 
     The cluster names it in `spark.checkpoint.dir`; where it is unset it lies beside the
-    warehouse tables, or in a session on this machine alone in a temporary folder."""
+    warehouse tables."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        folder = (tempfile.mkdtemp(prefix="checkpoint-") if re.match(r"local(\[|$)", spark.sparkContext.master)
-                  else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 

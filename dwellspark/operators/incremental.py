@@ -1,4 +1,4 @@
-"""Subscriptions, query-log analytics, rate limits and budgets (batch forms).
+"""Subscriptions, query-log analytics and budgets (batch forms).
 
 The streaming forms in `dwellspark.streaming` call these per micro-batch."""
 
@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dwellspark.functions import text
+from dwellspark.lineage import cut_lineage
 from dwellspark.operators.joins import contains_join, prefix_join, radius_pairs, with_scalars
-from dwellspark.operators.quantiles import grouped_quantiles
+from dwellspark.operators.quantiles import grouped_quantiles, join_null_safe
 from dwellspark.operators.stats import top_n
 
 
@@ -30,21 +31,23 @@ def match_alerts(subs: DataFrame, df: DataFrame, new_sales: DataFrame | None = N
     """Newest sales for each subscription (sub_id, email, address, radius_km, county,
     is_active, created_at, last_sent_at) since its last digest.
 
-    Addresses are located in `df`; the sales come from `new_sales` when given. Sales
-    of one point, county and arrival time pass or fail together, so each such group is
-    cut to `limit` rows before it meets a subscription."""
+    Addresses are located in `df`; the sales come from `new_sales` when given. Subscriptions meet distinct points with
+    their newest arrival; the sales of a point are opened only for the subscriptions that it passes. Sales
+    of one point, county and arrival time pass or fail together, so each such group is cut to `limit` rows."""
     sales = (df if new_sales is None else new_sales).where(
         F.col("latitude").isNotNull() & ~F.col("not_full_market_price"))
     if hide_suspect:
         sales = sales.where(~F.coalesce("geocode_suspect", F.lit(False)))
     place = ["latitude", "longitude", "county", "created_at"]
     order = [F.col("sale_date").desc(), F.col("id")]
+    points = sales.groupBy("latitude", "longitude", F.col("county").alias("sale_county")).agg(F.max("created_at").alias("_newest"))
+    asked = cut_lineage(subscription_points(subs, df, match).withColumn("_since", F.coalesce("last_sent_at", "created_at")))
+    near = radius_pairs(asked.withColumn("_reach", F.col("radius_km") * 1000.0), points, "_reach").drop("_reach").where(
+        (F.col("_newest") > F.col("_since"))
+        & (F.col("county").isNull() | (F.col("county") == "") | (F.col("county") == F.col("sale_county"))))
     kept = top_n(sales, place, order, limit, "_rn").select("id", "sale_date", "price", F.col("address").alias("sale_address"), *[
         F.col("county").alias("sale_county"), F.col("created_at").alias("sale_created"), "latitude", "longitude"])
-    asked = subscription_points(subs, df, match).withColumn("_since", F.coalesce("last_sent_at", "created_at"))
-    pairs = radius_pairs(asked.withColumn("_reach", F.col("radius_km") * 1000.0), kept, "_reach").drop("_reach").where(
-        (F.col("sale_created") > F.col("_since"))
-        & (F.col("county").isNull() | (F.col("county") == "") | (F.col("county") == F.col("sale_county"))))
+    pairs = join_null_safe(near, kept, ["latitude", "longitude", "sale_county"]).where(F.col("sale_created") > F.col("_since"))
     return top_n(pairs, ["sub_id"], order, limit, "position").select(
         "sub_id", "email", "position", "id", "sale_address", "price", "sale_date", "sale_county",
         (F.col("distance_m") / 1000.0).alias("distance_km"))
@@ -85,7 +88,7 @@ def query_log_stats(log: DataFrame, window: str = "1 day", delay: str = "1 hour"
     rows = on_time.withColumn("window_start", F.window("ts", window)["start"])
     key = ["window_start", by]
     counts = rows.groupBy(*key).agg(F.count("*").alias("queries"), F.count_if(F.col("result_count") == 0).alias("empty"))
-    latency = grouped_quantiles(rows, key, "elapsed_ms", {"p50_ms": 0.5, "p95_ms": 0.95}, 10.0)
+    latency = grouped_quantiles(rows, key, "elapsed_ms", {"p50_ms": 0.5, "p95_ms": 0.95}, None)
     return counts.join(latency.select(*key, "p50_ms", "p95_ms", F.col("max_value").alias("max_ms")), key)
 
 

@@ -13,7 +13,7 @@ def region_check(df: DataFrame, regions: DataFrame, county: str = "county") -> D
     `regions` is (region, rings ARRAY<ARRAY<STRUCT<lat, lon>>>), one row per
     administrative area, so its size is fixed by geography and not by the data."""
     hit = F.exists("rings", lambda ring: geo.point_in_polygon(F.col("latitude"), F.col("longitude"), ring))
-    return (df.join(F.broadcast(regions), F.initcap(F.trim(county)) == F.col("region"), "left")
+    return (df.join(regions, F.initcap(F.trim(county)) == F.col("region"), "left")
             .withColumn("region_ok", F.when(F.col("region").isNull(), True).otherwise(hit))
             .drop("region", "rings"))
 
@@ -123,7 +123,7 @@ def flag_geocodes(df: DataFrame, stats: DataFrame, min_key_points: int = MIN_KEY
                .agg(F.countDistinct("address").alias("_crowd")).where(F.col("_crowd") >= worklist_at))
     located = F.col("latitude").isNotNull()
     far = (geo.haversine_m("latitude", "longitude", "centroid_lat", "centroid_lon") / 1000.0) > ROUTING_KEY_MAX_KM
-    rows = (df.join(F.broadcast(keys), "routing_key", "left")
+    rows = (df.join(keys, "routing_key", "left")
             .join(crowded, ["latitude", "longitude"], "left")
             .withColumn("county_bad", located & ~F.coalesce(
                 geo.in_county_box("latitude", "longitude", "county", COUNTY_MARGIN), F.lit(True)))
@@ -138,7 +138,7 @@ def flag_geocodes(df: DataFrame, stats: DataFrame, min_key_points: int = MIN_KEY
 
 def _candidate_rows(candidates: DataFrame, stats: DataFrame) -> DataFrame:
     keys = stats.where("centroid_lat is not null").select("routing_key", "centroid_lat", "centroid_lon")
-    return candidates.join(F.broadcast(keys), "routing_key", "left")
+    return candidates.join(keys, "routing_key", "left")
 
 
 def validate_candidates(candidates: DataFrame, stats: DataFrame) -> DataFrame:

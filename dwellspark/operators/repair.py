@@ -227,13 +227,3 @@ def extract_listings(pages: DataFrame, html: str = "html") -> DataFrame:
     seen = pages.withColumn("_text", page_text(html))
     return (seen.withColumn("bedrooms", text.extract_bedrooms("_text"))
             .withColumn("property_type", text.keyword_property_type("_text")).drop("_text", html))
-
-
-def unpivot_changes(before: DataFrame, after: DataFrame, cols: list[str]) -> DataFrame:
-    """(id, field, old, new) for every differing column of two versions by id."""
-    a = before.select("id", *[F.col(c).cast("string").alias(f"a_{c}") for c in cols])
-    b = after.select("id", *[F.col(c).cast("string").alias(f"b_{c}") for c in cols])
-    parts = [F.when(~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), F.struct(
-        F.lit(c).alias("field"), F.col(f"a_{c}").alias("old_value"), F.col(f"b_{c}").alias("new_value"))) for c in cols]
-    joined = a.join(b, "id")
-    return joined.select("id", F.explode(F.array_compact(F.array(*parts))).alias("x")).select("id", "x.*")

@@ -220,7 +220,7 @@ def resolve_subjects(requests: DataFrame, df: DataFrame, stats: DataFrame) -> Da
             .select(F.col("routing_key").alias("_rk"), "centroid_lat", "centroid_lon",
                     F.least(F.lit(0.85), F.lit(0.70) + F.col("property_count") / F.lit(1000.0) * F.lit(0.15)).alias("_conf")))
     rows = (asked.join(prefix.unionByName(flexible), "query_id", "left")
-            .join(F.broadcast(keys), F.upper(F.substring("eircode", 1, 3)) == F.col("_rk"), "left"))
+            .join(keys, F.upper(F.substring("eircode", 1, 3)) == F.col("_rk"), "left"))
     hit, key = F.col("_hit").isNotNull(), F.col("_rk").isNotNull()
     far = geo.haversine_m("_hit.latitude", "_hit.longitude", "centroid_lat", "centroid_lon") / 1000.0 > SUBJECT_KEY_KM
     use_hit = hit & ~F.coalesce(far, F.lit(False))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from dwellspark.functions import geo, text
 from dwellspark.lineage import cut_lineage
 from dwellspark.operators.joins import near_equal_join, prefix_join, radius_pairs
-from dwellspark.operators.quantiles import grouped_quantiles
+from dwellspark.operators.quantiles import grouped_quantiles, join_null_safe
 from dwellspark.operators.stats import market_sales, top_n
 
 
@@ -81,7 +81,6 @@ def radius_search(requests: DataFrame, df: DataFrame, limit: int = 200, sort: st
     place = ["latitude", "longitude", "p_county"]
     requests = cut_lineage(requests)
     points = cut_lineage(keyed.groupBy(*place).agg(F.count("*").alias("n")))
-    newest = top_n(keyed, place, newest_first(), limit, "_rn").drop("_rn")
 
     def tier(asked: DataFrame, reach_km: float):
         pairs = radius_pairs(asked, points, reach_km * 1000.0)
@@ -100,7 +99,9 @@ def radius_search(requests: DataFrame, df: DataFrame, limit: int = 200, sort: st
         asked = ["radius_km", "ring_km", "county_dropped", F.col("county").alias("asked_county")]
         return keep.select("query_id", *place, "distance_m", *asked)
 
-    found = hits(settled, near_pairs).unionByName(hits(second, wide_pairs))
+    found = cut_lineage(hits(settled, near_pairs).unionByName(hits(second, wide_pairs)))
+    met = join_null_safe(keyed, found.select(*place).distinct(), place, "left_semi")  # only places that some request shows are ranked
+    newest = top_n(met, place, newest_first(), limit, "_rn").drop("_rn")
     cond = reduce(lambda a, b: a & b, [found[k].eqNullSafe(newest[k]) for k in place])
     rows = found.join(newest, cond).drop(found["latitude"]).drop(found["longitude"]).drop(found["p_county"])
     order = ([F.col("distance_m"), *newest_first()] if sort == "distance"
@@ -125,16 +126,24 @@ def area_trends(requests: DataFrame, df: DataFrame, rounded: bool = True) -> Dat
 
 
 def area_summary(areas: DataFrame, df: DataFrame, n: int = 10) -> DataFrame:
-    """Per area: latest-year median, mean of the newest rows, year span, newest rows."""
+    """Per area: latest-year median, year span, sales of the asked radius, and its newest `n` with their mean price. Trends and
+    rows are of one area, the asked radius."""
     areas = cut_lineage(areas)
     trends = area_trends(areas, df).groupBy("query_id").agg(
         F.max_by("median_price", "year").alias("median_price"), F.min("year").alias("min_year"), F.max("year").alias("max_year"))
-    hits = radius_search(areas, df, limit=n)
+    shown = not_suspect(df).where("latitude is not null and longitude is not null")
+    place = ["latitude", "longitude"]
+    points = shown.groupBy(*place).agg(F.count("*").alias("_n"))
+    asked = areas.select("query_id", "q_lat", "q_lon", (F.col("radius_km") * 1000.0).alias("_reach"))
+    near = cut_lineage(radius_pairs(asked, points, "_reach").select("query_id", *place, "_n", "distance_m"))
+    total = near.groupBy("query_id").agg(F.sum("_n").alias("total_count"))
+    newest = top_n(shown.join(near.select(*place).distinct(), place, "left_semi"), place, newest_first(), n, "_rn").drop("_rn")
+    hits = top_n(near.join(newest, place), ["query_id"], newest_first(F.col("distance_m")), n, "position")
     recent = hits.groupBy("query_id").agg(
-        F.count("*").alias("total_count"), F.floor(F.sum("price").cast("double") / F.count("*") + 0.5).alias("avg_price"),
+        F.floor(F.sum("price").cast("double") / F.count("*") + 0.5).alias("avg_price"),
         F.transform(F.array_sort(F.collect_list(F.struct("position", "id", "sale_date", "price"))),
                     lambda s: s.dropFields("position")).alias("recent"))
-    return areas.select("query_id").join(recent, "query_id", "left").join(trends, "query_id", "left")
+    return areas.select("query_id").join(total, "query_id", "left").join(recent, "query_id", "left").join(trends, "query_id", "left")
 
 
 # ------------------------------------------------------------ polygon search

@@ -83,8 +83,26 @@ def hedonic_cells(df: DataFrame, flags: list[str], effects: list[str]) -> DataFr
     """Every regressor is discrete, so the data enters the regression only through
     counts and sums per combination: this is the one pass over the sales."""
     y = F.log(F.col("price").cast("double"))
-    return (df.groupBy(*flags, *effects)
-            .agg(F.count("*").alias("_n"), F.sum(y).alias("_y"), F.sum(y * y).alias("_yy")))
+    return (df.groupBy(*[F.coalesce(F.col(f), F.lit(0)).cast("double").alias(f) for f in flags], *effects)
+            .agg(F.count("*").alias("_n"), F.avg(y).alias("_y"), F.sum(y).alias("_sy"), F.sum(y * y).alias("_yy")))
+
+
+def absorbed(cells: DataFrame, columns: list[str], effects: list[str], settled: float = 1e-11, sweeps: int = 500) -> DataFrame:
+    """The columns less what the fixed effects explain: within every level of each effect by turns the weighted (_n) mean is
+    taken off, until the means of a whole sweep are below `settled`. What is left of two columns has the slope that a
+    regression with a dummy for every level would give, however many levels there are."""
+    now = cells.withColumn("_moved", F.lit(0.0))
+    for _ in range(sweeps):
+        now = now.withColumn("_moved", F.lit(0.0))
+        for e in effects:
+            means = now.groupBy(e).agg(*[(F.sum(F.col("_n") * F.col(c)) / F.sum("_n")).alias(f"_m{c}") for c in columns])
+            taken = {c: F.col(c) - F.col(f"_m{c}") for c in columns}
+            moved = F.greatest("_moved", *[F.abs(F.col(f"_m{c}")) for c in columns])
+            now = now.join(means, e).withColumns({**taken, "_moved": moved}).drop(*[f"_m{c}" for c in columns])
+        now = cut_lineage(now)
+        if (now.agg(F.max("_moved")).first()[0] or 0.0) < settled:
+            return now.drop("_moved")
+    raise RuntimeError(f"fixed effects did not settle in {sweeps} sweeps")
 
 
 def hedonic_premium(df: DataFrame, flags: list[str], area: str = "routing_key", effects: tuple[str, ...] = ("year",),
@@ -92,59 +110,44 @@ def hedonic_premium(df: DataFrame, flags: list[str], area: str = "routing_key",
     """OLS of log price on 0/1 flags with area and other fixed effects, standard errors
     clustered by area: premium, interval and p per flag, with R2 and sizes.
 
-    Spark sums the cross products and the per-area scores; only matrices of model
-    width reach the driver: flags, effect levels and areas, which are at most the 2,860 possible
-    routing keys. Without an area of `min_area` sales the result is empty."""
+    The effects are absorbed in Spark, and cross products and the products of the area sums of scores are summed there too, so that
+    the driver sees matrices of flags by flags alone. A NULL flag counts as 0; a flag that the effects or other flags determine
+    has the coefficient of least norm. Degrees of freedom take areas and the other effects as connected. Without an area
+    of `min_area` sales the result is empty."""
     names = [area, *effects]
     sizes = df.where(F.col(area).isNotNull()).groupBy(area).agg(F.count("*").alias("_a")).where(F.col("_a") >= min_area)
     rows = df.join(sizes.select(area), area).where(" and ".join(f"{e} is not null" for e in names))
     cells = cut_lineage(hedonic_cells(rows, flags, names))
-
-    levels = {e: sorted(r[0] for r in cells.select(e).distinct().collect()) for e in names}
-    if not levels[area]:
+    total = cells.agg(F.sum("_n").alias("n"), F.sum("_sy").alias("sy"), F.sum("_yy").alias("yy"),
+                      F.sum(F.col("_n") * F.col("_y") * F.col("_y")).alias("between"), *[F.count_distinct(e).alias(f"levels_{e}") for e in names]).first()
+    if not total["n"]:
         return df.sparkSession.createDataFrame([], PREMIUM_SCHEMA)
-    columns = ["intercept", *flags, *[f"{e}={v}" for e in names for v in levels[e][1:]]]
-    at = {c: i for i, c in enumerate(columns)}
-    width = len(columns)
-    active = [F.lit(0), *[F.when(F.col(f) == 1, F.lit(at[f])) for f in flags]]
-    for e in names:
-        codes = F.create_map(*[x for v in levels[e][1:] for x in (F.lit(v), F.lit(at[f"{e}={v}"]))]) if levels[e][1:] else None
-        if codes is not None:
-            active.append(F.element_at(codes, F.col(e)))
-    cells = cells.withColumn("_i", F.array_compact(F.array(*active)))
-
-    pairs = (cells.select("_n", "_i", F.explode("_i").alias("a")).select("_n", "a", F.explode("_i").alias("b"))
-             .groupBy("a", "b").agg(F.sum("_n").alias("v")).collect())
-    xtx = np.zeros((width, width))
-    for r in pairs:
-        xtx[r["a"], r["b"]] = r["v"]
-    xty = np.zeros(width)
-    for r in cells.select("_y", F.explode("_i").alias("a")).groupBy("a").agg(F.sum("_y").alias("v")).collect():
-        xty[r["a"]] = r["v"]
-    n, sy, syy = cells.agg(F.sum("_n"), F.sum("_y"), F.sum("_yy")).first()
-    inverse = np.linalg.pinv(xtx)
+    left = absorbed(cells, ["_y", *flags], names)
+    columns = [*flags, "_y"]
+    product = lambda a, b: F.sum(F.col("_n") * F.col(a) * F.col(b)).alias(f"{a}*{b}")
+    sums = left.agg(*[product(a, b) for a in columns for b in columns]).first()
+    xtx = np.array([[sums[f"{a}*{b}"] for b in flags] for a in flags])
+    xty = np.array([sums[f"{a}*_y"] for a in flags])
+    inverse = np.linalg.pinv(xtx, rcond=1e-9, hermitian=True)
     beta = inverse @ xty
-    rank = int(np.linalg.matrix_rank(xtx))
-
-    fitted = F.aggregate(F.transform("_i", lambda i: F.get(F.array(*[F.lit(float(b)) for b in beta]), i)),
-                         F.lit(0.0), lambda a, b: a + b)
-    scores = (cells.withColumn("_e", F.col("_y") - F.col("_n") * fitted).select(area, "_e", F.explode("_i").alias("a"))
-              .groupBy(area, "a").agg(F.sum("_e").alias("s")).collect())
-    by_area: dict = {}
-    for r in scores:
-        by_area.setdefault(r[area], np.zeros(width))[r["a"]] = r["s"]
-    meat = sum(np.outer(s, s) for s in by_area.values())
-    groups = len(by_area)
-    factor = groups / (groups - 1) * (n - 1) / (n - rank) if groups > 1 else float("nan")
+    error = F.col("_y") - sum((F.lit(float(b)) * F.col(f) for f, b in zip(flags, beta)), F.lit(0.0))
+    scores = left.withColumn("_e", F.col("_n") * error).groupBy(area).agg(*[F.sum(F.col("_e") * F.col(f)).alias(f) for f in flags])
+    outer = scores.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}*{b}") for a in flags for b in flags]).first()
+    meat = np.array([[outer[f"{a}*{b}"] for b in flags] for a in flags])
+
+    n, areas = int(total["n"]), int(total[f"levels_{area}"])
+    rank = areas + sum(int(total[f"levels_{e}"]) - 1 for e in effects) + int(np.linalg.matrix_rank(xtx, hermitian=True))
+    factor = areas / (areas - 1) * (n - 1) / (n - rank) if areas > 1 and n > rank else float("nan")
     cov = factor * inverse @ meat @ inverse
-    rss = syy - 2 * beta @ xty + beta @ xtx @ beta
-    r2 = 1 - rss / (syy - sy * sy / n)
+    rss = total["yy"] - total["between"] + sums["_y*_y"] - beta @ xty
+    spread = total["yy"] - total["sy"] * total["sy"] / n
+    r2 = float(1 - rss / spread) if spread > 0 else float("nan")
     out = []
-    for f in flags:
-        b, se = float(beta[at[f]]), math.sqrt(max(0.0, float(cov[at[f], at[f]])))
+    for i, f in enumerate(flags):
+        b, se = float(beta[i]), math.sqrt(cov[i, i]) if cov[i, i] > 0 else 0.0 if cov[i, i] == cov[i, i] else float("nan")
         p = math.erfc(abs(b / se) / math.sqrt(2)) if se > 0 else float("nan")
         z = 1.959963984540054 * se
-        out.append((f, b, se, math.exp(b) - 1, math.exp(b - z) - 1, math.exp(b + z) - 1, p, float(r2), int(n), groups))
+        out.append((f, b, se, math.exp(b) - 1, math.exp(b - z) - 1, math.exp(b + z) - 1, p, r2, n, areas))
     return df.sparkSession.createDataFrame(out, PREMIUM_SCHEMA)
 
 

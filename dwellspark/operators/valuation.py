@@ -279,7 +279,7 @@ def accuracy_report(bt: DataFrame, target: float = 25.0) -> tuple[DataFrame, Dat
     long = bt.select("error_pct", F.explode(sections).alias("s")).select("s.*", "error_pct").where("bucket is not null")
     by = ["section", "bucket"]
     spread = long.groupBy(*by).agg(F.avg("error_pct").alias("_m"), F.stddev_samp("error_pct").alias("_sd"))
-    groups = (grouped_quantiles(long, by, "error_pct", {"median_error": 0.5}, 1.0).join(spread, by)
+    groups = (grouped_quantiles(long, by, "error_pct", {"median_error": 0.5}, None).join(spread, by)
               .select(*by, "n", geo.round_to("_m", 4).alias("mean_error"), geo.round_to("median_error", 4).alias("median_error"),
                       geo.round_to("_sd", 4).alias("std_error")))
     share = lambda cond: F.avg(F.when(cond, 100.0).otherwise(0.0))

@@ -138,7 +138,7 @@ def _(spark, d):
     keys = stats.routing_key_stats(s).select("routing_key", "centroid_lat")
     boxes = county_boxes(spark).select(F.col("box_county").alias("county"), F.col("min_lat").alias("minlat"), F.col("max_lon").alias("maxlon"))
     # 26 boxes and at most 2,860 valid routing keys: sizes fixed by their key spaces
-    return (s.join(F.broadcast(boxes), "county").join(F.broadcast(keys), "routing_key")
+    return (s.join(boxes, "county").join(keys, "routing_key")
             .select("id", "minlat", "maxlon", round_to("centroid_lat", 8).alias("centroid_lat")))
 
 

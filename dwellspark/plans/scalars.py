@@ -71,6 +71,7 @@ def _(spark, d):
         text.postcode_malformed("code").alias("malformed"))
 
 
+# The abbreviations and their full forms.
 _ABBREV_SQL = q.strip(q.strip(q.rewrite(q.rewrite("a", [
     (r"\bRd\.?\b", "Road"), (r"\bAve?\.?\b", "Avenue"), (r"\bDr\.?\b", "Drive"),
     (r"\bTce\.?(\W|$)", r"Terrace\1"), (r"\bTerr\.?(\W|$)", r"Terrace\1"),

@@ -15,6 +15,7 @@ def strip(expr: str, chars: str = r"\s") -> str:
     return f"regexp_replace({expr}, '^[{chars}]+|[{chars}]+$', '', 'g')"
 
 
+# Fixed values in this function: patterns, abbreviations and words of the address rules.
 def norm_address(expr: str, extended: bool = False) -> str:
     s = f"regexp_replace({strip(expr)}, '\\s+', ' ', 'g')"
     s = rewrite(s, [(r",\s*,+", ",")])
@@ -49,6 +50,7 @@ def match_key(expr: str) -> str:
     return f"trim(regexp_replace(regexp_replace(lower({expr}), '[.,\\-]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
+# Street words and their full forms.
 STREET_WORDS = [(r"\brd\b", "road"), (r"\bave?\b", "avenue"), (r"\bdr\b", "drive"),
                 (r"\btce\b", "terrace"), (r"\bterr\b", "terrace"), (r"\bcres\b", "crescent"),
                 (r"\bgdns?\b", "gardens"), (r"\bsq\b", "square"), (r"\bpk\b", "park"),

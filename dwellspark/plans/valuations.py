@@ -218,12 +218,45 @@ def _(spark, d):
     return studies.distance_bands(_study(spark, d, SCHOOLS), SCHOOLS)
 
 
-@query("hedonic_premium")
+def _hedonic_sql() -> str:
+    """Demeaning by windows in a recursive query, then the normal equations of three flags by cofactors."""
+    x, mean = ("a", "b", "c"), lambda v, by: f"{v} - sum(n * {v}) OVER (PARTITION BY {by}) / sum(n) OVER (PARTITION BY {by}) AS {v}"
+    taken = lambda by: ", ".join(mean(v, by) for v in ("y", *x))
+    minor = lambda i, j: (lambda r, c: f"({x[r[0]]}{x[c[0]]} * {x[r[1]]}{x[c[1]]} - {x[r[0]]}{x[c[1]]} * {x[r[1]]}{x[c[0]]})")(
+        [(i + 1) % 3, (i + 2) % 3], [(j + 1) % 3, (j + 2) % 3])
+    pairs = [(u, v) for u in x for v in x]
+    sandwich = lambda v: " + ".join(f"i{v}{p} * m.{p}{r} * i{r}{v}" for p, r in pairs)
+    flag = lambda name, v: (f"SELECT '{name}' AS flag, beta_{v} AS bta, sqrt({sandwich(v)}) * sqrt(areas / (areas - 1.0) * (n - 1.0) / (n - rank)) AS se, "
+                            "1 - (yy - between + ry - explained) / (yy - sy * sy / n) AS r2, n, areas FROM solved, m, total, freedom")
+    body = " UNION ALL ".join(flag(f"near_{n}", v) for n, v in zip(("green", "red", "dart"), x))
+    return over_sales(
+        f"SELECT flag, round(bta, 6) AS coefficient, round(se, 6) AS std_error, round(exp(bta) - 1, 6) AS premium, round(exp(bta - 1.959963984540054 * se) - 1, 6) AS premium_low, "
+        f"round(exp(bta + 1.959963984540054 * se) - 1, 6) AS premium_high, round(r2, 6) AS r_squared, n, areas FROM ({body}) WHERE n > 0", AMENITY_CTE,
+        _TRANSPORT_CTE.replace(" AND county = 'Dublin'", ""),
+        "near AS (SELECT id, " + ", ".join(f"max(CAST(class = '{n}' AND dist < 1000 AS INT))::DOUBLE AS {v}" for n, v in zip(("green", "red", "dart"), x)) + " FROM study GROUP BY id)",
+        f"base AS (SELECT {q.routing_key('eircode')} AS g, CAST(year(sale_date) AS INT) AS t, CAST(price AS DOUBLE) AS price, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(c, 0) AS c FROM dwelling LEFT JOIN near USING (id) "
+        "WHERE latitude IS NOT NULL AND NOT not_full_market_price AND price > 0)",
+        "kept AS (SELECT * FROM base WHERE price BETWEEN (SELECT quantile_cont(price, 0.01) FROM base) AND (SELECT quantile_cont(price, 0.99) FROM base) AND g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY g) >= 50)",
+        "combos AS (SELECT g, t, a, b, c, count(*)::DOUBLE AS n, avg(ln(price)) AS y, sum(ln(price)) AS sy, sum(ln(price) * ln(price)) AS yy FROM kept GROUP BY ALL)",
+        "total AS (SELECT CAST(sum(n) AS BIGINT) AS n, sum(sy) AS sy, sum(yy) AS yy, sum(n * y * y) AS between, CAST(count(DISTINCT g) AS INT) AS areas, count(DISTINCT t) AS years FROM combos)",
+        f"swept AS (SELECT g, t, n, y, a, b, c, 0 AS step FROM combos UNION ALL SELECT g, t, n, {taken('t')}, step + 1 FROM (SELECT g, t, n, {taken('g')}, step FROM swept WHERE step < 60))",
+        "last AS (SELECT * FROM swept WHERE step = 60)",
+        "prods AS (SELECT " + ", ".join(f"sum(n * {u} * {v}) AS {u}{v}" for u, v in pairs) + ", " + ", ".join(f"sum(n * {u} * y) AS {u}_y" for u in x) + ", sum(n * y * y) AS ry FROM last)",
+        "inv AS (SELECT *, " + ", ".join(f"{minor(i, j)} / det AS i{x[j]}{x[i]}" for i in range(3) for j in range(3)) + " FROM (SELECT *, " + " + ".join(f"a{x[j]} * {minor(0, j)}" for j in range(3)) + " AS det FROM prods))",
+        "solved AS (SELECT *, beta_a * a_y + beta_b * b_y + beta_c * c_y AS explained FROM (SELECT *, " + ", ".join(f"i{v}a * a_y + i{v}b * b_y + i{v}c * c_y AS beta_{v}" for v in x) + " FROM inv))",
+        "scores AS (SELECT g, " + ", ".join(f"sum(n * last.{v} * (y - beta_a * last.a - beta_b * last.b - beta_c * last.c)) AS s{v}" for v in x) + " FROM last, solved GROUP BY g)",
+        "m AS (SELECT " + ", ".join(f"sum(s{u} * s{v}) AS {u}{v}" for u, v in pairs) + " FROM scores)",
+        "freedom AS (SELECT areas + years - 1 + 3 AS rank FROM total)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("hedonic_premium", _hedonic_sql())
 def _(spark, d):
     rows = stats.trim_quantiles(_study(spark, d, TRANSPORT, county=None)).withColumn("year", F.year("sale_date"))
     for n in ("green", "red", "dart"):
         rows = rows.withColumn(f"near_{n}", (F.col(f"d_{n}") < 1000).cast("int"))
-    return studies.hedonic_premium(rows, ["near_green", "near_red", "near_dart"])
+    found = studies.hedonic_premium(rows, ["near_green", "near_red", "near_dart"])
+    return found.select("flag", *[round_to(c, 6).alias(c) for c in ("coefficient", "std_error", "premium", "premium_low", "premium_high", "r_squared")], "n", "areas")
 
 
 _LOAN = "SELECT o_orderkey AS loan_id, o_totalprice AS p, (o_custkey%8)*0.5::DOUBLE / 100 / 12 AS r, CAST(5 + o_custkey%26 AS INT) AS years FROM orders"

@@ -50,8 +50,9 @@ def geocode_query(address, county, eircode) -> Column:
 
 def apply_geocode_cache(df: DataFrame, cache: DataFrame) -> DataFrame:
     """Coordinates from a query -> coordinate table (query, cached_lat, cached_lon):
-    full postcode first, then the built query, then the bare address."""
-    known = cache.where("cached_lat is not null").select("query", F.struct("cached_lat", "cached_lon").alias("_hit"))
+    full postcode first, then the built query, then the bare address. Of rows that repeat a query the one with the smallest pair counts."""
+    known = (cache.where("cached_lat is not null and query is not null")
+             .groupBy("query").agg(F.min(F.struct("cached_lat", "cached_lon")).alias("_hit")))
     code = text.normalize_postcode(F.coalesce("eircode", F.lit("")))
     keys = [F.when(F.length(code) >= 7, F.concat(code, F.lit(", Ireland"))),
             geocode_query("address", "county", "eircode"), text.squeeze(text.strip("address"))]

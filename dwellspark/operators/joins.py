@@ -111,7 +111,7 @@ def nearest_join(df: DataFrame, points: DataFrame, at=("latitude", "longitude"),
                  cell_deg: float = 0.01, tiers: int = 9) -> DataFrame:
     """Nearest point of every class for each row: adds class, point_id, distance_m.
 
-    `points` is (class, point_id, p_lat, p_lon). Rows and points are put into leaf
+    `points` is (class, point_id, p_lat, p_lon); points of one class on one place are one, the least. Rows and points are put into leaf
     cells, whose number the served area bounds. Cell sizes grow fourfold per tier: the
     finest tier whose 3x3 neighbourhood holds a point limits the distance to about three
     cells, so the next tier's neighbourhood (three tiers on where cells narrow towards the
@@ -125,7 +125,8 @@ def nearest_join(df: DataFrame, points: DataFrame, at=("latitude", "longitude"),
     # each of these is read several times below
     coords = cut_lineage(leaf(
         df.where(F.col(y).isNotNull()).select(F.col(y).alias("_y"), F.col(x).alias("_x")).distinct(), "_y", "_x"))
-    placed = cut_lineage(leaf(points.select("class", "point_id", "p_lat", "p_lon"), "p_lat", "p_lon"))
+    places = points.groupBy("class", "p_lat", "p_lon").agg(F.min("point_id").alias("point_id"))  # the least of equal points wins anyway
+    placed = cut_lineage(leaf(places, "p_lat", "p_lon"))
     left, right = _boxed_cells(coords, "_y", "_x", [], "a"), _boxed_cells(placed, "p_lat", "p_lon", ["class"], "b")
     up = lambda c, t: F.floor(F.col(c) / F.lit(4 ** t)).cast("long")
 

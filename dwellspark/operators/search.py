@@ -68,30 +68,21 @@ def _choose_ring(requests: DataFrame, pairs: DataFrame, limit: int, max_km: floa
 
 
 def radius_search(requests: DataFrame, df: DataFrame, limit: int = 200, sort: str = "date",
-                  near_km: float = 2.0, max_km: float = 20.0, min_results: int = 5) -> DataFrame:
+                  reaches_km: tuple[float, ...] = (2.0, 6.0), max_km: float = 20.0, min_results: int = 5) -> DataFrame:
     """Expanding-radius search for a table of requests
     (query_id, q_lat, q_lon, radius_km, county or NULL).
 
     The county is dropped when it has no row at the asked radius. The ring is the
     first of r, 2r, 3r, 5r, 10r, 20 km with enough rows after the limit. Rings are
-    counted on distinct coordinates in two tiers: a near grid for all requests, the
-    wide grid only for those the near one could not settle."""
+    counted on distinct coordinates in tiers of growing reach: a wider grid is opened only
+    for requests that the ones before could not settle, so the neighbourhood of a busy
+    place is met by those alone that lie near it or find too little elsewhere."""
     shown = not_suspect(df).where("latitude is not null and longitude is not null")
     keyed = shown.withColumn("p_county", F.lower("county"))
     place = ["latitude", "longitude", "p_county"]
     requests = cut_lineage(requests)
     points = cut_lineage(keyed.groupBy(*place).agg(F.count("*").alias("n")))
 
-    def tier(asked: DataFrame, reach_km: float):
-        pairs = radius_pairs(asked, points, reach_km * 1000.0)
-        return _choose_ring(asked, pairs, limit, max_km, min_results), pairs
-
-    first, near_pairs = tier(requests.where(F.col("radius_km") <= near_km), near_km)
-    first = cut_lineage(first)
-    settled = first.where(F.col("ring_km") <= near_km)
-    rest = requests.join(settled.select("query_id"), "query_id", "left_anti")
-    second, wide_pairs = tier(rest, max_km)
-
     def hits(chosen: DataFrame, pairs: DataFrame) -> DataFrame:
         keep = pairs.select("query_id", *place, "distance_m").join(chosen, "query_id").where(
             (F.col("distance_m") <= F.col("ring_km") * 1000.0)
@@ -99,7 +90,14 @@ def radius_search(requests: DataFrame, df: DataFrame, limit: int = 200, sort: st
         asked = ["radius_km", "ring_km", "county_dropped", F.col("county").alias("asked_county")]
         return keep.select("query_id", *place, "distance_m", *asked)
 
-    found = cut_lineage(hits(settled, near_pairs).unionByName(hits(second, wide_pairs)))
+    rest, parts = requests, []
+    for reach in [r for r in reaches_km if r < max_km] + [max_km]:
+        asked = rest if reach == max_km else rest.where(F.col("radius_km") <= reach)
+        pairs = radius_pairs(asked, points, reach * 1000.0)
+        settled = cut_lineage(_choose_ring(asked, pairs, limit, max_km, min_results).where(F.col("ring_km") <= reach))
+        parts.append(hits(settled, pairs))
+        rest = rest.join(settled.select("query_id"), "query_id", "left_anti")
+    found = cut_lineage(reduce(DataFrame.unionByName, parts))
     met = join_null_safe(keyed, found.select(*place).distinct(), place, "left_semi")  # only places that some request shows are ranked
     newest = top_n(met, place, newest_first(), limit, "_rn").drop("_rn")
     cond = reduce(lambda a, b: a & b, [found[k].eqNullSafe(newest[k]) for k in place])
@@ -179,10 +177,19 @@ def all_terms_search(requests: DataFrame, df: DataFrame, limit: int = 100,
 
     Requests meet addresses on their rarest term only; the other terms are checked
     on the address, so common words never drive a join."""
+    dictionary = df.select(F.col(address).alias("_text"), F.col("county").alias("_county")).distinct()
+    hits = _term_hits(requests, dictionary)
+    key = [F.col(address), F.col("county")]
+    newest = top_n(df, [address, "county"], newest_first(), limit, "_rn").drop("_rn")
+    rows = hits.join(newest, (F.col("_text") == key[0]) & F.col("_county").eqNullSafe(key[1])).drop("_text", "_county")
+    return top_n(rows, ["query_id"], [F.col("rank_score").desc(), *newest_first()], limit, "position")
+
+
+def _term_hits(requests: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """query_id, _text, _county, rank_score of the dictionary's addresses that hold every term of a request."""
     terms = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
     asked = requests.withColumn("_terms", F.array_distinct(terms("query"))).where(F.size("_terms") > 0)
-    dictionary = (df.select(F.col(address).alias("_text"), F.col("county").alias("_county")).distinct()
-                  .withColumn("_tokens", terms("_text")))
+    dictionary = dictionary.withColumn("_tokens", terms("_text"))
     asked_terms = asked.select("query_id", F.explode("_terms").alias("_t"))
     index = (dictionary.select("_text", "_county", "_tokens", F.explode(F.array_distinct("_tokens")).alias("_t"))
              .join(asked_terms.select("_t").distinct(), "_t", "left_semi"))
@@ -194,31 +201,44 @@ def all_terms_search(requests: DataFrame, df: DataFrame, limit: int = 100,
             .where((F.size(F.array_except("_terms", "_tokens")) == 0)
                    & (F.col("county").isNull() | (F.col("county") == F.col("_county")))))
     matched = F.size(F.filter("_tokens", lambda t: F.array_contains("_terms", t)))
-    hits = hits.select("query_id", "_text", "_county",
+    return hits.select("query_id", "_text", "_county",
                        geo.round_to(matched.cast("double") / F.size("_tokens"), 6).alias("rank_score"))
-    key = [F.col(address), F.col("county")]
-    newest = top_n(df, [address, "county"], newest_first(), limit, "_rn").drop("_rn")
-    rows = hits.join(newest, (F.col("_text") == key[0]) & F.col("_county").eqNullSafe(key[1])).drop("_text", "_county")
-    return top_n(rows, ["query_id"], [F.col("rank_score").desc(), *newest_first()], limit, "position")
 
 
 def exact_address_search(requests: DataFrame, df: DataFrame, limit: int = 100) -> DataFrame:
     """All sales whose canonical address starts with the canonical request, county
-    case-sensitive; requests without any go to `all_terms_search`."""
+    case-sensitive, newest first (`position`); requests without any get the rows that hold all their terms.
+
+    Both ways look in one dictionary of distinct addresses, and the sales of all hit addresses are opened
+    at once; for the second way an address brings its newest `limit` sales."""
     spelled = df.withColumn("_spelled", F.coalesce("address_normalized", "address"))
-    asked = requests.withColumn("_asked", text.normalize_address("query"))
-    dictionary = spelled.select(F.col("_spelled").alias("_text"), F.col("county").alias("_county")).distinct()
-    hits = (prefix_join(asked, "_asked", dictionary, "_text")
+    asked = cut_lineage(requests.withColumn("_asked", text.normalize_address("query")))
+    dictionary = cut_lineage(spelled.select(F.col("_spelled").alias("_text"), F.col("county").alias("_county")).distinct())
+    hits = cut_lineage(prefix_join(asked, "_asked", dictionary, "_text")
             .where(F.col("county").isNull() | (F.col("county") == F.col("_county")))
             .select("query_id", "_text", "_county"))
-    exact = (hits.join(spelled, (F.col("_text") == F.col("_spelled"))
-                       & F.col("_county").eqNullSafe(F.col("county"))).drop("_text", "_county"))
     left = asked.join(hits.select("query_id").distinct(), "query_id", "left_anti")
-    terms = all_terms_search(left.select("query_id", F.col("_asked").alias("query"), "county"),
-                             spelled, limit, "_spelled")
-    return (exact.withColumn("found_by", F.lit("prefix"))
-            .unionByName(terms.drop("position", "rank_score").withColumn("found_by", F.lit("terms")))
-            .drop("_spelled"))
+    terms = _term_hits(left.select("query_id", F.col("_asked").alias("query"), "county"), dictionary)
+    every = cut_lineage(hits.withColumn("rank_score", F.lit(None).cast("double")).withColumn("found_by", F.lit("prefix"))
+                        .unionByName(terms.withColumn("found_by", F.lit("terms"))))
+    same = (F.col("_text") == F.col("_spelled")) & F.col("_county").eqNullSafe(F.col("county"))
+    met = spelled.join(every.select("_text", "_county").distinct(), same, "left_semi")
+    aged = met.withColumn("_rn", F.row_number().over(Window.partitionBy("_spelled", "county").orderBy(*newest_first())))
+    rows = cut_lineage(every.join(aged, same).where((F.col("found_by") == "prefix") | (F.col("_rn") <= limit)).drop("_text", "_county", "_rn", "_spelled"))
+    by_terms = top_n(rows.where("found_by = 'terms'"), ["query_id"], [F.col("rank_score").desc(), *newest_first()], limit, "position")
+    by_prefix = _dated_positions(rows.where("found_by = 'prefix'"))
+    return by_prefix.unionByName(by_terms).drop("rank_score")
+
+
+def _dated_positions(rows: DataFrame) -> DataFrame:
+    """`position` of each row in its request, newest first, then by id. Days are counted first, so a window holds one
+    request's days or the rows of one day, however many rows a request has."""
+    days = rows.groupBy("query_id", "sale_date").agg(F.count("*").alias("_n"))
+    until = Window.partitionBy("query_id").orderBy(F.col("sale_date").desc())
+    before = days.select("query_id", F.col("sale_date").alias("_day"), (F.sum("_n").over(until) - F.col("_n")).alias("_before"))
+    placed = rows.join(before.withColumnRenamed("query_id", "_q"), (F.col("query_id") == F.col("_q")) & F.col("sale_date").eqNullSafe(F.col("_day")))
+    own = F.row_number().over(Window.partitionBy("query_id", "sale_date").orderBy("id"))
+    return placed.withColumn("position", (F.col("_before") + own).cast("int")).drop("_q", "_day", "_before")
 
 
 def substring_search(df: DataFrame, needle: str, limit: int = 50) -> DataFrame:
@@ -239,8 +259,10 @@ def _matched_codes(codes: DataFrame, df: DataFrame):
 def postcode_search(codes: DataFrame, df: DataFrame, limit: int = 500) -> DataFrame:
     """Newest rows per full postcode or routing key."""
     asked, rows = _matched_codes(codes, df)
-    pick = lambda col, kind: (top_n(rows.withColumn("code", F.col(col)), ["code"], newest_first(), limit, "position")
-                              .join(asked.where(F.col("match_type") == kind), "code"))
+    def pick(col: str, kind: str) -> DataFrame:  # only asked codes are ranked
+        wanted = asked.where(F.col("match_type") == kind)
+        met = rows.withColumn("code", F.col(col)).join(wanted.select("code"), "code", "left_semi")
+        return top_n(met, ["code"], newest_first(), limit, "position").join(wanted, "code")
     return pick("_full", "full_eircode").unionByName(pick("_key", "routing_key")).drop("_full", "_key")
 
 

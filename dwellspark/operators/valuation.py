@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dwellspark.functions import geo
@@ -18,15 +20,15 @@ COMPARABLE_MIN, COMPARABLE_MAX = 50_000, 5_000_000
 
 
 def find_comparables(subjects: DataFrame, df: DataFrame, min_n: int = 10, max_n: int = 30, strict: bool = False,
-                     hide_suspect: bool = False, near_m: float = 2_000.0) -> DataFrame:
+                     hide_suspect: bool = False, reaches_m: tuple[float, ...] = (2_000.0, 5_000.0, 20_000.0)) -> DataFrame:
     """Comparables of each subject (subject_id, s_lat, s_lon, window_end, exclude_id).
 
     Market sales of the three years before `window_end` (exclusive when strict); the
     smallest radius with enough of them; the nearest, then newest, `max_n`. Sales on
     one point and day tie in distance and recency, so each such group is cut to
     max_n + 1 rows and counted before any subject meets it: a point holding a third of
-    all sales stays bounded. Radii up to 2 km use a fine grid; only subjects it cannot
-    settle use the 20 km one."""
+    all sales stays bounded. Radii are tried in tiers of growing reach, each with a grid of its own that only
+    the subjects meet that the tiers before could not settle."""
     sales = market_sales(df, COMPARABLE_MIN, COMPARABLE_MAX).where("latitude is not null and longitude is not null")
     if hide_suspect:
         sales = sales.where(~F.coalesce("geocode_suspect", F.lit(False)))
@@ -54,12 +56,15 @@ def find_comparables(subjects: DataFrame, df: DataFrame, min_n: int = 10, max_n:
             ring = F.coalesce(ring, F.lit(RADII_M[-1]))
         return counts.select("subject_id", ring.alias("ring_m")), pairs
 
-    first, near_pairs = tier(asked, near_m)
-    settled = cut_lineage(first.where("ring_m is not null"))
-    second, wide_pairs = tier(asked.join(settled.select("subject_id"), "subject_id", "left_anti"), RADII_M[-1])
     cols = ["subject_id", *place, "distance_m", "window_end", "exclude_id", "ring_m"]
     inside = lambda chosen, pairs: (pairs.join(chosen, "subject_id").where(F.col("distance_m") <= F.col("ring_m")).select(*cols))
-    found = inside(settled, near_pairs).unionByName(inside(second, wide_pairs))
+    rest, parts = asked, []
+    for reach in reaches_m:
+        chosen, pairs = tier(rest, reach)
+        settled = cut_lineage(chosen.where("ring_m is not null"))
+        parts.append(inside(settled, pairs))
+        rest = rest.join(settled.select("subject_id"), "subject_id", "left_anti")
+    found = reduce(DataFrame.unionByName, parts)
     rows = (found.join(kept, place).where(in_window & (F.col("exclude_id").isNull() | (F.col("id") != F.col("exclude_id"))))
             .withColumn("recency_score", F.lit(1.0) - age / F.lit(float(WINDOW_DAYS))))
     rows = top_n(rows, ["subject_id"], [F.col("distance_m"), F.col("sale_date").desc(), F.col("id")], max_n, "rank")

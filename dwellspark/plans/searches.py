@@ -63,14 +63,14 @@ def _(spark, d):
 
 
 @query("exact_address_search", over_sales(
-    "SELECT query_id, id, 'prefix' AS found_by FROM prefix_hits UNION ALL SELECT query_id, id, 'terms' FROM term_rows",
+    "SELECT query_id, id, 'prefix' AS found_by, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sale_date DESC, id) AS INT) AS position FROM prefix_hits UNION ALL SELECT query_id, id, 'terms', position FROM term_rows",
     ASKED_CTE, NORM_SALES, _ASKED_NORM,
-    "prefix_hits AS (SELECT query_id, id FROM asked_norm q JOIN normed s ON starts_with(s.address_normalized, norm) AND (q.county IS NULL OR q.county = s.county))",
+    "prefix_hits AS (SELECT query_id, id, sale_date FROM asked_norm q JOIN normed s ON starts_with(s.address_normalized, norm) AND (q.county IS NULL OR q.county = s.county))",
     "unmatched AS (SELECT * FROM asked_norm ANTI JOIN prefix_hits USING (query_id))",
     *[t.replace("{q}", "norm").replace("{src}", "unmatched") for t in _TERMS_CTES]))
 def _(spark, d):
     s = sales(spark, d)
-    return search.exact_address_search(address_requests(spark, s), s).select("query_id", "id", "found_by")
+    return search.exact_address_search(address_requests(spark, s), s).select("query_id", "id", "found_by", "position")
 
 
 @query("substring_search", over_sales("SELECT id, sale_date FROM dwelling WHERE address ILIKE '%merrion rd, town1%' ORDER BY sale_date DESC, id LIMIT 50"))

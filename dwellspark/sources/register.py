@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dwellspark.functions import text
@@ -89,15 +91,53 @@ def split_rejects(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
 CP1252_RANGE = ("\u0080\u0082\u0084\u0085\u0091\u0092\u0093\u0094\u0095\u0096\u0097", "€‚„…‘’“”•–—")
 
 
-def read_register_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejects) of register files; pass encoding 'windows-1252' for old ones. Files are
-    split over tasks unless quoted fields may hold line breaks (`multi_line`), which takes a task a file.
+#: Columns that a register file has at most.
+WIDTH = 24
+CELLS = ", ".join(f"c{i} string" for i in range(WIDTH))
+
+
+def _is_header(cells: Column) -> Column:
+    """Whether a line names the date, address and price columns."""
+    named = lambda target: F.exists(cells, lambda c: F.coalesce(reduce(
+        lambda a, b: a | b, [F.startswith(_bare(c), F.lit(a)) for a in HEADER_ALIASES[target]]), F.lit(False)))
+    return named("date_raw") & named("address_raw") & named("price_raw")
+
+
+def _bare(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, "\ufeff|\u00ef\u00bb\u00bf", ""))
+
 
-    The CSV reader does not know that code page: such files are read as Latin-1, which
+def bind_headers(lines: DataFrame, file: str = "file") -> DataFrame:
+    """Canonical raw columns of lines (cells array<string>, file) by the header line of each file.
+
+    Files may order and spell their columns each in its own way. The header lines are one small row a file and meet its lines in
+    a join, so a file may be split over tasks. A header given twice counts once; lines of a file without a
+    header have no values and end as rejects."""
+    head = F.col("cells")
+    place = lambda test: F.transform(F.filter(F.transform(head, lambda c, i: F.struct(_bare(c).alias("n"), i.alias("i"))),
+                                              lambda s: test(s["n"])), lambda s: s["i"])
+    found = [F.array_distinct(F.concat(*[place(lambda n, a=a: n == a) for a in aliases], *[place(lambda n, a=a: F.startswith(n, F.lit(a))) for a in aliases]))
+             .alias(target) for target, aliases in HEADER_ALIASES.items()]
+    heads = lines.where(_is_header(head)).groupBy(F.col(file).alias("_file")).agg(F.min("cells").alias("cells")).select("_file", *found)
+    rows = lines.where(~_is_header(head)).join(heads, F.col(file) == F.col("_file"), "left")
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    value = lambda target: F.get(F.filter(F.transform(F.col(target), lambda i: blank(F.get(F.col("cells"), i))), lambda v: v.isNotNull()), F.lit(0))
+    return rows.select(*[value(target).alias(target) for target in HEADER_ALIASES])
+
+
+def csv_lines(reader, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> DataFrame:
+    """Lines of CSV files (batch or stream reader) as cells and the file they are from.
+
+    The CSV reader does not know the code page windows-1252: such files are read as Latin-1, which
     keeps every byte, and the differing characters are translated."""
     old = encoding.lower() in ("windows-1252", "cp1252")
-    raw = (spark.read.option("header", True).option("encoding", "ISO-8859-1" if old else encoding).option("multiLine", multi_line)
+    raw = (reader.schema(CELLS).option("header", False).option("encoding", "ISO-8859-1" if old else encoding).option("multiLine", multi_line)
            .option("quote", '"').option("escape", '"').csv(path))
-    if old:
-        raw = raw.select(*[F.translate(F.col(f"`{c}`"), *CP1252_RANGE).alias(c) for c in raw.columns])
-    return split_rejects(typed_register_rows(canonical_headers(raw)))
+    cells = [F.translate(c, *CP1252_RANGE) if old else F.col(c) for c in (f"c{i}" for i in range(WIDTH))]
+    return raw.select(F.array(*cells).alias("cells"), F.col("_metadata.file_path").alias("file"))
+
+
+def read_register_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejects) of register files, columns by the header of each file; pass encoding 'windows-1252' for old ones. Files are
+    split over tasks unless quoted fields may hold line breaks (`multi_line`), which takes a task a file."""
+    return split_rejects(typed_register_rows(bind_headers(csv_lines(spark.read, path, encoding, multi_line))))

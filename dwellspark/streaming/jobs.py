@@ -9,7 +9,7 @@ from dwellspark.functions import text
 from dwellspark.operators import quality, stats
 from dwellspark.operators.incremental import match_alerts
 from dwellspark.operators.multiset import append_register, reconcile
-from dwellspark.sources.register import canonical_headers, split_rejects, typed_register_rows
+from dwellspark.sources.register import HEADER_ALIASES, bind_headers, canonical_headers, csv_lines, split_rejects, typed_register_rows
 
 
 def start_alert_stream(new_sales: DataFrame, register: DataFrame, subs: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -37,9 +37,10 @@ REGISTER_COLUMNS = ["Date of Sale (dd/mm/yyyy)", "Address", "County", "Eircode",
 
 
 def ingest_batch(base: DataFrame, raw: DataFrame, delivery: str = "") -> tuple[DataFrame, DataFrame]:
-    """(new rows, rejects) of one delivery against the stored register. New rows get an id from
+    """(new rows, rejects) of one delivery, its columns under their headers or canonical names, against the stored register. New rows get an id from
     their content, the copy they are and the delivery's name, and the routing key of their postcode."""
-    valid, rejects = split_rejects(typed_register_rows(canonical_headers(raw)))
+    named = raw if set(HEADER_ALIASES) <= set(raw.columns) else canonical_headers(raw)
+    valid, rejects = split_rejects(typed_register_rows(named))
     new = reconcile(base, valid, copy_no="_nth")
     named = new.withColumn("id", F.shiftrightunsigned(F.xxhash64(F.lit(delivery), "_nth", *valid.columns), 1))
     keyed = named.withColumn("routing_key", text.routing_key("eircode")).drop("_nth")
@@ -53,19 +54,17 @@ def refresh_flags(register: DataFrame) -> DataFrame:
 
 def start_register_stream(spark: SparkSession, incoming: str, store: str, checkpoint: str, encoding: str = "UTF-8",
                           multi_line: bool = False) -> StreamingQuery:
-    """Files in `incoming` are typed, reconciled against the Parquet register in
+    """Files in `incoming` are typed, each by its own header, reconciled against the Parquet register in
     `store` and the missing rows appended; rejects go next to it.
 
     Reconciliation is a multiset difference, and each micro-batch writes its own
     folder, so a replayed batch adds nothing twice."""
-    schema = ", ".join(f"`{c}` string" for c in REGISTER_COLUMNS)
-    raw = (spark.readStream.schema(schema).option("header", True).option("encoding", encoding)
-           .option("multiLine", multi_line).csv(incoming))
+    raw = csv_lines(spark.readStream, incoming, encoding, multi_line)
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
         base = batch.sparkSession.read.option("recursiveFileLookup", True).parquet(f"{store}/sales")
         base = base.where(~F.input_file_name().contains(f"/batch={batch_id}/"))
-        new, rejects = ingest_batch(base, batch, str(batch_id))
+        new, rejects = ingest_batch(base, bind_headers(batch), str(batch_id))
         new.write.mode("overwrite").parquet(f"{store}/sales/batch={batch_id}")
         rejects.write.mode("overwrite").parquet(f"{store}/rejects/batch={batch_id}")
 

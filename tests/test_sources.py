@@ -48,3 +48,24 @@ def test_sinks(spark, tmp_path):
     back = spark.read.option("header", True).csv(str(tmp_path / "list"))
     assert back.columns == ["slug", "total_transactions", "new_latitude", "new_longitude"]
     assert back.first()["new_latitude"] is None
+
+
+def test_every_file_is_read_by_its_own_header(spark, tmp_path):
+    """Swapped, renamed and missing columns, a file without a header, one header in the middle of a folder's files."""
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_text(HEADER + '\n01/02/2020,"1 Rd, Town",D01 AB12,Cork,"€1,000.00",No,No,House,\n', encoding="utf-8")
+    (folder / "b.csv").write_text("﻿Price (EUR),Address,Eircode,Date of Sale,County\n2000,2 Rd,,2020-03-04,Dublin\n3000,3 Rd,A65 F4E2,05/03/2020,Galway\n", encoding="utf-8")
+    (folder / "c.csv").write_text("County,Postal Code,Eircode,Address,Date of Sale (dd/mm/yyyy),Price\nMayo,F12 X1Y2,,4 Rd,06/03/2020,4000\n", encoding="utf-8")
+    (folder / "d.csv").write_text("no,header,here\n", encoding="utf-8")
+    valid, rejects = register.read_register_csv(spark, str(folder))
+    got = sorted((r.address, str(r.sale_date), r.county, r.eircode, float(r.price)) for r in valid.collect())
+    assert got == [("1 Rd, Town", "2020-02-01", "Cork", "D01 AB12", 1000.0), ("2 Rd", "2020-03-04", "Dublin", None, 2000.0),
+                   ("3 Rd", "2020-03-05", "Galway", "A65 F4E2", 3000.0), ("4 Rd", "2020-03-06", "Mayo", "F12 X1Y2", 4000.0)]
+    assert rejects.count() == 1
+    lines = register.csv_lines(spark.readStream, str(folder))
+    seen = []
+    q = lines.writeStream.foreachBatch(lambda b, i: seen.extend(r.address_raw for r in register.bind_headers(b).collect())).option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(seen, key=str) == ["1 Rd, Town", "2 Rd", "3 Rd", "4 Rd", None]

@@ -24,11 +24,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_first_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies, that of the smallest id. Rows that share an id are documents of their own if
     their texts differ, and one document if not. Documents without words stay, as do rows without an id."""
+    known = docs.where("doc_id IS NOT NULL").withColumn("near_node", F.col("doc_id"))
     text = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    several = (docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("near_id")).agg(F.min(text).alias("a"), F.max(text).alias("b"))
-               .where("a <> b").select("near_id"))  # ids that stand for more than one text
-    known = docs.where("doc_id IS NOT NULL").join(several, F.col("doc_id") == F.col("near_id"), "left").withColumn(
-        "near_node", F.when(F.col("near_id").isNull(), F.col("doc_id")).otherwise(text)).drop("near_id")
+    several = known.groupBy(F.col("doc_id").alias("near_id")).agg(F.min(text).alias("a"), F.max(text).alias("b")).where("a <> b").select("near_id")
+    if not several.isEmpty():  # ids that stand for more than one text get a node for each
+        marked = known.join(several, F.col("doc_id") == F.col("near_id"), "left")
+        known = stored(marked.withColumn("near_node", F.when(F.col("near_id").isNull(), F.col("doc_id")).otherwise(text)).drop("near_id"), "nodes")
     groups = ngram_join.ngram_components(known.select(F.col("near_node").alias("doc_id"), "text")).select(F.col("doc_id").alias("near_node"), "component_id")
     first = (known.select("near_node", "doc_id").join(groups.distinct(), "near_node").groupBy("component_id")
              .agg(F.min(F.struct("doc_id", "near_node")).alias("least")).select(F.col("least.near_node").alias("near_node")))

@@ -225,6 +225,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
         edges = cut(edges.union(new))
         comp = cut(components(edges))
         wide = split.select("s", "doc", "n", "at")
+    removed(found)
+    removed(sets)
     named = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 

@@ -117,6 +117,27 @@ def test_exact_passage_beside_a_rewritten_one(spark):
     assert [r[:3] for r in runs] in ([(1, 0, 3)], [(1, 0, 3), (5, 3, 1)]) and sum(r[3] for r in runs) + rest == chaining.edit_distance(list("xabcyd"), list("abcdzz"), 9)
 
 
+def test_alignment_goes_on_beyond_its_first_words(spark):
+    """One anchor in the middle of 2,000 shared words: the passage is the whole of them, and short ones stay as they are."""
+    import random
+    rng = random.Random(24)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    shared, short = [word() for _ in range(2000)], [word() for _ in range(55)]
+    rows = [(1, [word() for _ in range(70)] + shared + [word() for _ in range(70)]), (2, shared),
+            (3, [word() for _ in range(90)] + short + [word() for _ in range(90)]), (4, short)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    chains = spark.createDataFrame([(2, 1, [1000], [1070]), (4, 3, [20], [110])], "doc long, ref long, xs array<int>, ys array<int>")
+    for margin in (70, 100_000):
+        got = {tuple(r) for r in chaining._aligned(chains, docs, 4, 50, 0.8, margin).collect()}
+        assert got == {(2, 0, 2000, 1, 70, 2070, 1.0), (4, 0, 55, 3, 90, 145, 1.0)}
+
+
+def test_packed_entries():
+    e = np.zeros(50, chaining._RUN)
+    e["h"], e["doc"], e["at"], e["open"] = np.random.default_rng(4).integers(0, 1 << 63, 50), np.arange(50) - 9, np.arange(50) * 7, np.arange(50) % 3 == 0
+    assert (chaining.unpack(chaining.pack(e), chaining._RUN) == e).all() and not len(chaining.unpack(chaining.pack(e[:0]), chaining._RUN))
+
+
 def test_near_passages_recall(spark):
     """Edited passages of 50 words whose first and last words stay: near the promised similarity too."""
     import random

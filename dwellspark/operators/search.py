@@ -147,24 +147,39 @@ def area_summary(areas: DataFrame, df: DataFrame, n: int = 10) -> DataFrame:
 # ------------------------------------------------------------ polygon search
 
 
+def ring_cover(polygons: DataFrame, cell_deg: float = 0.02, side: int = 16) -> DataFrame:
+    """Grid cells over the bounding box of each ring: poly_id, ring, level and cell. A level doubles the cells, and a ring takes
+    the finest level whose cells meet its box at most (side + 1) times each way, so a country has no more cells than a street."""
+    lats, lons = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"])
+    wide = F.greatest(F.array_max(lats) - F.array_min(lats), F.array_max(lons) - F.array_min(lons))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(wide / (cell_deg * side))).cast("int"))
+    span = lambda v: F.sequence(_level_cell(F.array_min(v), cell_deg), _level_cell(F.array_max(v), cell_deg))
+    return (polygons.where(F.size("ring") >= 3).withColumn("_level", level)
+            .select("poly_id", "ring", "_level", F.explode(span(lats)).alias("_cy"), span(lons).alias("_xs"))
+            .select("poly_id", "ring", "_level", "_cy", F.explode("_xs").alias("_cx")))
+
+
+def _level_cell(c, cell_deg: float) -> Column:
+    return F.floor(c / (F.lit(cell_deg) * F.pow(F.lit(2.0), F.col("_level")))).cast("long")
+
+
 def polygon_search(polygons: DataFrame, df: DataFrame, limit: int = 50, cell_deg: float = 0.02) -> DataFrame:
     """Newest rows strictly inside each polygon (poly_id, ring), suspects hidden.
 
-    Polygons are covered by grid cells of their bounding box; containment is tested
-    once per distinct coordinate."""
+    Polygons are covered by a bounded number of grid cells; containment is tested once per distinct coordinate, and
+    only sales of coordinates inside some polygon are ranked. The levels in use, 20 at most, go to the driver."""
     shown = not_suspect(df).where("latitude is not null and longitude is not null")
-    lats, lons = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"])
-    span = lambda v: F.sequence(geo.cell(F.array_min(v), cell_deg), geo.cell(F.array_max(v), cell_deg))
-    covered = (polygons.where(F.size("ring") >= 3)
-               .select("poly_id", "ring", F.explode(span(lats)).alias("_cy"), span(lons).alias("_xs"))
-               .select("poly_id", "ring", "_cy", F.explode("_xs").alias("_cx")))
-    points = shown.select("latitude", "longitude").distinct().select(
-        "*", geo.cell("latitude", cell_deg).alias("_cy"), geo.cell("longitude", cell_deg).alias("_cx"))
-    inside = (covered.join(points, ["_cy", "_cx"])
+    covered = ring_cover(polygons, cell_deg)
+    levels = sorted(r[0] for r in covered.select("_level").distinct().collect())
+    points = (shown.select("latitude", "longitude").distinct()
+              .withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
+              .select("*", _level_cell(F.col("latitude"), cell_deg).alias("_cy"), _level_cell(F.col("longitude"), cell_deg).alias("_cx")))
+    place = ["latitude", "longitude"]
+    inside = (covered.join(points, ["_level", "_cy", "_cx"])
               .where(geo.point_in_polygon("latitude", "longitude", "ring"))
-              .select("poly_id", "latitude", "longitude"))
-    newest = top_n(shown, ["latitude", "longitude"], newest_first(), limit, "_rn").drop("_rn")
-    return top_n(inside.join(newest, ["latitude", "longitude"]), ["poly_id"], newest_first(), limit, "position")
+              .select("poly_id", *place))
+    newest = top_n(shown.join(inside.select(*place).distinct(), place, "left_semi"), place, newest_first(), limit, "_rn").drop("_rn")
+    return top_n(inside.join(newest, place), ["poly_id"], newest_first(), limit, "position")
 
 
 # ------------------------------------------------------------ text searches

@@ -274,3 +274,26 @@ def test_rows_without_need_fit_the_budget(spark):
 def test_hedonic_premium_without_a_large_area(spark):
     rows = spark.createDataFrame([(100.0, 1, "A", 2020)], "price double, near int, routing_key string, year int")
     assert studies.hedonic_premium(rows, ["near"]).count() == 0
+
+
+def test_ring_cover_is_bounded_and_complete(spark):
+    rng = random.Random(8)
+    rings = {"country": [(51.3, -8.0), (53.4, -5.3), (55.5, -8.0), (53.4, -10.7)], "street": [(53.34, -6.27), (53.36, -6.27), (53.35, -6.24)],
+             "line": [(53.0, -7.0), (53.0, -7.0), (53.0, -7.0)], "world": [(-89.0, -179.0), (-89.0, 179.0), (89.0, 179.0), (89.0, -179.0)]}
+    polys = spark.createDataFrame([(k, v) for k, v in rings.items()], "poly_id string, ring array<struct<lat:double,lon:double>>")
+    cells = {r["poly_id"]: r["count"] for r in search.ring_cover(polys).groupBy("poly_id").count().collect()}
+    assert set(cells) == set(rings) and max(cells.values()) < 1000
+    places = [(rng.uniform(51, 56), rng.uniform(-11, -5)) for _ in range(300)] + [(rng.gauss(53.35, 0.01), rng.gauss(-6.255, 0.01)) for _ in range(200)]
+    sales = spark.createDataFrame([(f"s{i}", dt.date(2020, 1, 1), y, x, False) for i, (y, x) in enumerate(places)],
+                                  "id string, sale_date date, latitude double, longitude double, geocode_suspect boolean")
+
+    def within(y, x, ring):
+        odd = False
+        for (y1, x1), (y2, x2) in zip(ring, ring[1:] + ring[:1]):
+            if (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1):
+                odd = not odd
+        return odd
+
+    got = {(r["poly_id"], r["id"]) for r in search.polygon_search(polys, sales, limit=1000).collect()}
+    assert got == {(k, f"s{i}") for k, ring in rings.items() for i, (y, x) in enumerate(places) if within(y, x, ring)} and len(got) > 500
+    assert search.polygon_search(polys.limit(0), sales).count() == 0

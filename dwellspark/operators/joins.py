@@ -8,6 +8,7 @@ hot keys are split by adaptive skew handling."""
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -88,8 +89,8 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float | str, left_
 
 
 def _boxed_cells(df: DataFrame, y: str, x: str, by: list[str], prefix: str) -> DataFrame:
-    """Non-empty leaf cells with the tight box of the points in them."""
-    return df.groupBy(*by, "_cy", "_cx").agg(
+    """Non-empty cells (`by`) with the tight box of the points in them."""
+    return df.groupBy(*by).agg(
         F.min(y).alias(prefix + "y0"), F.max(y).alias(prefix + "y1"), F.min(x).alias(prefix + "x0"), F.max(x).alias(prefix + "x1"))
 
 
@@ -107,51 +108,104 @@ def _box_bounds() -> tuple[Column, Column]:
     return lower, upper
 
 
-def nearest_join(df: DataFrame, points: DataFrame, at=("latitude", "longitude"),
-                 cell_deg: float = 0.01, tiers: int = 9) -> DataFrame:
-    """Nearest point of every class for each row: adds class, point_id, distance_m.
+ROW_CELL, POINT_CELL = ["_cz", "_cy", "_cx"], ["_rz", "_ry", "_rx"]
 
-    `points` is (class, point_id, p_lat, p_lon); points of one class on one place are one, the least. Rows and points are put into leaf
-    cells, whose number the served area bounds. Cell sizes grow fourfold per tier: the
-    finest tier whose 3x3 neighbourhood holds a point limits the distance to about three
-    cells, so the next tier's neighbourhood (three tiers on where cells narrow towards the
-    poles) holds the nearest point for certain. The last tier's cells are wider than the
-    globe, so every row finds every class. Of the
-    point cells found there only those that can beat the best upper bound are opened, so
-    coordinates far from all points do not meet every point. Boxes do not reach over the
-    antimeridian: points beyond it count as on the far side."""
+
+def _best_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs of a row cell and a point cell, with bounds, that can hold a nearest point."""
+    limit = pairs.groupBy("class", *ROW_CELL).agg(F.min("_hi").alias("_best"))
+    return (pairs.join(limit, ["class", *ROW_CELL]).where(F.col("_lo") <= F.col("_best") * (1 + 1e-9) + 1e-18)
+            .select("class", *ROW_CELL, *POINT_CELL))
+
+
+def _split(df: DataFrame, full: DataFrame, by: list[str], cell: list[str], y: str, x: str, cell_deg: float) -> DataFrame:
+    """Rows with their cell of before in `_o...`; the cells in `full` give way to 4 x 4 smaller ones."""
+    z, cy, cx = cell
+    size = F.lit(cell_deg) / F.pow(F.lit(4.0), F.col(z) + 1)
+    fine = F.col("_full").isNotNull()
+    return (df.join(full.withColumn("_full", F.lit(True)), [*by, *cell], "left").withColumns({
+        "_o" + z: F.col(z), "_o" + cy: F.col(cy), "_o" + cx: F.col(cx)}).withColumns({
+        z: F.when(fine, F.col("_o" + z) + 1).otherwise(F.col("_o" + z)),
+        cy: F.when(fine, F.floor(F.col(y) / size)).otherwise(F.col("_o" + cy)).cast("long"),
+        cx: F.when(fine, F.floor(F.col(x) / (size * LON_STRETCH))).otherwise(F.col("_o" + cx)).cast("long")}).drop("_full"))
+
+
+def _crowded(coords: DataFrame, placed: DataFrame, opened: DataFrame, leaf: int, reach: int) -> tuple[DataFrame, DataFrame]:
+    """Row cells and point cells to split: more than `leaf` members, or row cells that would meet more than `reach` points of a class."""
+    sizes = placed.groupBy("class", *POINT_CELL).agg(F.count("*").alias("_n"))
+    met = (opened.join(sizes, ["class", *POINT_CELL]).groupBy("class", *ROW_CELL).agg(F.sum("_n").alias("_n"))
+           .where(F.col("_n") > reach).select(*ROW_CELL))
+    many = coords.groupBy(*ROW_CELL).agg(F.count("*").alias("_n")).where(F.col("_n") > leaf).select(*ROW_CELL)
+    return met.union(many).distinct(), sizes.where(F.col("_n") > leaf).drop("_n")
+
+
+def nearest_candidates(df: DataFrame, points: DataFrame, at=("latitude", "longitude"), cell_deg: float = 0.01, tiers: int = 9,
+                       leaf: int = 256, depth: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(distinct coordinates in leaf cells, places in leaf cells, pairs of leaf cells to open) for `nearest_join`.
+
+    Cells of more than `leaf` coordinates or places, and row cells that would meet more than 8 * `leaf` points, are split 4 x 4, both
+    sides together and level by level. At each level a row cell keeps only the point cells that can beat its best upper
+    bound, so a dense cell never meets another as a whole. Data without dense cells stop at the first level."""
     y, x = at
-    leaf = lambda d, yc, xc: d.withColumn("_cy", geo.cell(yc, cell_deg)).withColumn("_cx", geo.cell(xc, cell_deg * LON_STRETCH))
+    cells = lambda d, yc, xc, names: d.withColumn(names[0], F.lit(0)).withColumn(names[1], geo.cell(yc, cell_deg)).withColumn(names[2], geo.cell(xc, cell_deg * LON_STRETCH))
     # each of these is read several times below
-    coords = cut_lineage(leaf(
-        df.where(F.col(y).isNotNull()).select(F.col(y).alias("_y"), F.col(x).alias("_x")).distinct(), "_y", "_x"))
+    coords = cut_lineage(cells(
+        df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(F.col(y).alias("_y"), F.col(x).alias("_x")).distinct(), "_y", "_x", ROW_CELL))
     places = points.groupBy("class", "p_lat", "p_lon").agg(F.min("point_id").alias("point_id"))  # the least of equal points wins anyway
-    placed = cut_lineage(leaf(places, "p_lat", "p_lon"))
-    left, right = _boxed_cells(coords, "_y", "_x", [], "a"), _boxed_cells(placed, "p_lat", "p_lon", ["class"], "b")
+    placed = cut_lineage(cells(places, "p_lat", "p_lon", POINT_CELL))
+    left = _boxed_cells(coords, "_y", "_x", ROW_CELL, "a")
+    right = _boxed_cells(placed, "p_lat", "p_lon", ["class", *POINT_CELL], "b")
     up = lambda c, t: F.floor(F.col(c) / F.lit(4 ** t)).cast("long")
 
-    def tiered(which):
-        return F.explode(F.array(*[F.struct(F.lit(t).alias("t"), up("_cy", t).alias("ty"), up("_cx", t).alias("tx")) for t in which]))
+    def tiered(which, cy, cx):
+        return F.explode(F.array(*[F.struct(F.lit(t).alias("t"), up(cy, t).alias("ty"), up(cx, t).alias("tx")) for t in which]))
 
-    own = right.withColumn("k", tiered(range(tiers + 3))).select("*", "k.*").drop("k").withColumnsRenamed({"_cy": "_ry", "_cx": "_rx"})
+    own = right.withColumn("k", tiered(range(tiers + 3), "_ry", "_rx")).select("*", "k.*").drop("k")
     covered = (own.where(F.col("t") < tiers).select("class", "t", "ty", "tx").distinct()
                .select("class", "t", _neighbours(F.col("ty"), F.col("tx")).alias("n"))
                .select("class", "t", F.col("n.cy").alias("ty"), F.col("n.cx").alias("tx")).distinct())
-    reach = (left.withColumn("k", tiered(range(tiers))).select("_cy", "_cx", "k.*").join(covered, ["t", "ty", "tx"])
-             .groupBy("_cy", "_cx", "class")
+    reach = (left.withColumn("k", tiered(range(tiers), "_cy", "_cx")).select(*ROW_CELL, "k.*").join(covered, ["t", "ty", "tx"])
+             .groupBy(*ROW_CELL, "class")
              .agg((F.min("t") + F.when(F.abs(F.first("_cy")) * cell_deg > 65.0, 3).otherwise(1)).alias("t")))
     scale = F.pow(F.lit(4.0), F.col("t"))
-    asked = (reach.join(left, ["_cy", "_cx"])
+    asked = (reach.join(left, ROW_CELL)
              .withColumn("n", _neighbours(F.floor(F.col("_cy") / scale).cast("long"), F.floor(F.col("_cx") / scale).cast("long")))
              .select("*", F.col("n.cy").alias("ty"), F.col("n.cx").alias("tx")).drop("n"))
     lower, upper = _box_bounds()
-    pairs = cut_lineage(asked.join(own, ["class", "t", "ty", "tx"])
-                        .select("class", "_cy", "_cx", "_ry", "_rx", lower.alias("_lo"), upper.alias("_hi")))
-    limit = pairs.groupBy("class", "_cy", "_cx").agg(F.min("_hi").alias("_best"))
-    opened = (pairs.join(limit, ["class", "_cy", "_cx"]).where(F.col("_lo") <= F.col("_best") * (1 + 1e-9) + 1e-18)
-              .select("class", "_cy", "_cx", "_ry", "_rx"))
-    best = (coords.join(opened, ["_cy", "_cx"])
-            .join(placed.withColumnsRenamed({"_cy": "_ry", "_cx": "_rx"}), ["class", "_ry", "_rx"])
+    bounds = [lower.alias("_lo"), upper.alias("_hi")]
+    opened = _best_pairs(cut_lineage(asked.join(own, ["class", "t", "ty", "tx"]).select("class", *ROW_CELL, *POINT_CELL, *bounds)))
+    for _ in range(depth):
+        rows_full, points_full = _crowded(coords, placed, opened, leaf, 8 * leaf)
+        if rows_full.isEmpty() and points_full.isEmpty():
+            break
+        coords = cut_lineage(_split(coords, rows_full, [], ROW_CELL, "_y", "_x", cell_deg))
+        placed = cut_lineage(_split(placed, points_full, ["class"], POINT_CELL, "p_lat", "p_lon", cell_deg))
+        old = lambda names: ["_o" + c for c in names]
+        a = _boxed_cells(coords, "_y", "_x", [*ROW_CELL, *old(ROW_CELL)], "a")
+        b = _boxed_cells(placed, "p_lat", "p_lon", ["class", *POINT_CELL, *old(POINT_CELL)], "b")
+        before = opened.withColumnsRenamed({c: "_o" + c for c in ROW_CELL + POINT_CELL})
+        pairs = before.join(a, old(ROW_CELL)).join(b, ["class", *old(POINT_CELL)]).select("class", *ROW_CELL, *POINT_CELL, *bounds)
+        opened = _best_pairs(cut_lineage(pairs))
+        coords, placed = coords.drop(*old(ROW_CELL)), placed.drop(*old(POINT_CELL))
+    return coords, placed, opened
+
+
+def nearest_join(df: DataFrame, points: DataFrame, at=("latitude", "longitude"), cell_deg: float = 0.01, tiers: int = 9,
+                 leaf: int = 256) -> DataFrame:
+    """Nearest point of every class for each row: adds class, point_id, distance_m.
+
+    `points` is (class, point_id, p_lat, p_lon); points of one class on one place are one, the least. Rows and points are put into
+    cells, whose number the served area bounds. Cell sizes grow fourfold per tier: the
+    finest tier whose 3x3 neighbourhood holds a point limits the distance to about three
+    cells, so the next tier's neighbourhood (three tiers on where cells narrow towards the
+    poles) holds the nearest point for certain. The last tier's cells are wider than the
+    globe, so every row finds every class. Of the
+    point cells found there only those that can beat the best upper bound are opened, so
+    coordinates far from all points do not meet every point; dense cells are split first (`nearest_candidates`).
+    Boxes do not reach over the antimeridian: points beyond it count as on the far side."""
+    y, x = at
+    coords, placed, opened = nearest_candidates(df, points, at, cell_deg, tiers, leaf)
+    best = (coords.join(opened, ROW_CELL).join(placed, ["class", *POINT_CELL])
             .withColumn("distance_m", geo.haversine_m("_y", "_x", "p_lat", "p_lon"))
             .groupBy("_y", "_x", "class").agg(F.min(F.struct("distance_m", "point_id")).alias("b"))
             .select("_y", "_x", "class", "b.point_id", "b.distance_m"))
@@ -223,55 +277,83 @@ def _grams(text: Column, n: Column | int) -> Column:
     return F.array_distinct(F.transform(spans, lambda i: F.substring(text, i, n)))
 
 
-def rarest_grams(terms: DataFrame, term: str, dictionary: DataFrame, text: str, text_id: list[str]):
-    """(term -> its rarest gram and that gram's frequency), and the gram index.
-
-    A text containing a term contains all of the term's grams, so meeting on the
-    rarest one loses nothing. Terms with a gram no text has are left out."""
-    t = F.col(term)
-    size = F.least(F.lit(GRAM), F.length(t))
-    term_grams = (terms.select(t.alias("_term")).where(F.length("_term") > 0).distinct()
-                  .select("_term", F.explode(_grams(F.col("_term"), F.least(F.lit(GRAM), F.length("_term")))).alias("_gram")))
-    used = term_grams.select("_gram").distinct()
-    grams = F.concat(*[_grams(F.col(text), n) for n in range(1, GRAM + 1)])
-    index = (dictionary.select(*text_id, F.col(text).alias("_text"), F.explode(grams).alias("_gram"))
-             .join(used, "_gram", "left_semi"))
-    freq = index.groupBy("_gram").agg(F.count("*").alias("_f"))
-    picks = (term_grams.join(freq, "_gram", "left").groupBy("_term")
-             .agg(F.count("*").alias("_all"), F.count("_f").alias("_known"),
-                  F.min(F.struct("_f", "_gram")).alias("_p"))
-             .where("_all = _known")
-             .select("_term", F.col("_p._gram").alias("_gram"), F.col("_p._f").alias("_f")))
-    return picks, index
-
-
-def contains_join(terms: DataFrame, term: str, dictionary: DataFrame, text: str,
-                  text_id: list[str]) -> DataFrame:
+def _gram_size(term: str) -> Column:
+    return F.least(F.lit(GRAM), F.length(term))
+
+
+@dataclass(frozen=True)
+class GramIndex:
+    """Dictionary texts by the grams that some asked term has: `entries` is (_scope, _gram, _text,
+    text ids), `freq` the number of texts per gram in each scope (a county, or one for all)."""
+    entries: DataFrame
+    freq: DataFrame
+    text_id: tuple[str, ...]
+
+    def rarest(self, terms: DataFrame) -> DataFrame:
+        """Rarest gram `_gram` and its frequency `_f` per asked (_term, _asked) and scope; a NULL `_asked` means
+        every scope. A text with the term has all of its grams, so a scope that lacks one is left out."""
+        grams = (terms.where(F.length("_term") > 0).distinct()
+                 .withColumn("_g", _grams(F.col("_term"), _gram_size("_term")))
+                 .select("_term", "_asked", F.size("_g").alias("_all"), F.explode("_g").alias("_gram")))
+        return (grams.join(self.freq, "_gram").where(F.col("_asked").isNull() | (F.col("_asked") == F.col("_scope")))
+                .groupBy("_term", "_asked", "_scope")
+                .agg(F.first("_all").alias("_all"), F.count("*").alias("_known"), F.min(F.struct("_f", "_gram")).alias("_p"))
+                .where("_all = _known").select("_term", "_asked", "_scope", "_p._f", "_p._gram"))
+
+
+def gram_index(terms: DataFrame, term: str, dictionary: DataFrame, text: str, text_id: list[str],
+               scope: str | None = None, stored: bool = True) -> GramIndex:
+    """Index of a dictionary of distinct texts for all terms a query will ask; with `stored` it is written once
+    and every look-up of the query reads it. Only gram lengths and grams that the terms have are kept."""
+    asked = terms.select(F.col(term).alias("_term")).where(F.length("_term") > 0).distinct()
+    used = asked.select(F.explode(_grams(F.col("_term"), _gram_size("_term"))).alias("_gram")).distinct()
+    sizes = asked.agg(F.collect_set(_gram_size("_term")).alias("_sizes"))  # 3 values at most
+    value = F.lit("") if scope is None else F.coalesce(scope, F.lit(""))
+    entries = (dictionary.select(value.alias("_scope"), *text_id, F.col(text).alias("_text"))
+               .withColumn("_sizes", sizes.scalar())
+               .withColumn("_gram", F.explode(F.flatten(F.transform("_sizes", lambda n: _grams(F.col("_text"), n))))).drop("_sizes")
+               .join(used, "_gram", "left_semi"))
+    entries = cut_lineage(entries.repartition("_scope", "_gram")) if stored else entries
+    return GramIndex(entries, entries.groupBy("_scope", "_gram").agg(F.count("*").alias("_f")), tuple(text_id))
+
+
+def contains_join(terms: DataFrame, term: str, dictionary: DataFrame, text: str, text_id: list[str],
+                  scope: str | None = None, asked: str | None = None, index: GramIndex | None = None) -> DataFrame:
     """(terms row, dictionary row) pairs where the text contains the term.
 
-    Both sides must already be in one case; `dictionary` should be distinct."""
-    picks, index = rarest_grams(terms, term, dictionary, text, text_id)
-    hits = picks.join(index, "_gram").where(F.contains(F.col("_text"), F.col("_term")))
-    return (terms.join(hits.select("_term", "_text", *text_id), F.col(term) == F.col("_term"))
-            .drop("_term").withColumnRenamed("_text", text))
-
-
-def contains_all_join(requests: DataFrame, dictionary: DataFrame, text: str, text_id: list[str]) -> DataFrame:
+    Both sides must already be in one case; `dictionary` should be distinct. With `scope` (a dictionary column) and
+    `asked` (its value wanted by a terms row, NULL for any) a term meets texts of that scope only.
+    `index` is one that was made for these terms, among others."""
+    index = index or gram_index(terms, term, dictionary, text, text_id, scope, stored=False)
+    want = F.col(asked) if asked else F.lit(None).cast("string")
+    picks = index.rarest(terms.select(F.col(term).alias("_term"), want.alias("_asked")))
+    hits = (picks.join(index.entries, ["_scope", "_gram"]).where(F.contains(F.col("_text"), F.col("_term")))
+            .select("_term", "_asked", "_text", *index.text_id))
+    same = F.col(term) == F.col("_term")
+    return (terms.join(hits, same & want.eqNullSafe(F.col("_asked")) if asked else same)
+            .drop("_term", "_asked").withColumnRenamed("_text", text))
+
+
+def contains_all_join(requests: DataFrame, dictionary: DataFrame, text: str, text_id: list[str],
+                      scope: str | None = None, asked: str | None = None, index: GramIndex | None = None) -> DataFrame:
     """(request, text) pairs where every word group of the request has a variant in
-    the text. `requests` is (query_id, variants ARRAY<ARRAY<STRING>>).
-
-    Candidates come from the word group that is rarest by gram frequency; the other
-    groups are checked on the candidate text, so common words drive no join."""
-    words = (requests.select("query_id", F.posexplode("variants").alias("_pos", "_vs"))
-             .select("query_id", "_pos", F.explode("_vs").alias("_v")))
-    picks, index = rarest_grams(words, "_v", dictionary, text, text_id)
-    priced = words.join(picks, F.col("_v") == F.col("_term"), "left")
-    best = (priced.groupBy("query_id", "_pos").agg(F.sum(F.coalesce("_f", F.lit(0))).alias("_cost"))
-            .groupBy("query_id").agg(F.min(F.struct("_cost", "_pos")).alias("_b"))
-            .select("query_id", F.col("_b._pos").alias("_pos")))
-    found = (priced.where("_gram is not null").join(best, ["query_id", "_pos"])
-             .select("query_id", "_v", "_gram").join(index, "_gram")
-             .where(F.contains(F.col("_text"), F.col("_v"))).select("query_id", "_text", *text_id).distinct())
+    the text. `requests` is (query_id, variants ARRAY<ARRAY<STRING>>, further columns).
+
+    In each scope candidates come from the word group that is rarest there by gram frequency; the other
+    groups are checked on the candidate text, so common words drive no join. `scope`, `asked`, `index` as in
+    `contains_join`."""
+    want = F.col(asked) if asked else F.lit(None).cast("string")
+    words = (requests.select("query_id", want.alias("_asked"), F.size("variants").alias("_n"), F.posexplode("variants").alias("_pos", "_vs"))
+             .select("query_id", "_asked", "_n", "_pos", F.explode("_vs").alias("_term")))
+    index = index or gram_index(words, "_term", dictionary, text, text_id, scope, stored=False)
+    picks = index.rarest(words.select("_term", "_asked")).withColumnRenamed("_asked", "_for")
+    priced = words.join(picks, "_term").where(F.col("_asked").eqNullSafe(F.col("_for")))
+    best = (priced.groupBy("query_id", "_scope", "_pos").agg(F.sum("_f").alias("_cost"), F.first("_n").alias("_n"))
+            .groupBy("query_id", "_scope").agg(F.count("*").alias("_known"), F.first("_n").alias("_n"), F.min(F.struct("_cost", "_pos")).alias("_b"))
+            .where("_known = _n").select("query_id", "_scope", "_b._pos"))
+    found = (priced.join(best, ["query_id", "_scope", "_pos"]).select("query_id", "_term", "_scope", "_gram")
+             .join(index.entries, ["_scope", "_gram"]).where(F.contains(F.col("_text"), F.col("_term")))
+             .select("query_id", "_text", *index.text_id).distinct())
     every = F.forall("variants", lambda vs: F.exists(vs, lambda v: F.contains(F.col("_text"), v)))
     return requests.join(found, "query_id").where(every).drop("variants").withColumnRenamed("_text", text)
 

@@ -120,14 +120,14 @@ def _street_term() -> Column:
 
 def impute_same_street(df: DataFrame, min_rows: int = 3) -> DataFrame:
     """Coordinate from a point in the county that at least three sales of addresses
-    containing the street share; streets meet addresses through rare grams."""
+    containing the street share; streets meet addresses of their county through rare grams."""
     missing = _missing(df).select("id", F.col("county").alias("_county"), _street_term().alias("street")).where("street is not null")
     known = (df.where("latitude is not null and county is not null")
              .groupBy("county", text.match_key("address").alias("_addr"), "latitude", "longitude")
              .agg(F.count("*").alias("_n")))
     dictionary = known.select("county", "_addr").distinct()
     terms = missing.select("_county", "street").distinct()
-    pairs = (contains_join(terms, "street", dictionary, "_addr", ["county"]).where("county = _county")
+    pairs = (contains_join(terms, "street", dictionary, "_addr", ["county"], "county", "_county").where("county = _county")
              .select("county", "street", "_addr").distinct())
     best = _top_point(pairs.join(known, ["county", "_addr"]), ["county", "street"], min_rows)
     return (missing.withColumnRenamed("_county", "county").join(best, ["county", "street"])

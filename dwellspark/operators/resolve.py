@@ -6,11 +6,13 @@ carries partial sums, so no step touches raw sales per request."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dwellspark.functions import geo, text
 from dwellspark.lineage import cut_lineage
-from dwellspark.operators.joins import contains_all_join, contains_join, prefix_join
+from dwellspark.operators.joins import GramIndex, contains_all_join, contains_join, gram_index, prefix_join
 
 # Sums are shifted to keep the variance well conditioned in double arithmetic.
 _LAT0, _LON0 = 53.0, -7.0
@@ -43,47 +45,62 @@ def _located(source: str) -> list[Column]:
     return ["query_id", _mean("_lat").alias("lat"), _mean("_lon").alias("lon"), F.lit(source).alias("source")]
 
 
-def resolve_by_tokens(requests: DataFrame, df: DataFrame, book: DataFrame | None = None) -> DataFrame:
+def _token_requests(requests: DataFrame) -> DataFrame:
+    return (requests.withColumn("_tokens", text.address_tokens("query")).where(F.size("_tokens") > 0)
+            .select("query_id", F.lower("county").alias("_asked"), F.size("_tokens").alias("_k"),
+                    F.transform("_tokens", text.token_variants).alias("variants")))
+
+
+def _fuzzy_terms(requests: DataFrame) -> DataFrame:
+    """The request as a term and, for a plural, its singular as the second try."""
+    low = F.lower("query")
+    tries = F.array_compact(F.array(
+        F.struct(F.lit(1).alias("no"), F.lower(F.trim("query")).alias("term")),
+        F.when(low.endswith("s") & ~low.endswith("ss"),
+               F.struct(F.lit(2).alias("no"), F.trim(F.lower(F.expr("left(query, length(query) - 1)"))).alias("term")))))
+    return requests.select("query_id", F.explode(tries).alias("t")).select("query_id", "t.no", "t.term").where(F.length("term") > 0)
+
+
+def book_index(book: DataFrame, tokens: DataFrame | None = None, fuzzy: DataFrame | None = None) -> GramIndex:
+    """One stored gram index of the address dictionary, by county, for all terms of a query."""
+    parts = []
+    if tokens is not None:
+        parts.append(tokens.select(F.explode(F.flatten("variants")).alias("term")))
+    if fuzzy is not None:
+        parts.append(fuzzy.select("term"))
+    return gram_index(reduce(DataFrame.union, parts), "term", book, "_a", ["_c"], scope="_c")
+
+
+def resolve_by_tokens(requests: DataFrame, df: DataFrame, book: DataFrame | None = None, index: GramIndex | None = None) -> DataFrame:
     """Mean point of the addresses holding every token (in any variant) of the
     request (query_id, query, county), if they form a tight cluster.
 
-    `book` is a prepared `address_dictionary`; it is read several times."""
-    asked = (requests.withColumn("_tokens", text.address_tokens("query")).where(F.size("_tokens") > 0)
-             .withColumn("variants", F.transform("_tokens", text.token_variants)))
+    `book` is a prepared `address_dictionary`, `index` its gram index for these tokens."""
+    asked = _token_requests(requests)
     book = book if book is not None else cut_lineage(address_dictionary(df))
-    asked = cut_lineage(asked.select("query_id", F.lower("county").alias("_asked"), F.size("_tokens").alias("_k"), "variants"))
-    pairs = contains_all_join(asked,
-                              book.select("_a", "_c"), "_a", ["_c"])
-    pairs = pairs.where(F.col("_asked").isNull() | (F.col("_asked") == F.col("_c")))
+    index = index or book_index(book, tokens=asked)
+    pairs = contains_all_join(asked, book, "_a", ["_c"], "_c", "_asked", index)
     found = pairs.join(book, ["_a", "_c"]).groupBy("query_id", "_k").agg(*_sums())
     limit = F.when(F.col("_k") >= 2, 0.02).otherwise(0.01)
     return found.where((_std("_y", "_yy") < limit) & (_std("_x", "_xx") < limit)).select(*_located("db_tokens"))
 
 
-def _substring_totals(terms: DataFrame, book: DataFrame) -> DataFrame:
-    """Sums per (query_id) of sales whose address or county contains `term`."""
-    terms = cut_lineage(terms.where(F.length("term") > 0))
-    by_address = contains_join(terms, "term", book.select("_a", "_c"), "_a", ["_c"]).select("query_id", "_a", "_c")
-    by_county = contains_join(terms, "term", book.select("_c").distinct(), "_c", []).select("query_id", "_c")
-    counties = book.groupBy("_c").agg(*_sums())
-    whole = by_county.join(counties, "_c")
-    rest = by_address.join(by_county, ["query_id", "_c"], "left_anti").join(book, ["_a", "_c"])
-    cols = ["query_id", *SUMS]
-    return whole.select(*cols).unionByName(rest.select(*cols)).groupBy("query_id").agg(*_sums())
-
-
 def resolve_fuzzy(requests: DataFrame, df: DataFrame, min_rows: int = 3,
-                  book: DataFrame | None = None) -> DataFrame:
+                  book: DataFrame | None = None, index: GramIndex | None = None) -> DataFrame:
     """Mean point of sales whose address or county contains the request; a plural
-    request without any hit is retried in the singular."""
-    query = F.lower(F.trim("query"))
+    request without any hit counts in the singular. Both tries are looked up at once; a county
+    that a term is part of counts whole, from its sums."""
+    terms = _fuzzy_terms(requests)
     book = book if book is not None else cut_lineage(address_dictionary(df))
-    first = cut_lineage(_substring_totals(requests.select("query_id", query.alias("term")), book))
-    low = F.lower("query")
-    again = (requests.where(low.endswith("s") & ~low.endswith("ss")).join(first, "query_id", "left_anti")
-             .select("query_id", F.trim(F.lower(F.expr("left(query, length(query) - 1)"))).alias("term")))
-    both = first.unionByName(_substring_totals(again, book))
-    return both.where(F.col("_n") >= min_rows).select(*_located("db_fuzzy"))
+    index = index or book_index(book, fuzzy=terms)
+    counties = book.groupBy("_c").agg(*_sums())
+    by_address = contains_join(terms, "term", book, "_a", ["_c"], "_c", index=index).select("query_id", "no", "_a", "_c")
+    by_county = contains_join(terms, "term", counties.select("_c"), "_c", []).select("query_id", "no", "_c")
+    rest = by_address.join(by_county, ["query_id", "no", "_c"], "left_anti").join(book, ["_a", "_c"])
+    cols = ["query_id", "no", *SUMS]
+    tries = by_county.join(counties, "_c").select(*cols).unionByName(rest.select(*cols)).groupBy("query_id", "no").agg(*_sums())
+    first = tries.groupBy("query_id").agg(F.min_by(F.struct(*SUMS), "no").alias("s")).select("query_id", "s.*")
+    return first.where(F.col("_n") >= min_rows).select(*_located("db_fuzzy"))
 
 
 def area_hint(requests: DataFrame, df: DataFrame, min_rows: int = 5, spread: float = 0.05) -> DataFrame:
@@ -97,9 +114,8 @@ def area_hint(requests: DataFrame, df: DataFrame, min_rows: int = 5, spread: flo
     asked = (requests.withColumn("_p", parts).where(F.size("_p") >= 2)
              .select("query_id", F.explode(tries).alias("t")).select("query_id", "t.no", "t.term").where(F.length("term") >= 4))
     book = cut_lineage(address_dictionary(df))
-    asked = cut_lineage(asked)
     terms = asked.select("term").distinct()
-    sums = (contains_join(terms, "term", book.select("_a", "_c"), "_a", ["_c"]).join(book, ["_a", "_c"])
+    sums = (contains_join(terms, "term", book, "_a", ["_c"], "_c", index=book_index(book, fuzzy=terms)).join(book, ["_a", "_c"])
             .groupBy("term").agg(*_sums()).where(F.col("_n") >= min_rows)
             .where((_std("_y", "_yy") < spread) & (_std("_x", "_xx") < spread)))
     return (asked.join(sums, "term").select("query_id", F.struct(
@@ -153,12 +169,14 @@ def resolve_locations(requests: DataFrame, df: DataFrame, reference: DataFrame)
     rows = cut_lineage(rows.select(*requests.columns, "_own", "flag_postcode"))
     open_rows = rows.where("_own is null").select("query_id", "query", "county")
     book = cut_lineage(address_dictionary(df))
-    packed = lambda d, name: d.select("query_id", F.struct("lat", "lon", "source").alias(name))
-    rows = (rows.join(packed(resolve_by_tokens(open_rows, df, book), "_tok"), "query_id", "left")
-            .join(packed(resolve_fuzzy(open_rows, df, book=book), "_fuz"), "query_id", "left"))
-    found = F.coalesce("_own", "_tok", "_fuz")
-    return rows.select(*requests.columns, found["lat"].alias("lat"), found["lon"].alias("lon"),
-                       found["source"].alias("source"), "flag_postcode")
+    index = book_index(book, _token_requests(open_rows), _fuzzy_terms(open_rows))
+    ranked = lambda d, rank: d.select("query_id", F.struct(F.lit(rank).alias("rank"), "lat", "lon", "source").alias("_hit"))
+    own = rows.where("_own is not null").select("query_id", "_own.*")
+    hits = reduce(DataFrame.unionByName, [ranked(own, 0), ranked(resolve_by_tokens(open_rows, df, book, index), 1),
+                                          ranked(resolve_fuzzy(open_rows, df, book=book, index=index), 2)])
+    best = hits.groupBy("query_id").agg(F.min_by("_hit", "_hit.rank").alias("_hit"))
+    return rows.join(best, "query_id", "left").select(
+        *requests.columns, F.col("_hit.lat").alias("lat"), F.col("_hit.lon").alias("lon"), F.col("_hit.source").alias("source"), "flag_postcode")
 
 
 def flag_bad_postcodes(df: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -202,24 +220,24 @@ def resolve_subjects(requests: DataFrame, df: DataFrame, stats: DataFrame) -> Da
     book = (df.where("latitude is not null and longitude is not null")
             .groupBy(spelled.alias("_a"), F.lower("county").alias("_c"))
             .agg(F.min(F.struct("id", "latitude", "longitude", "bedrooms")).alias("_first")))
-    asked, book = cut_lineage(asked), cut_lineage(book)
+    book = cut_lineage(book)
     prefix = (prefix_join(asked.select("query_id", "_norm", "_county"), "_norm", book, "_a").where("_c = _county")
               .groupBy("query_id").agg(F.min("_first").alias("_hit")))
-    prefix = cut_lineage(prefix)
+    asked = cut_lineage(asked.join(prefix, "query_id", "left"))
     words = F.regexp_extract_all("_norm", F.lit(r"(\w+)"), F.lit(1))
     tokens = F.filter(words, lambda w: (F.length(w) >= 2) & ~F.lower(w).isin(SKIP_WORDS))
-    rest = (asked.join(prefix.select("query_id"), "query_id", "left_anti").withColumn("_t", tokens).where(F.size("_t") >= 3)
+    rest = (asked.where("_hit is null").withColumn("_t", tokens).where(F.size("_t") >= 3)
             .select("query_id", "_county", F.transform(F.slice("_t", 1, 6), lambda w: F.array(F.lower(w))).alias("variants")))
     low = book.select(F.lower("_a").alias("_l"), "_c", F.struct(F.length("_a").alias("_len"), "_first").alias("_r")) \
         .groupBy("_l", "_c").agg(F.min("_r").alias("_r"))
-    rest = cut_lineage(rest)
-    flexible = (contains_all_join(rest, low.select("_l", "_c"), "_l", ["_c"]).where("_c = _county")
+    index = gram_index(rest.select(F.explode(F.flatten("variants")).alias("term")), "term", low.select("_l", "_c"), "_l", ["_c"], "_c")
+    flexible = (contains_all_join(rest, low, "_l", ["_c"], "_c", "_county", index)
                 .join(low, ["_l", "_c"]).groupBy("query_id").agg(F.min("_r").alias("_r"))
-                .select("query_id", F.col("_r._first").alias("_hit")))
+                .select("query_id", F.col("_r._first").alias("_flex")))
     keys = (stats.where("property_count >= 5 and centroid_lat is not null")
             .select(F.col("routing_key").alias("_rk"), "centroid_lat", "centroid_lon",
                     F.least(F.lit(0.85), F.lit(0.70) + F.col("property_count") / F.lit(1000.0) * F.lit(0.15)).alias("_conf")))
-    rows = (asked.join(prefix.unionByName(flexible), "query_id", "left")
+    rows = (asked.join(flexible, "query_id", "left").withColumn("_hit", F.coalesce("_hit", "_flex"))
             .join(keys, F.upper(F.substring("eircode", 1, 3)) == F.col("_rk"), "left"))
     hit, key = F.col("_hit").isNotNull(), F.col("_rk").isNotNull()
     far = geo.haversine_m("_hit.latitude", "_hit.longitude", "centroid_lat", "centroid_lon") / 1000.0 > SUBJECT_KEY_KM

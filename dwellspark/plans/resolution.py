@@ -73,18 +73,19 @@ def _(spark, d):
     return resolve.flag_bad_postcodes(s, r).select("id", F.col("geocode_quality_issue").alias("flagged"))
 
 
-_HINT = f"""parts AS (SELECT query_id, list_filter(list_transform(string_split(query, ','), lambda p: trim(p)), lambda p: p <> '') AS p FROM lookups),
+# Full addresses ask for their place: the county is wide, its town often narrow.
+_HINT = f"""parts AS (SELECT query_id, list_filter(list_transform(string_split(query, ','), lambda p: trim(p)), lambda p: p <> '') AS p FROM (SELECT k AS query_id, min(address) AS query FROM dwelling GROUP BY k)),
   tries AS (SELECT query_id, 1 AS no, lower(p[-1]) AS term FROM parts WHERE len(p) >= 2 UNION ALL SELECT query_id, 2, lower(p[-2] || ', ' || p[-1]) FROM parts WHERE len(p) >= 3),
   hints AS (SELECT query_id, no, term, {q.mean('latitude')} AS lat, {q.mean('longitude')} AS lon FROM tries JOIN words ON contains(a, term) JOIN book USING (a, c) WHERE length(term) >= 4 GROUP BY ALL
-     HAVING count(*) >= 5 AND coalesce(stddev_samp(latitude), 0) < 0.4 AND coalesce(stddev_samp(longitude), 0) < 0.4)"""
+     HAVING count(*) >= 5 AND coalesce(stddev_samp(latitude), 0) < 0.05 AND coalesce(stddev_samp(longitude), 0) < 0.05)"""
 
 
 @query("area_hint", over_sales(
-    "SELECT query_id, round(lat, 6) AS lat, round(lon, 6) AS lon, term AS hint FROM hints QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY no) = 1", LOOKUPS_CTE, _BOOK, _HINT))
+    "SELECT query_id, round(lat, 6) AS lat, round(lon, 6) AS lon, term AS hint FROM hints QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY no) = 1", _BOOK, _HINT))
 def _(spark, d):
     s = sales(spark, d)
-    # the planted mis-located sales spread every cluster, hence the wider limit here
-    r = resolve.area_hint(location_lookups(spark, s), s, spread=0.4)
+    asked = s.groupBy(F.col("k").alias("query_id")).agg(F.min("address").alias("query"))
+    r = resolve.area_hint(asked, s)
     return r.select("query_id", *_point(r), "hint")
 
 

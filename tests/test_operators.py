@@ -48,6 +48,47 @@ def test_nearest_join_matches_brute_force(spark, points, cell):
         assert got[(l[0], cls)] == best[1]
 
 
+def test_nearest_join_splits_dense_cells(spark):
+    """10,000 points on one place, 20,000 distinct ones and 3,000 rows in one cell: only near leaves meet."""
+    rng = np.random.default_rng(2)
+    spots = np.round(np.c_[53.341 + 0.008 * rng.random(20_000), -6.261 + 0.012 * rng.random(20_000)], 7)
+    asked = np.round(np.c_[53.341 + 0.008 * rng.random(3_000), -6.261 + 0.012 * rng.random(3_000)], 7)
+    near = [("a", i, float(y), float(x)) for i, (y, x) in enumerate(spots)] + [("a", 50_000 + i, 53.345, -6.255) for i in range(10_000)]
+    b = spark.createDataFrame(near, "class string, point_id long, p_lat double, p_lon double")
+    a = spark.createDataFrame([(i, float(y), float(x)) for i, (y, x) in enumerate(asked)], "q long, latitude double, longitude double")
+    coords, placed, opened = joins.nearest_candidates(a, b)
+    cell = ["class", *joins.POINT_CELL]
+    assert placed.groupBy(*cell).count().agg(F.max("count")).first()[0] <= 256
+    assert coords.groupBy(*joins.ROW_CELL).count().agg(F.max("count")).first()[0] <= 256
+    met = coords.join(opened, joins.ROW_CELL).join(placed, cell).count()
+    assert met < 3_000 * 8 * 256
+    assert opened.count() < 3_000 * 60
+    got = {r["q"]: r["distance_m"] for r in joins.nearest_join(a, b).collect()}
+    p, o = np.radians(np.r_[spots, [[53.345, -6.255]]]), np.radians(asked)
+    for i in range(0, 3_000, 50):
+        h = np.sin((p[:, 0] - o[i, 0]) / 2) ** 2 + np.cos(p[:, 0]) * np.cos(o[i, 0]) * np.sin((p[:, 1] - o[i, 1]) / 2) ** 2
+        assert got[i] == pytest.approx(2 * 6371000 * np.arcsin(np.sqrt(h.min())), abs=1e-6)
+    assert len(got) == 3_000
+
+
+def test_gram_index_keeps_scopes_apart(spark):
+    """Terms of one county meet texts of that county only; terms without one meet all; one index serves both."""
+    rng = random.Random(8)
+    rows = sorted({("".join(rng.choice("abc ") for _ in range(10)), rng.choice(["x", "y", None])) for _ in range(120)}, key=str)
+    d = spark.createDataFrame(rows, "txt string, county string")
+    terms = [(t, c) for t in ("ab", "abc", "c", "b a", "zzz", "") for c in ("x", "y", None)]
+    q = spark.createDataFrame(terms, "term string, asked string")
+    index = joins.gram_index(q, "term", d, "txt", ["county"], "county")
+    got = Counter((r["term"], r["asked"], r["txt"], r["county"]) for r in joins.contains_join(q, "term", d, "txt", ["county"], "county", "asked", index).collect())
+    want = Counter((t, c, x, k) for t, c in terms for x, k in rows if t and t in x and c in (None, k))
+    assert got == want and want
+    assert index.entries.where("_gram like 'zz%' or length(_gram) > 3").count() == 0
+    asked = [(1, "x", [["ab"], ["c", "zz"]]), (2, None, [["ab"], ["c a", "bb"]]), (3, "y", [["zzz"], ["a"]]), (4, "x", [])]
+    r = spark.createDataFrame(asked, "query_id long, asked string, variants array<array<string>>")
+    got = {(o["query_id"], o["txt"], o["county"]) for o in joins.contains_all_join(r, d, "txt", ["county"], "county", "asked").collect()}
+    assert got == {(i, x, k) for i, c, vs in asked for x, k in rows if vs and c in (None, k) and all(any(v in x for v in g) for g in vs)}
+
+
 def test_near_equal_join(spark):
     a = spark.createDataFrame([(1, 53.0, -6.0), (2, 53.0000009, -6.0), (3, 53.000002, -6.0)], "id long, la double, lo double")
     b = spark.createDataFrame([(53.0000000, -6.0)], "pa double, po double")

@@ -147,6 +147,19 @@ def normalize_address(c, extended: bool = False) -> Column:
     return F.array_join(F.transform(words, _register_case), " ")
 
 
+# Plural endings and what they become, the first that fits.
+PLURALS = [("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("us", "us"), ("s", "")]
+
+
+def stem(token: Column) -> Column:
+    """Search form of a lower-case word: plurals lose their ending and a final y after a consonant becomes i, so
+    `gardens` meets `garden` and `cherries` meets `cherry`. Words of two letters stay."""
+    out = F.regexp_replace(token, "([^aeiou0-9])y$", "$1i")
+    for ending, becomes in reversed(PLURALS):
+        out = F.when(F.endswith(token, F.lit(ending)), F.regexp_replace(token, f"{ending}$", becomes)).otherwise(out)
+    return F.when(F.length(token) <= 2, token).otherwise(out)
+
+
 def normalize_postcode(c) -> Column:
     return F.replace(F.upper(F.trim(_c(c))), F.lit(" "), F.lit(""))
 

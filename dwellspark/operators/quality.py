@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from dwellspark.functions import geo, text
+from dwellspark.lineage import cut_lineage
 
 
 def region_check(df: DataFrame, regions: DataFrame, county: str = "county") -> DataFrame:
@@ -136,6 +139,23 @@ def flag_geocodes(df: DataFrame, stats: DataFrame, min_key_points: int = MIN_KEY
             .drop("centroid_lat", "centroid_lon", "_crowd"))
 
 
+def refresh_flags(register: DataFrame, new: DataFrame, stats: DataFrame) -> DataFrame:
+    """(id, geocode_suspect, needs_geocoding) of the rows whose flags the delivery `new`, already part of `register`, can
+    change: its own rows, those of routing keys whose centroid it moves and those on coordinates it adds to.
+
+    Only located rows of a delivery move anything. Crowds are counted on the coordinates of these rows alone."""
+    spot = ["latitude", "longitude"]
+    located = new.where("latitude is not null")
+    of_key = register.join(located.where("routing_key is not null").select("routing_key").distinct(), "routing_key", "left_semi")
+    on_spot = register.join(located.select(*spot).distinct(), spot, "left_semi")
+    touched = cut_lineage(reduce(DataFrame.union, [d.select("id", *spot) for d in (of_key, on_spot, new)]).distinct())
+    spots = touched.where("latitude is not null").select(*spot).distinct()
+    around = register.join(spots, spot, "left_semi").unionByName(
+        register.where("latitude is null").join(touched.select("id"), "id", "left_semi"))
+    return (flag_geocodes(around, stats).join(touched.select("id"), "id", "left_semi")
+            .select("id", "geocode_suspect", "needs_geocoding"))
+
+
 def _candidate_rows(candidates: DataFrame, stats: DataFrame) -> DataFrame:
     keys = stats.where("centroid_lat is not null").select("routing_key", "centroid_lat", "centroid_lon")
     return candidates.join(keys, "routing_key", "left")

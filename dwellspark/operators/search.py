@@ -187,8 +187,8 @@ def polygon_search(polygons: DataFrame, df: DataFrame, limit: int = 50, cell_deg
 
 def all_terms_search(requests: DataFrame, df: DataFrame, limit: int = 100,
                      address: str = "address_normalized") -> DataFrame:
-    """Rows whose address holds every term of the request (query_id, query, county),
-    ranked by how much of the address the terms make up.
+    """Rows whose address holds every term of the request (query_id, query, county), words compared by
+    their stem, ranked by how much of the address the terms make up.
 
     Requests meet addresses on their rarest term only; the other terms are checked
     on the address, so common words never drive a join."""
@@ -202,7 +202,7 @@ def all_terms_search(requests: DataFrame, df: DataFrame, limit: int = 100,
 
 def _term_hits(requests: DataFrame, dictionary: DataFrame) -> DataFrame:
     """query_id, _text, _county, rank_score of the dictionary's addresses that hold every term of a request."""
-    terms = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
+    terms = lambda c: F.transform(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)), text.stem)
     asked = requests.withColumn("_terms", F.array_distinct(terms("query"))).where(F.size("_terms") > 0)
     dictionary = dictionary.withColumn("_tokens", terms("_text"))
     asked_terms = asked.select("query_id", F.explode("_terms").alias("_t"))

@@ -81,6 +81,44 @@ def routing_key_stats(df: DataFrame) -> DataFrame:
     long = valid.select("routing_key", F.explode(pairs).alias("p")).select("routing_key", "p.kind", "p.value")
     width = F.when(F.col("kind") == "price", 1000.0).otherwise(0.001)
     medians = grouped_quantiles(long, ["routing_key", "kind"], "value", {"m": 0.5}, width, False)
+    return _with_medians(base, medians)
+
+
+def routing_key_state(df: DataFrame) -> DataFrame:
+    """Mergeable form of `routing_key_stats`: how many rows of each valid key have each county, day, market price and
+    coordinate, as (routing_key, kind, label, value, n). States of disjoint deliveries add up."""
+    valid = df.where(F.col("routing_key").rlike(text.VALID_ROUTING_KEY))
+    part = lambda kind, label=None, value=None: F.struct(
+        F.lit(kind).alias("kind"), F.lit(label).cast("string").alias("label") if label is None else label.cast("string").alias("label"),
+        F.lit(value).cast("double").alias("value") if value is None else value.cast("double").alias("value"))
+    price = F.when(~F.col("not_full_market_price"), F.col("price"))
+    parts = F.array(part("county", F.col("county")), part("day", F.col("sale_date")), part("price", value=price),
+                    part("lat", value=F.col("latitude")), part("lon", value=F.col("longitude")))
+    long = valid.select("routing_key", F.explode(parts).alias("p")).select("routing_key", "p.*")
+    return (long.where((F.col("kind") == "county") | F.col("label").isNotNull() | F.col("value").isNotNull())
+            .groupBy("routing_key", "kind", "label", "value").agg(F.count("*").alias("n")))
+
+
+def merge_key_states(states: DataFrame) -> DataFrame:
+    return states.groupBy("routing_key", "kind", "label", "value").agg(F.sum("n").alias("n"))
+
+
+def stats_of_state(state: DataFrame) -> DataFrame:
+    """`routing_key_stats` of a merged state, or of the keys of it that are given."""
+    of = lambda kind, what: F.when(F.col("kind") == kind, what)
+    n, label = F.col("n"), F.col("label")
+    located = F.coalesce(F.sum(of("lat", n)), F.lit(0))
+    base = state.groupBy("routing_key").agg(
+        F.min_by("label", F.when((F.col("kind") == "county") & label.isNotNull(), F.struct((-n).alias("n"), "label"))).alias("primary_county"),
+        F.sum(of("county", n)).alias("property_count"), F.array_sort(F.collect_set(of("county", label))).alias("counties"),
+        F.min(of("day", label)).cast("date").alias("earliest_sale"), F.max(of("day", label)).cast("date").alias("latest_sale"),
+        located.alias("geocoded_count"), (located / F.sum(of("county", n))).alias("geocoded_pct"))
+    width = F.when(F.col("kind") == "price", 1000.0).otherwise(0.001)
+    medians = grouped_quantiles(state.where("kind in ('price', 'lat', 'lon')"), ["routing_key", "kind"], "value", {"m": 0.5}, width, False, weight="n")
+    return _with_medians(base, medians)
+
+
+def _with_medians(base: DataFrame, medians: DataFrame) -> DataFrame:
     pick = lambda kind, name: F.max(F.when(F.col("kind") == kind, F.col("m"))).alias(name)
     wide = medians.groupBy("routing_key").agg(
         pick("price", "median_price"), pick("lat", "centroid_lat"), pick("lon", "centroid_lon"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dwellspark.fixtures import (API_USAGE_SQL, CANDIDATES_CTE, SOURCES_CTE, api_usage,
                                  coordinate_sources, dwelling_sales, geocode_candidates, sales)
-from dwellspark.lineage import cut_lineage
+from dwellspark.lineage import cut_lineage, shared_folder
 from dwellspark.operators import stats
 from dwellspark.plans import sqltext as q
-from dwellspark.plans.registry import over_sales, query
+from dwellspark.plans.registry import ORACLES, over_sales, query
+from dwellspark.sources import sinks
 
 RK = q.routing_key("eircode")
 NORM = q.norm_address("address")
@@ -408,3 +411,13 @@ def _(spark, d):
        (SELECT address, arg_max(latitude, (sale_date, latitude, longitude)) AS la, arg_max(longitude, (sale_date, latitude, longitude)) AS lo FROM dwelling WHERE latitude IS NOT NULL GROUP BY address) USING (address)"""))
 def _(spark, d):
     return stats.latest_coordinate(dwelling_sales(spark, d)).select("id", "latitude", "longitude")
+
+
+@query("write_street_documents", f"SELECT slug, total_transactions, transactions, transaction_prices FROM ({ORACLES['street_pages']})")
+def _(spark, d):
+    path = f"{shared_folder(spark)}/streets-{uuid.uuid4().hex}"
+    s = sales(spark, d)
+    sinks.write_street_documents(stats.street_pages(s, cut_lineage(stats.street_registry(_ranking(spark, d))), address="address"), path)
+    read = spark.read.schema("slug string, total_transactions long, transactions array<struct<price: long>>").json(path)
+    return read.select("slug", "total_transactions", F.size("transactions").cast("long").alias("transactions"),
+                       F.aggregate("transactions", F.lit(0).cast("long"), lambda a, t: a + t["price"]).alias("transaction_prices"))

@@ -207,6 +207,21 @@ _asof("nearest", "asof_nearest")
 _asof("latest", "asof_latest")
 
 
+@query("sql_functions", over_sales(
+    f"""SELECT id, {q.norm_address('address')} AS normal, {q.norm_address('address', True)} AS extended, coalesce(e.price_index, l.price_index, 1.0::DOUBLE) AS index_value
+        FROM dwelling s LEFT JOIN price_index e ON e.county = s.county AND e.month = date_trunc('month', s.sale_date)
+        LEFT JOIN (SELECT county, arg_max(price_index, month) AS price_index FROM price_index GROUP BY county) l ON l.county = s.county""", INDEX_CTE))
+def _(spark, d):
+    from dwellspark.functions.register import register_functions, register_index_function
+    s = dwelling_sales(spark, d)
+    s.createOrReplaceTempView("asked_sales")
+    stats.county_price_index(s, "1995-01-01", min_n=3).createOrReplaceTempView("county_index")
+    register_functions(spark)
+    register_index_function(spark, "county_index")
+    return spark.sql("SELECT id, normalize_address(address) AS normal, normalize_address_extended(address) AS extended, "
+                     "county_index_at(county, sale_date) AS index_value FROM asked_sales")
+
+
 @query("flag_outer_join", over_sales(
     "SELECT coalesce(a.id, b.id) AS id, a.id IS NOT NULL AS suspect, b.id IS NOT NULL AS listed FROM (SELECT id FROM dwelling WHERE geocode_suspect) a FULL JOIN (SELECT id FROM dwelling WHERE latitude IS NULL) b ON a.id = b.id"))
 def _(spark, d):
@@ -313,8 +328,8 @@ def _(spark, d):
 
 
 @query("incremental_register", over_sales(
-    f"""SELECT county, CAST(sum(greatest(0, n - coalesce(have, 0))) AS BIGINT) AS new_rows, CAST(sum(greatest(0, n - coalesce(have, 0))) AS BIGINT) AS ids FROM (SELECT sale_date, price, county, count(*) AS n FROM (SELECT t.*, s.county FROM ({_TYPED}) t JOIN dwelling s USING (id)) WHERE sale_date IS NOT NULL AND price IS NOT NULL GROUP BY ALL)
-       LEFT JOIN (SELECT sale_date, CAST(price AS DOUBLE) AS price, county, count(*) AS have FROM dwelling WHERE id%4 <> 0 GROUP BY ALL) USING (sale_date, price, county) GROUP BY county HAVING sum(greatest(0, n - coalesce(have, 0))) > 0""", _RAW_SQL))
+    f"""SELECT county, sale_date, price, greatest(0, n - coalesce(have, 0)) AS new_rows, greatest(0, n - coalesce(have, 0)) AS ids FROM (SELECT sale_date, price, county, count(*) AS n FROM (SELECT t.*, s.county FROM ({_TYPED}) t JOIN dwelling s USING (id)) WHERE sale_date IS NOT NULL AND price IS NOT NULL GROUP BY ALL)
+       LEFT JOIN (SELECT sale_date, CAST(price AS DOUBLE) AS price, county, count(*) AS have FROM dwelling WHERE id%4 <> 0 GROUP BY ALL) USING (sale_date, price, county) WHERE n > coalesce(have, 0)""", _RAW_SQL))
 def _(spark, d):
     from dwellspark.streaming.jobs import REGISTER_COLUMNS, ingest_batch
     s = dwelling_sales(spark, d)
@@ -322,7 +337,16 @@ def _(spark, d):
     raw = register_raw(s).select(*[F.col(a).alias(b) for a, b in zip(names, REGISTER_COLUMNS)])
     base = s.where("id % 4 <> 0").withColumn("needs_geocoding", F.col("latitude").isNull())
     new, _rejects = ingest_batch(base, raw)
-    return new.groupBy("county").agg(F.count("*").alias("new_rows"), F.countDistinct("id").alias("ids"))
+    return new.groupBy("county", "sale_date", F.col("price").cast("double").alias("price")).agg(
+        F.count("*").alias("new_rows"), F.countDistinct("id").alias("ids"))
+
+
+@query("incremental_key_stats", over_sales(RK_STATS_SQL))
+def _(spark, d):
+    s = sales(spark, d)
+    base, new = s.where("id % 4 <> 0"), s.where("id % 4 = 0")
+    state = stats.merge_key_states(stats.routing_key_state(base).union(stats.routing_key_state(new)))
+    return stats.stats_of_state(state).withColumn("counties", F.array_join("counties", "|"))
 
 
 @query("read_amenities", f"""WITH {AMENITY_CTE} SELECT amenity_type, count(*) AS n, count(description) AS described, count(*) FILTER (amenity_id % 10 = 0) AS tenth FROM (SELECT *, CASE WHEN amenity_type = 'transport' THEN category END AS description FROM amenities) WHERE amenity_id % 9 <> 0 GROUP BY 1""")

@@ -80,6 +80,18 @@ def _(spark, d):
         "id", "county_bad", "key_bad", "geocode_suspect", "needs_geocoding")
 
 
+@query("incremental_flags", over_sales(
+    "SELECT id, county_bad OR key_bad OR crowd_suspect AS geocode_suspect, latitude IS NULL OR county_bad OR key_bad OR crowd_worklist AS needs_geocoding FROM flagged", *_FLAG_CTES))
+def _(spark, d):
+    s = sales(spark, d)
+    base, new = s.where("id % 40 <> 0"), s.where("id % 40 = 0")
+    state = lambda rows: stats.routing_key_state(rows)
+    before = quality.flag_geocodes(base, stats.stats_of_state(state(base))).select("id", "geocode_suspect", "needs_geocoding")
+    merged = stats.stats_of_state(stats.merge_key_states(state(base).union(state(new))))
+    after = quality.refresh_flags(s, new, merged)
+    return before.join(after.select("id"), "id", "left_anti").unionByName(after)
+
+
 _CAND_ROWS = """cand AS (SELECT c.*, county, routing_key, CASE id%3 WHEN 0 THEN 'rooftop' WHEN 1 THEN 'parcel' END AS precision FROM candidates c JOIN normed USING (id)),
   cand_keyed AS (SELECT c.*, centroid_lat, centroid_lon, minlat, maxlat, minlon, maxlon FROM cand c JOIN bounds USING (county) LEFT JOIN rks ON rks.routing_key = c.routing_key)"""
 
@@ -312,13 +324,18 @@ def _(spark, d):
     return quality.report_metrics(_report(spark, d))
 
 
+# The register as it stood at the start of 2000: the same report over its earlier rows.
+_EARLIER = "dwelling_b AS (SELECT * FROM dwelling WHERE sale_date < DATE '2000-01-01')"
+_EARLIER_CTES = [c.replace("normed AS", "normed_b AS").replace("ys AS", "ys_b AS").replace("report AS", "report_b AS").replace("FROM normed", "FROM normed_b")
+                 .replace("FROM dwelling", "FROM dwelling_b").replace("FROM ys", "FROM ys_b") for c in (NORM_SALES, _YEARS, _REPORT_SQL)]
+
+
 @query("quality_trend", over_sales(
-    """SELECT coalesce(a.c, b.c) AS metric, CAST(a.n AS DOUBLE) AS now_value, CAST(b.n AS DOUBLE) AS base_value, CAST(a.n - b.n AS DOUBLE) AS change, CASE WHEN b.n <> 0 THEN round((a.n - b.n) * 100.0::DOUBLE / b.n, 4) END AS change_pct,
-       CASE WHEN a.n < b.n THEN 'down' WHEN a.n > b.n THEN 'up' WHEN a.n = b.n THEN 'same' END AS trend FROM
-       (SELECT coalesce(property_type, 'none') AS c, count(*) AS n FROM dwelling WHERE sale_date >= DATE '1998-01-01' GROUP BY 1) a FULL JOIN (SELECT coalesce(property_type, 'none') AS c, count(*) AS n FROM dwelling WHERE sale_date < DATE '1998-01-01' GROUP BY 1) b USING (c)"""))
+    """SELECT coalesce(a.name, b.name) AS name, coalesce(a.metric, b.metric) AS metric, a.value AS now_value, b.value AS base_value, a.value - b.value AS change,
+       CASE WHEN b.value <> 0 THEN round((a.value - b.value) * 100.0::DOUBLE / b.value, 4) END AS change_pct,
+       CASE WHEN a.value < b.value THEN 'down' WHEN a.value > b.value THEN 'up' WHEN a.value = b.value THEN 'same' END AS trend
+       FROM report a FULL JOIN report_b b ON a.name = b.name AND a.metric = b.metric""", NORM_SALES, _YEARS, _REPORT_SQL, _EARLIER, *_EARLIER_CTES))
 def _(spark, d):
-    s = dwelling_sales(spark, d)
-    snapshot = lambda rows: (rows.groupBy(F.coalesce("property_type", F.lit("none")).alias("metric"))
-                             .agg(F.count("*").cast("double").alias("value")).withColumn("name", F.lit("types")))
-    late, early = s.where("sale_date >= date'1998-01-01'"), s.where("sale_date < date'1998-01-01'")
-    return quality.quality_trend(snapshot(late), snapshot(early)).drop("name")
+    s = sales(spark, d)
+    snapshot = lambda rows: quality.report_metrics(_report(spark, d, rows))
+    return quality.quality_trend(snapshot(s), snapshot(s.where("sale_date < date'2000-01-01'")))

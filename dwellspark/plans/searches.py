@@ -46,8 +46,8 @@ def _(spark, d):
 
 _ASKED_NORM = f"asked_norm AS (SELECT *, {q.norm_address('query')} AS norm FROM asked)"
 _TERMS_CTES = (
-    """terms AS (SELECT query_id, county, list_distinct(regexp_extract_all(lower({q}), '[a-z0-9]+')) AS ts FROM {src})""",
-    """dict AS (SELECT address_normalized AS a, county AS c, regexp_extract_all(lower(address_normalized), '[a-z0-9]+') AS toks FROM normed GROUP BY 1, 2)""",
+    f"""terms AS (SELECT query_id, county, list_distinct({q.stems('{q}')}) AS ts FROM {{src}})""",
+    f"""dict AS (SELECT address_normalized AS a, county AS c, {q.stems('address_normalized')} AS toks FROM normed GROUP BY 1, 2)""",
     """term_hits AS (SELECT query_id, a, c, round(len(list_filter(toks, lambda t: list_contains(ts, t))) / CAST(len(toks) AS DOUBLE), 6) AS rank_score FROM terms, dict
         WHERE list_has_all(toks, ts) AND (county IS NULL OR county = c))""",
     """term_rows AS (SELECT query_id, id, rank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank_score DESC, sale_date DESC, id) AS INT) AS position

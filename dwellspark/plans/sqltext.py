@@ -138,3 +138,9 @@ street_rows AS (SELECT * EXCLUDE (parts, lead, second, st, ar), lower(st) AS str
 
 def mean(expr: str) -> str:
     return f"CAST(sum(CAST({expr} AS DECIMAL(14,9))) AS DOUBLE) / count({expr})"
+
+
+def stems(expr: str) -> str:
+    """Stems of the words of a text, stated apart from the column form."""
+    return (f"list_transform(regexp_extract_all(lower({expr}), '[a-z0-9]+'), lambda t: CASE WHEN length(t) <= 2 THEN t WHEN t LIKE '%sses' OR t LIKE '%ies' THEN t[:-3] "
+            "WHEN t LIKE '%ss' OR t LIKE '%us' THEN t WHEN t LIKE '%s' THEN t[:-2] WHEN regexp_matches(t, '[^aeiou0-9]y$') THEN concat(t[:-2], 'i') ELSE t END)")

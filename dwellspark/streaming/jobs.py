@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dwellspark.functions import text
-from dwellspark.operators import quality, stats
+from dwellspark.operators import stats
 from dwellspark.operators.incremental import match_alerts
 from dwellspark.operators.multiset import append_register, reconcile
 from dwellspark.sources.register import HEADER_ALIASES, bind_headers, canonical_headers, csv_lines, split_rejects, typed_register_rows
@@ -47,26 +47,53 @@ def ingest_batch(base: DataFrame, raw: DataFrame, delivery: str = "") -> tuple[D
     return append_register(base.limit(0), keyed), rejects
 
 
-def refresh_flags(register: DataFrame) -> DataFrame:
-    """Geocode flags of the whole register after a delivery."""
-    return quality.flag_geocodes(register, stats.routing_key_stats(register))
+def store_sales(rows: DataFrame, store: str, batch: str) -> None:
+    """Write one delivery to the store, by year of sale, with its part of the routing-key statistics. The first
+    delivery sets the columns of the store."""
+    keyed = rows if "routing_key" in rows.columns else rows.withColumn("routing_key", text.routing_key("eircode"))
+    (keyed.withColumn("sale_year", F.year("sale_date")).write.mode("overwrite").partitionBy("sale_year")
+     .parquet(f"{store}/sales/batch={batch}"))
+    stats.routing_key_state(keyed).write.mode("overwrite").parquet(f"{store}/key_state/batch={batch}")
+
+
+def stored_sales(spark: SparkSession, store: str, years: list[int] | None = None, but: str | None = None) -> DataFrame:
+    """Sales of the store, of some years only (other folders are not opened), without the batch `but`."""
+    rows = spark.read.parquet(f"{store}/sales")
+    if years is not None:
+        rows = rows.where(F.col("sale_year").isin(years))
+    if but is not None:
+        rows = rows.where(F.col("batch").cast("string") != but)
+    return rows.drop("batch", "sale_year")
+
+
+def stored_key_stats(spark: SparkSession, store: str) -> DataFrame:
+    """Routing-key statistics of the store from the states of its deliveries; no sale is read."""
+    return stats.stats_of_state(stats.merge_key_states(spark.read.parquet(f"{store}/key_state").drop("batch")))
+
+
+def delivery_years(raw: DataFrame) -> list[int]:
+    """Years of a delivery's sales: they go to the driver, and the calendar bounds them."""
+    named = raw if set(HEADER_ALIASES) <= set(raw.columns) else canonical_headers(raw)
+    valid, _rejects = split_rejects(typed_register_rows(named))
+    return sorted(r[0] for r in valid.select(F.year("sale_date")).distinct().collect() if r[0] is not None)
 
 
 def start_register_stream(spark: SparkSession, incoming: str, store: str, checkpoint: str, encoding: str = "UTF-8",
                           multi_line: bool = False) -> StreamingQuery:
-    """Files in `incoming` are typed, each by its own header, reconciled against the Parquet register in
-    `store` and the missing rows appended; rejects go next to it.
+    """Files in `incoming` are typed, each by its own header, reconciled against the register in
+    `store` (begun with `store_sales`) and the missing rows appended; rejects go next to it.
 
-    Reconciliation is a multiset difference, and each micro-batch writes its own
-    folder, so a replayed batch adds nothing twice."""
+    Reconciliation is a multiset difference by date, so only the delivery's years of the store are read. Each
+    micro-batch writes its own folders, so a replayed batch adds nothing twice. Register files carry no coordinates, so a
+    delivery leaves the flags of stored rows as they are; located deliveries use `quality.refresh_flags`."""
     raw = csv_lines(spark.readStream, incoming, encoding, multi_line)
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
-        base = batch.sparkSession.read.option("recursiveFileLookup", True).parquet(f"{store}/sales")
-        base = base.where(~F.input_file_name().contains(f"/batch={batch_id}/"))
-        new, rejects = ingest_batch(base, bind_headers(batch), str(batch_id))
-        new.write.mode("overwrite").parquet(f"{store}/sales/batch={batch_id}")
-        rejects.write.mode("overwrite").parquet(f"{store}/rejects/batch={batch_id}")
-
+        session, name = batch.sparkSession, str(batch_id)
+        delivery = bind_headers(batch)
+        base = stored_sales(session, store, delivery_years(delivery), but=name)
+        new, rejects = ingest_batch(base, delivery, name)
+        store_sales(new.select(*base.columns), store, name)
+        rejects.write.mode("overwrite").parquet(f"{store}/rejects/batch={name}")
     return (raw.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

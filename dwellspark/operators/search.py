@@ -42,6 +42,29 @@ def newest_first(*extra: Column) -> list[Column]:
     return [F.col("sale_date").desc(), *extra, F.col("id")]
 
 
+# Optional columns of a request table; NULL means no bound.
+BOUNDS = ("min_price", "max_price", "min_year", "max_year")
+
+
+def _bounds_of(requests: DataFrame) -> list[str]:
+    return [b for b in BOUNDS if b in requests.columns]
+
+
+def _within(bounds: list[str]) -> Column:
+    """The row's price and date lie within the bounds beside it."""
+    day = lambda year: F.make_date(year, F.lit(1), F.lit(1))
+    tests = {"min_price": lambda b: F.col("price") >= b, "max_price": lambda b: F.col("price") <= b,
+             "min_year": lambda b: F.col("sale_date") >= day(b.cast("int")), "max_year": lambda b: F.col("sale_date") < day(b.cast("int") + 1)}
+    return reduce(lambda a, b: a & b, [F.col(b).isNull() | tests[b](F.col(b)) for b in bounds], F.lit(True))
+
+
+def _sales_within(places: DataFrame, df: DataFrame, key: list[str], bounds: list[str]) -> DataFrame:
+    """Sales on the given places that lie within some set of bounds asked there, once for each such set. Requests with equal
+    bounds share a set, so a busy place is opened once a set and not once a request."""
+    asked = places.select(*key, *bounds).distinct()
+    return join_null_safe(df, asked, key).where(_within(bounds))
+
+
 # ------------------------------------------------------------ radius search
 
 # Multiples of the asked radius that are tried in turn.
@@ -76,10 +99,12 @@ def radius_search(requests: DataFrame, df: DataFrame, limit: int = 200, sort: st
     first of r, 2r, 3r, 5r, 10r, 20 km with enough rows after the limit. Rings are
     counted on distinct coordinates in tiers of growing reach: a wider grid is opened only
     for requests that the ones before could not settle, so the neighbourhood of a busy
-    place is met by those alone that lie near it or find too little elsewhere."""
+    place is met by those alone that lie near it or find too little elsewhere. Requests may carry bounds of their own
+    (`BOUNDS`); rings then count, and show, sales within them only."""
     shown = not_suspect(df).where("latitude is not null and longitude is not null")
     keyed = shown.withColumn("p_county", F.lower("county"))
     place = ["latitude", "longitude", "p_county"]
+    bounds = _bounds_of(requests)
     requests = cut_lineage(requests)
     points = cut_lineage(keyed.groupBy(*place).agg(F.count("*").alias("n")))
 
@@ -87,21 +112,24 @@ def radius_search(requests: DataFrame, df: DataFrame, limit: int = 200, sort: st
         keep = pairs.select("query_id", *place, "distance_m").join(chosen, "query_id").where(
             (F.col("distance_m") <= F.col("ring_km") * 1000.0)
             & (F.col("county").isNull() | F.col("county_dropped") | (F.lower("county") == F.col("p_county"))))
-        asked = ["radius_km", "ring_km", "county_dropped", F.col("county").alias("asked_county")]
+        asked = ["radius_km", "ring_km", "county_dropped", F.col("county").alias("asked_county"), *bounds]
         return keep.select("query_id", *place, "distance_m", *asked)
 
     rest, parts = requests, []
     for reach in [r for r in reaches_km if r < max_km] + [max_km]:
         asked = rest if reach == max_km else rest.where(F.col("radius_km") <= reach)
         pairs = radius_pairs(asked, points, reach * 1000.0)
+        if bounds:
+            pairs = cut_lineage(pairs)
+            counts = _sales_within(pairs, keyed.drop(*bounds), place, bounds).groupBy(*place, *bounds).agg(F.count("*").alias("n"))
+            pairs = join_null_safe(pairs.drop("n"), counts, [*place, *bounds])
         settled = cut_lineage(_choose_ring(asked, pairs, limit, max_km, min_results).where(F.col("ring_km") <= reach))
         parts.append(hits(settled, pairs))
         rest = rest.join(settled.select("query_id"), "query_id", "left_anti")
     found = cut_lineage(reduce(DataFrame.unionByName, parts))
-    met = join_null_safe(keyed, found.select(*place).distinct(), place, "left_semi")  # only places that some request shows are ranked
-    newest = top_n(met, place, newest_first(), limit, "_rn").drop("_rn")
-    cond = reduce(lambda a, b: a & b, [found[k].eqNullSafe(newest[k]) for k in place])
-    rows = found.join(newest, cond).drop(found["latitude"]).drop(found["longitude"]).drop(found["p_county"])
+    met = _sales_within(found, keyed, place, bounds)  # only places that some request shows are ranked
+    newest = top_n(met, [*place, *bounds], newest_first(), limit, "_rn").drop("_rn")
+    rows = join_null_safe(found, newest, [*place, *bounds])
     order = ([F.col("distance_m"), *newest_first()] if sort == "distance"
              else newest_first(F.col("distance_m")))
     return (top_n(rows.drop("p_county"), ["query_id"], order, limit, "position")
@@ -167,7 +195,9 @@ def polygon_search(polygons: DataFrame, df: DataFrame, limit: int = 50, cell_deg
     """Newest rows strictly inside each polygon (poly_id, ring), suspects hidden.
 
     Polygons are covered by a bounded number of grid cells; containment is tested once per distinct coordinate, and
-    only sales of coordinates inside some polygon are ranked. The levels in use, 20 at most, go to the driver."""
+    only sales of coordinates inside some polygon are ranked, within the polygon's own `BOUNDS` if it has any. The levels in use,
+    20 at most, go to the driver."""
+    bounds = _bounds_of(polygons)
     shown = not_suspect(df).where("latitude is not null and longitude is not null")
     covered = ring_cover(polygons, cell_deg)
     levels = sorted(r[0] for r in covered.select("_level").distinct().collect())
@@ -178,8 +208,10 @@ def polygon_search(polygons: DataFrame, df: DataFrame, limit: int = 50, cell_deg
     inside = (covered.join(points, ["_level", "_cy", "_cx"])
               .where(geo.point_in_polygon("latitude", "longitude", "ring"))
               .select("poly_id", *place))
-    newest = top_n(shown.join(inside.select(*place).distinct(), place, "left_semi"), place, newest_first(), limit, "_rn").drop("_rn")
-    return top_n(inside.join(newest, place), ["poly_id"], newest_first(), limit, "position")
+    if bounds:
+        inside = inside.join(polygons.select("poly_id", *bounds), "poly_id")
+    newest = top_n(_sales_within(inside, shown, place, bounds), [*place, *bounds], newest_first(), limit, "_rn").drop("_rn")
+    return top_n(join_null_safe(inside, newest, [*place, *bounds]), ["poly_id"], newest_first(), limit, "position")
 
 
 # ------------------------------------------------------------ text searches
@@ -261,23 +293,25 @@ def substring_search(df: DataFrame, needle: str, limit: int = 50) -> DataFrame:
             .orderBy(*newest_first()).limit(limit))
 
 
-def _matched_codes(codes: DataFrame, df: DataFrame):
-    norm = codes.select(text.normalize_postcode("code").alias("_n")).where("_n <> ''").distinct()
+def _matched_codes(codes: DataFrame, df: DataFrame, bounds: list[str] | None = None):
+    bounds = bounds or []
+    norm = codes.select(text.normalize_postcode("code").alias("_n"), *bounds).where("_n <> ''").distinct()
     full = F.length("_n") >= 5
     asked = norm.select(F.when(full, F.col("_n")).otherwise(F.substring("_n", 1, 3)).alias("code"),
-                        F.when(full, "full_eircode").otherwise("routing_key").alias("match_type")).distinct()
+                        F.when(full, "full_eircode").otherwise("routing_key").alias("match_type"), *bounds).distinct()
     compact = F.replace(F.upper("eircode"), F.lit(" "), F.lit(""))
     rows = df.where("eircode is not null").withColumn("_full", compact).withColumn("_key", F.substring("_full", 1, 3))
     return asked, rows
 
 
 def postcode_search(codes: DataFrame, df: DataFrame, limit: int = 500) -> DataFrame:
-    """Newest rows per full postcode or routing key."""
-    asked, rows = _matched_codes(codes, df)
+    """Newest rows per full postcode or routing key, and per set of `BOUNDS` where the codes carry any."""
+    bounds = _bounds_of(codes)
+    asked, rows = _matched_codes(codes, df, bounds)
     def pick(col: str, kind: str) -> DataFrame:  # only asked codes are ranked
         wanted = asked.where(F.col("match_type") == kind)
-        met = rows.withColumn("code", F.col(col)).join(wanted.select("code"), "code", "left_semi")
-        return top_n(met, ["code"], newest_first(), limit, "position").join(wanted, "code")
+        met = rows.withColumn("code", F.col(col)).join(wanted, "code").where(_within(bounds))
+        return top_n(met, ["code", *bounds], newest_first(), limit, "position")
     return pick("_full", "full_eircode").unionByName(pick("_key", "routing_key")).drop("_full", "_key")
 
 

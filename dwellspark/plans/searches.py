@@ -94,6 +94,49 @@ def _(spark, d):
     return search.polygon_search(polys, shown).select("poly_id", "id", "position")
 
 
+# Requests with bounds of their own, some NULL.
+_BOUND_SQL = "{t}.*, CASE WHEN {k}%3=0 THEN 100000 END AS min_price, CASE WHEN {k}%4=0 THEN 300000 END AS max_price, CASE WHEN {k}%5=0 THEN 1995 END AS min_year, CASE WHEN {k}%7=0 THEN 1998 END AS max_year"
+_INSIDE = ("(min_price IS NULL OR price >= min_price) AND (max_price IS NULL OR price <= max_price) "
+           "AND (min_year IS NULL OR year(sale_date) >= min_year) AND (max_year IS NULL OR year(sale_date) <= max_year)")
+_BOUNDED_REQUESTS = (REQUESTS_CTE.replace("requests AS", "plain AS", 1), f"requests AS (SELECT {_BOUND_SQL.format(t='plain', k='query_id')} FROM plain)")
+
+
+def _with_bounds(df, key: str):
+    k = F.col(key)
+    return df.withColumns({"min_price": F.when(k % 3 == 0, 100_000), "max_price": F.when(k % 4 == 0, 300_000),
+                           "min_year": F.when(k % 5 == 0, 1995), "max_year": F.when(k % 7 == 0, 1998)})
+
+
+@query("radius_search_bounded", over_sales(
+    "SELECT query_id, position, id, round(dist, 3) AS distance_m, ring_km, county_dropped FROM found",
+    *_BOUNDED_REQUESTS, *[c.replace("WHERE latitude IS NOT NULL AND NOT geocode_suspect", f"WHERE {_INSIDE} AND latitude IS NOT NULL AND NOT geocode_suspect") for c in _RADIUS_CTES[1:]]))
+def _(spark, d):
+    asked = _with_bounds(search_requests(spark, d).drop("home_county"), "query_id")
+    return search.radius_search(asked, dwelling_sales(spark, d), limit=25).select(
+        "query_id", "position", "id", round_to("distance_m", 3).alias("distance_m"), "ring_km", "county_dropped")
+
+
+@query("polygon_search_bounded", over_sales(
+    f"""SELECT poly_id, id, CAST(row_number() OVER (PARTITION BY poly_id ORDER BY sale_date DESC, id) AS INT) AS position FROM (SELECT {_BOUND_SQL.format(t='polys', k='poly_id')} FROM polys) JOIN dwelling
+       ON latitude > y0 AND latitude < y1 AND longitude > x0 AND longitude < x1 AND NOT (latitude >= (y0+y1)/2 AND longitude >= (x0+x1)/2)
+       WHERE NOT geocode_suspect AND {_INSIDE} QUALIFY position <= 50""", REQUESTS_CTE, _POLYS))
+def _(spark, d):
+    from dwellspark.plans.scalars import l_shape
+    y, x = F.col("q_lat"), F.col("q_lon")
+    polys = search_requests(spark, d).select(F.col("query_id").alias("poly_id"), l_shape(y - 0.02, y + 0.02, x - 0.03, x + 0.03).alias("ring"))
+    return search.polygon_search(_with_bounds(polys, "poly_id"), dwelling_sales(spark, d)).select("poly_id", "id", "position")
+
+
+@query("postcode_search_bounded", over_sales(
+    f"""SELECT code, min_price, max_price, min_year, max_year, id, CAST(row_number() OVER (PARTITION BY code, min_price, max_price, min_year, max_year ORDER BY sale_date DESC, id) AS INT) AS position
+        FROM (SELECT DISTINCT substr(eircode, 1, 3) AS code, {_BOUND_SQL.format(t='b', k='k').replace('b.*, ', '')} FROM dwelling b WHERE eircode IS NOT NULL) w
+        JOIN dwelling s ON starts_with(replace(upper(eircode), ' ', ''), code) WHERE {_INSIDE} QUALIFY position <= 40"""))
+def _(spark, d):
+    s = dwelling_sales(spark, d)
+    codes = _with_bounds(s.where("eircode is not null").select(F.substring("eircode", 1, 3).alias("code"), "k"), "k").drop("k").distinct()
+    return search.postcode_search(codes, s, limit=40).select("code", *search.BOUNDS, "id", "position")
+
+
 _CODES = """codes AS (SELECT DISTINCT lower(eircode) AS code FROM dwelling WHERE eircode IS NOT NULL UNION SELECT DISTINCT eircode[1:3] FROM dwelling WHERE eircode IS NOT NULL),
   wanted AS (SELECT DISTINCT CASE WHEN length(n) >= 5 THEN n ELSE n[1:3] END AS code, CASE WHEN length(n) >= 5 THEN 'full_eircode' ELSE 'routing_key' END AS match_type FROM (SELECT replace(upper(trim(code)), ' ', '') AS n FROM codes)),
   code_rows AS (SELECT w.*, s.* FROM wanted w JOIN (SELECT *, replace(upper(eircode), ' ', '') AS full_code FROM dwelling) s ON CASE WHEN match_type = 'full_eircode' THEN full_code = code ELSE starts_with(full_code, code) END)"""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dwellspark.functions import geo
 from dwellspark.lineage import cut_lineage
-from dwellspark.operators.joins import asof_nearest, nearest_join, radius_pairs
+from dwellspark.operators.joins import asof_nearest, for_each_request, nearest_join, radius_pairs, shared_requests
 from dwellspark.operators.quantiles import grouped_quantiles
 from dwellspark.operators.resolve import resolve_subjects
 from dwellspark.operators.stats import market_sales, routing_key_stats, top_n
@@ -17,6 +17,8 @@ from dwellspark.operators.stats import market_sales, routing_key_stats, top_n
 RADII_M = [1_000.0, 2_000.0, 5_000.0, 10_000.0, 20_000.0]
 WINDOW_DAYS = 3 * 365
 COMPARABLE_MIN, COMPARABLE_MAX = 50_000, 5_000_000
+# What a subject asks for.
+SUBJECT = ["s_lat", "s_lon", "window_end", "exclude_id"]
 
 
 def find_comparables(subjects: DataFrame, df: DataFrame, min_n: int = 10, max_n: int = 30, strict: bool = False,
@@ -28,7 +30,13 @@ def find_comparables(subjects: DataFrame, df: DataFrame, min_n: int = 10, max_n:
     one point and day tie in distance and recency, so each such group is cut to
     max_n + 1 rows and counted before any subject meets it: a point holding a third of
     all sales stays bounded. Radii are tried in tiers of growing reach, each with a grid of its own that only
-    the subjects meet that the tiers before could not settle."""
+    the subjects meet that the tiers before could not settle. Subjects that ask the same are looked up once."""
+    asked, members = shared_requests(subjects.where("subject_id is not null"), SUBJECT, "subject_id")
+    return for_each_request(_comparables(asked, df, min_n, max_n, strict, hide_suspect, reaches_m), members, "subject_id")
+
+
+def _comparables(subjects: DataFrame, df: DataFrame, min_n: int = 10, max_n: int = 30, strict: bool = False,
+                 hide_suspect: bool = False, reaches_m: tuple[float, ...] = (2_000.0, 5_000.0, 20_000.0)) -> DataFrame:
     sales = market_sales(df, COMPARABLE_MIN, COMPARABLE_MAX).where("latitude is not null and longitude is not null")
     if hide_suspect:
         sales = sales.where(~F.coalesce("geocode_suspect", F.lit(False)))
@@ -174,14 +182,16 @@ def confidence(estimates: DataFrame) -> DataFrame:
 def value_subjects(subjects: DataFrame, df: DataFrame, index: DataFrame, min_n: int = 5, floor: int = 3,
                    use_bedrooms: bool = True, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(estimates, weighted comparables) of located subjects; `subjects` also carries
-    target_date and subject_bedrooms. Subjects below `floor` comparables get none."""
-    comps = find_comparables(subjects, df, min_n=min_n, strict=strict)
-    extra = subjects.select("subject_id", "target_date", "subject_bedrooms")
+    target_date and subject_bedrooms. Subjects below `floor` comparables get none; equal subjects are valued once."""
+    asked, members = shared_requests(subjects.where("subject_id is not null"), [*SUBJECT, "target_date", "subject_bedrooms"], "subject_id")
+    asked = cut_lineage(asked)
+    comps = _comparables(asked, df, min_n=min_n, strict=strict)
+    extra = asked.select("subject_id", "target_date", "subject_bedrooms")
     comps = cut_lineage(comps.join(extra, "subject_id"))
     weighted = comparable_weights(time_adjust(comps, cut_lineage(index)), "subject_bedrooms" if use_bedrooms else None)
     weighted = cut_lineage(weighted)
     result = confidence(estimate(weighted)).where(F.col("n_comparables") >= floor)
-    return result, weighted
+    return for_each_request(result, members, "subject_id"), for_each_request(weighted, members, "subject_id")
 
 
 def value_properties(requests: DataFrame, df: DataFrame, index: DataFrame, as_of: str,

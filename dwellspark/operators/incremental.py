@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dwellspark.functions import text
 from dwellspark.lineage import cut_lineage
-from dwellspark.operators.joins import contains_join, prefix_join, radius_pairs, with_scalars
+from dwellspark.operators.joins import contains_join, for_each_request, prefix_join, radius_pairs, shared_requests, with_scalars
 from dwellspark.operators.quantiles import grouped_quantiles, join_null_safe
 from dwellspark.operators.stats import top_n
 
@@ -31,26 +31,30 @@ def match_alerts(subs: DataFrame, df: DataFrame, new_sales: DataFrame | None = N
     """Newest sales for each subscription (sub_id, email, address, radius_km, county,
     is_active, created_at, last_sent_at) since its last digest.
 
-    Addresses are located in `df`; the sales come from `new_sales` when given. Subscriptions meet distinct points with
-    their newest arrival; the sales of a point are opened only for the subscriptions that it passes. Sales
-    of one point, county and arrival time pass or fail together, so each such group is cut to `limit` rows."""
+    Addresses are located in `df`; the sales come from `new_sales` when given. Subscriptions that ask the same are looked up once, and
+    meet distinct points with their newest arrival. A point's sales are opened once for each date they are asked since, not once
+    for each subscription, and cut to the newest `limit` then."""
     sales = (df if new_sales is None else new_sales).where(
         F.col("latitude").isNotNull() & ~F.col("not_full_market_price"))
     if hide_suspect:
         sales = sales.where(~F.coalesce("geocode_suspect", F.lit(False)))
-    place = ["latitude", "longitude", "county", "created_at"]
+    place = ["latitude", "longitude", "sale_county"]
     order = [F.col("sale_date").desc(), F.col("id")]
     points = sales.groupBy("latitude", "longitude", F.col("county").alias("sale_county")).agg(F.max("created_at").alias("_newest"))
-    asked = cut_lineage(subscription_points(subs, df, match).withColumn("_since", F.coalesce("last_sent_at", "created_at")))
-    near = radius_pairs(asked.withColumn("_reach", F.col("radius_km") * 1000.0), points, "_reach").drop("_reach").where(
+    located = subscription_points(subs, df, match).withColumn("_since", F.coalesce("last_sent_at", "created_at"))
+    asked, members = shared_requests(located, ["q_lat", "q_lon", "radius_km", "county", "_since"], "sub_id", "email")
+    near = radius_pairs(asked.withColumn("_reach", F.col("radius_km") * 1000.0), points, "_reach").where(
         (F.col("_newest") > F.col("_since"))
         & (F.col("county").isNull() | (F.col("county") == "") | (F.col("county") == F.col("sale_county"))))
-    kept = top_n(sales, place, order, limit, "_rn").select("id", "sale_date", "price", F.col("address").alias("sale_address"), *[
-        F.col("county").alias("sale_county"), F.col("created_at").alias("sale_created"), "latitude", "longitude"])
-    pairs = join_null_safe(near, kept, ["latitude", "longitude", "sale_county"]).where(F.col("sale_created") > F.col("_since"))
-    return top_n(pairs, ["sub_id"], order, limit, "position").select(
+    near = cut_lineage(near.select("sub_id", "email", *place, "_since", "distance_m"))
+    opened = join_null_safe(sales.select("id", "sale_date", "price", F.col("address").alias("sale_address"), F.col("county").alias("sale_county"),
+                                         F.col("created_at").alias("_arrived"), "latitude", "longitude"),
+                            near.select(*place, "_since").distinct(), place).where(F.col("_arrived") > F.col("_since"))
+    kept = top_n(opened, [*place, "_since"], order, limit, "_rn").drop("_rn", "_arrived")
+    found = top_n(join_null_safe(near, kept, [*place, "_since"]), ["sub_id"], order, limit, "position").select(
         "sub_id", "email", "position", "id", "sale_address", "price", "sale_date", "sale_county",
         (F.col("distance_m") / 1000.0).alias("distance_km"))
+    return for_each_request(found, members, "sub_id", "email")
 
 
 def subscription_token(email, address) -> Column:

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from dwellspark.fixtures import API_USAGE_SQL, api_usage, dwelling_sales, table
 from dwellspark.functions.geo import round_to
-from dwellspark.operators import incremental
+from dwellspark.operators import incremental, search
+from dwellspark.operators.joins import for_each_request
 from dwellspark.plans import sqltext as q
 from dwellspark.plans.registry import over_sales, query
-from dwellspark.plans.searches import _RADIUS_CTES, _radius_hits
+from dwellspark.plans.searches import _RADIUS_CTES, _radius_asks
 
 # One subscription per customer with sales, on its street or on its full address.
 _SUBS = """subs AS (SELECT k AS sub_id, concat('c', k, '@mail.ie') AS email, CASE WHEN k%3=0 THEN lower(min(address)) WHEN k%3=1 THEN concat('TOWN', k%40, ', ', min(county)) ELSE concat('no place ', k) END AS address,
@@ -93,7 +94,10 @@ def _(spark, d):
 @query("county_filter_audit", over_sales(
     """SELECT query_id, r.county AS asked_county, count(*) AS total, count(*) FILTER (lower(f.county) <> lower(r.county)) AS wrong, string_agg(DISTINCT f.county, ',' ORDER BY f.county) AS counties FROM found f JOIN requests r USING (query_id) WHERE r.county IS NOT NULL AND NOT county_dropped GROUP BY ALL""", *_RADIUS_CTES))
 def _(spark, d):
-    return incremental.county_filter_audit(_radius_hits(spark, d)).withColumn("counties", F.array_join("counties", ","))
+    # equal requests have equal audits: made once, and given to each request last
+    rows, members = search.shared_radius_search(*_radius_asks(spark, d), limit=25)
+    audits = for_each_request(incremental.county_filter_audit(rows), members)
+    return audits.withColumn("counties", F.array_join("counties", ","))
 
 
 @query("request_budget", over_sales(

@@ -100,6 +100,49 @@ def test_passage_whose_parts_have_other_first_holders(spark):
         assert [(r.doc_id, r.start, r.stop, r.match_id, r.match_start, r.similarity) for r in got] == [(4, 40, 100, 3, 40, 1.0)]
 
 
+def test_near_passage_whose_parts_have_other_first_holders(spark):
+    """No 50 words are equal and every seed has a first holder that shares too little: the pair is found all the same."""
+    import random
+    rng = random.Random(25)
+    passage = prose(rng, 60).split()
+    around = lambda part: f"{prose(rng, 40)} {' '.join(part)} {prose(rng, 40)}"
+    edited = ["changed" if i in (15, 44) else w for i, w in enumerate(passage)]
+    rows = [(1, around(passage[:30])), (2, around(passage[30:])), (3, around(passage)), (4, around(edited))]
+    rows += [(i, around(["the"] * n)) for i, n in ((5, 20), (6, 52), (7, 43))]  # 7 and 6 are alike as wholes alone
+    for parts in (1, 4):
+        got = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert [tuple(r)[:6] for r in got if r.doc_id == 4] == [(4, 40, 100, 3, 40, 100)]
+        assert {(r.doc_id, r.match_id) for r in got} == {(4, 3), (7, 6)}
+
+
+def test_pairs_passed_over_hold_no_passage():
+    """The bound on words in common is never below what an alignment through the seed has."""
+    rng = np.random.default_rng(26)
+    for alphabet in (3, 40, 5000):
+        h = rng.integers(0, alphabet, 4000).astype(np.uint64)
+        x = np.arange(100, 3900, 37)
+        a = chaining.words_near(h, x, 4, 46)
+        for edits in (0, 8, 16):
+            other = [h[p - 46:p + 50].copy() for p in x]
+            lo = rng.integers(0, 47, len(x))
+            for row, start in zip(other, lo):
+                at = rng.choice(np.setdiff1d(np.arange(start, start + 50), np.arange(46, 50)), edits, replace=False)
+                outside = np.setdiff1d(np.arange(96), np.arange(start, start + 50))
+                row[np.append(at, outside)] = 10**6 + np.arange(edits + len(outside))
+            b = np.concatenate([chaining.words_near(row, np.array([46]), 4, 46) for row in other])
+            n = np.arange(len(x))
+            assert chaining.may_hold(a, b, n, n, 46 - edits).all()
+            assert alphabet < 5000 or not edits or chaining.may_hold(a, b, n, n, 46).mean() < 0.5
+
+
+def test_ends_of_runs_stand_for_the_run():
+    h = np.array([1] * 10 + [2, 3, 4, 5, 6] + [1] * 4, np.uint64)
+    at, bare, size = chaining.ends_of_runs(h, np.array([0, 4, 10, 15]), np.array([False, True, False, False]), 4)
+    assert list(zip(at.tolist(), bare.tolist(), size.tolist())) == [(10, False, 4), (0, True, 10), (15, False, 4), (6, True, -10), (15, False, -4)]
+    nth, x, y = chaining.along(np.array([0, 6]), np.array([50, 70]), np.array([10, -10]), np.array([13, -9]), 4)
+    assert list(zip(nth.tolist(), x.tolist(), y.tolist())) == [(0, 0, 50), (0, 4, 54), (1, 6, 70), (1, 2, 66)]
+
+
 def test_exact_passage_beside_a_rewritten_one(spark):
     import random
     rng = random.Random(22)

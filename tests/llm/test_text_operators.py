@@ -200,6 +200,62 @@ def test_near_passages_recall(spark):
         assert sum(want[i] == share for i, *_ in got) >= 0.95 * n, share
 
 
+def test_open_pairs_of_frequent_lines():
+    """Holders of a frequent line meet whole, in tiles or not, and those whose words are alike in another order go no further."""
+    rng = np.random.default_rng(3)
+    k, reach, need, edits = 4, 46, 35, 11
+    line = rng.integers(0, 1 << 60, k)
+    same = rng.integers(0, 1 << 60, 2 * reach)
+    kind = np.dtype([("h", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("size", "<i4"), ("open", "?"), ("near", "u1", (2 * reach,))])
+    e = np.zeros(300, kind)
+    e["doc"], e["at"], e["size"], e["open"] = np.arange(300), reach, k, rng.random(300) < 0.9
+    near = {}
+    for i in range(300):
+        around = rng.integers(0, 1 << 60, 2 * reach)
+        if i % 50 == 7:  # the same words around the line, some of them edited
+            around = np.where(rng.random(2 * reach) < 0.1, around, same)
+            near[i] = True
+        elif i % 50 == 9:  # the same words the other way round
+            around = np.concatenate([same[:reach][::-1], same[reach:][::-1]])
+        text = np.concatenate([around[:reach], line, around[reach:]]).astype(np.uint64)
+        e["near"][i] = chaining.words_near(text, np.array([reach]), k, reach)[0]
+    others = {(i, j) for i in range(300) for j in range(i) if e["open"][i] and i % 50 == j % 50 == 9}
+    want = {(i, j) for i in near for j in near if j < i and e["open"][i]}
+    for most, crowd in ((1 << 20, 1 << 20), (500, 1 << 20), (1 << 20, 0)):
+        got = [(int(i), int(j)) for p in chaining.open_pairs(e, need, edits, k, most, crowd) for i, j in zip(*p)]
+        assert len(got) == len(set(got)) and set(got) - others == want
+    tiles = [(int(i), int(j)) for p in chaining._crowd(e["near"].copy(), np.where(e["open"], np.arange(300), 0), need, 32, 70) for i, j in zip(*p)]
+    assert len(tiles) == len(set(tiles)) and set(tiles) >= want | others
+    a, b = (np.repeat(chaining.words_near(x.astype(np.uint64), np.array([reach]), k, reach), 1, 0) for x in
+            (np.concatenate([same[:reach], line, same[reach:]]), np.concatenate([same[:reach][::-1], line, same[reach:][::-1]])))
+    assert chaining.may_hold(a, b, np.zeros(1, int), np.zeros(1, int), need).all() and not chaining.may_align(a, b, need, edits).any()
+
+
+def test_orders_and_farthest_match_tables():
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        letters = int(rng.integers(2, 30))
+        a, b = rng.integers(1, letters + 1, int(rng.integers(1, 60))).tolist(), rng.integers(1, letters + 1, int(rng.integers(1, 60))).tolist()
+        common, edits = np.zeros((len(a) + 1, len(b) + 1), int), np.add.outer(np.arange(len(a) + 1), np.arange(len(b) + 1))
+        far = {0: (0, 0)}
+        for i, w in enumerate(a, 1):
+            for j, v in enumerate(b, 1):
+                common[i, j] = common[i - 1, j - 1] + 1 if w == v else max(common[i - 1, j], common[i, j - 1])
+                edits[i, j] = min(edits[i - 1, j - 1] + (w != v), edits[i - 1, j] + 1, edits[i, j - 1] + 1)
+                if w == v and max(i, j) > max(far.get(edits[i, j], (0, 0))):
+                    far[int(edits[i, j])] = i, j
+        assert chaining.in_order(a, b) == common[-1, -1]
+        assert chaining._farthest(a, b) == [(n, *far[n]) for n in sorted(far)]
+        sizes = [n for n in (1, 5, min(len(a), len(b))) if n <= min(len(a), len(b))]
+        got = chaining.longest_common(np.array([a], np.uint8), np.array([b], np.uint8), sizes)
+        assert all(got[n][0] == common[n, n] for n in sizes)
+        x = rng.integers(0, 5, 40).astype(np.uint64)
+        view = np.lib.stride_tricks.sliding_window_view(x, 4)
+        assert chaining.smallest(x, 4).tolist() == (view.argmin(1) + np.arange(len(view))).tolist()
+    none = np.zeros((1, 46), np.uint8)
+    assert chaining.longest_common(none, none, [46])[46][0] == 0
+
+
 def test_chain_scores_match_quadratic():
     rng = np.random.default_rng(1)
     for _ in range(40):
